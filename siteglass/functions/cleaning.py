@@ -15,8 +15,12 @@ NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:i
 VISIBLE_PATTERN = r"(?U)[^\s\x1C-\x1F]"
 
 
-def missing_to_null(cell: Column) -> Column:
-    return F.when(~cell.isin(*MISSING_TOKENS), cell)
+_MISSING_LIST = ", ".join(f"'{token}'" for token in MISSING_TOKENS)
+
+
+def missing_to_null(name: str) -> Column:
+    """The named column with every text that means "missing" turned into NULL."""
+    return F.expr(f"CASE WHEN `{name}` NOT IN ({_MISSING_LIST}) THEN `{name}` END")
 
 
 def to_number(cell: Column) -> Column:

@@ -21,7 +21,7 @@ def clean(raw: DataFrame) -> DataFrame:
         elif name in _NUMBER_SOURCES:
             columns.append(cleaning.to_number(F.col(name)).alias(_NUMBER_SOURCES[name]))
         else:
-            columns.append(cleaning.missing_to_null(F.col(f"`{name}`")).alias(name))
+            columns.append(cleaning.missing_to_null(name).alias(name))
     if "last_updated_raw" in raw.columns:
         columns.append(cleaning.to_day(F.col("last_updated_raw")).alias("last_updated"))
     return raw.select(*columns).where(F.col("capacity_mw").isNotNull())

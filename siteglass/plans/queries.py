@@ -47,73 +47,19 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(name, digits) for name in names})
 
 
-def _ingest_clean(spark, sf_dir):
-    return sg.clean(projects_raw(spark, sf_dir))
-
-
-def _coords(spark, sf_dir):
-    return _rounded(located(spark, sf_dir).select("ref_id", "x", "y", "lon", "lat"), 6, "lon", "lat")
-
-
-def _screening_score(spark, sf_dir):
-    return projects(spark, sf_dir).select("ref_id", "score")
-
-
-def _score_components(spark, sf_dir):
-    return sg.with_score(_ingest_clean(spark, sf_dir), components=True).select(
-        "ref_id", "capacity_points", "status_points", "technology_points", "completeness_points", "score"
-    )
-
-
 def _filtered(**choices):
-    def run(spark, sf_dir):
-        return sg.apply_filters(projects(spark, sf_dir), **choices).select(*_SHORT, "score")
-
-    return run
-
-
-def _facet_options(spark, sf_dir):
-    base = projects(spark, sf_dir)
-    offshore = sg.facets(sg.offshore_projects(base), ["site_name"])
-    return sg.facets(base, ["technology", "status", "region", "site_name"]).unionByName(
-        offshore.withColumn("facet", F.lit("offshore_site_name"))
-    )
-
-
-def _kpi_summary(spark, sf_dir):
-    return _rounded(sg.kpis(projects(spark, sf_dir)), 4, "total_capacity_mw", "average_capacity_mw")
+    return lambda df: sg.apply_filters(df, **choices).select(*_SHORT, "score")
 
 
 def _capacity_by(column, n):
-    def run(spark, sf_dir):
-        return _rounded(sg.capacity_by(projects(spark, sf_dir), column, n=n), 4, "capacity_mw")
-
-    return run
-
-
-def _leading_groups(spark, sf_dir):
-    return _rounded(sg.leading_groups(projects(spark, sf_dir)), 4, "capacity_mw")
-
-
-def _top10_share(spark, sf_dir):
-    shares = sg.top_share(projects(spark, sf_dir))
-    return _rounded(shares, 4, "top_capacity_mw", "total_capacity_mw", "share_percent")
-
-
-def _technology_by_stage(spark, sf_dir):
-    return _rounded(sg.capacity_matrix(projects(spark, sf_dir)), 4, "capacity_mw")
-
-
-def _map_points(spark, sf_dir):
-    return _rounded(sg.map_points(located(spark, sf_dir)), 6, "lat", "lon")
+    return lambda df: _rounded(sg.capacity_by(df, column, n=n), 4, "capacity_mw")
 
 
-def _first_by_name(spark, sf_dir):
-    return sg.first_by_name(projects(spark, sf_dir)).select(*_SHORT, "score")
-
-
-def _offshore(spark, sf_dir):
-    return sg.offshore_projects(projects(spark, sf_dir))
+def _facet_options(df):
+    offshore = sg.facets(sg.offshore_projects(df), ["site_name"])
+    return sg.facets(df, ["technology", "status", "region", "site_name"]).unionByName(
+        offshore.withColumn("facet", F.lit("offshore_site_name"))
+    )
 
 
 _FIGURES = (
@@ -128,21 +74,66 @@ _FIGURES = (
 )
 
 
-def _offshore_model(spark, sf_dir):
-    return sg.offshore_model(_offshore(spark, sf_dir)).select("ref_id", "site_name", "capacity_mw", *_FIGURES)
+def _offshore_model(df):
+    return sg.offshore_model(sg.offshore_projects(df)).select("ref_id", "site_name", "capacity_mw", *_FIGURES)
+
+
+# Queries on projects that are cleaned and scored, and where marked also located.
+ON_PROJECTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "screening_score": lambda df: df.select("ref_id", "score"),
+    "search_text": _filtered(query=SEARCH_TEXT),
+    "search_regex": _filtered(query=SEARCH_REGEX),
+    "filter_technology": _filtered(technology=TECHNOLOGY),
+    "filter_status": _filtered(status=STATUS),
+    "filter_region": _filtered(region=REGION),
+    "filter_combined": _filtered(technology=TECHNOLOGY, status=STATUS, region=REGION, query="site"),
+    "facet_options": _facet_options,
+    "offshore_projects": lambda df: sg.offshore_projects(df).select(*_SHORT, "score"),
+    "dataset_summary": sg.dataset_summary,
+    "kpi_summary": lambda df: _rounded(sg.kpis(df), 4, "total_capacity_mw", "average_capacity_mw"),
+    "capacity_by_technology": _capacity_by("technology", 8),
+    "capacity_by_region": _capacity_by("region", 8),
+    "capacity_by_stage": _capacity_by("status", 10),
+    "leading_groups": lambda df: _rounded(sg.leading_groups(df), 4, "capacity_mw"),
+    "largest_project": sg.largest_project,
+    "top10_share": lambda df: _rounded(
+        sg.top_share(df), 4, "top_capacity_mw", "total_capacity_mw", "share_percent"
+    ),
+    "technology_by_stage": lambda df: _rounded(sg.capacity_matrix(df), 4, "capacity_mw"),
+    "major_projects": sg.major_projects,
+    "preview_projects": sg.preview,
+    "first_by_name": lambda df: sg.first_by_name(df).select(*_SHORT, "score"),
+    "comparables": sg.comparables,
+    "offshore_model": _offshore_model,
+    "offshore_texts": lambda df: sg.offshore_texts(sg.offshore_model(sg.offshore_projects(df))),
+    "offshore_sensitivity": lambda df: sg.offshore_sensitivity(sg.offshore_projects(df)),
+    "project_details": lambda df: sg.project_details(sg.first_by_name(df)),
+    "project_headlines": lambda df: sg.project_headlines(sg.first_by_name(df)),
+    "project_briefs": lambda df: sg.project_briefs(sg.first_by_name(df)),
+}
+ON_LOCATED: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "coords": lambda df: _rounded(df.select("ref_id", "x", "y", "lon", "lat"), 6, "lon", "lat"),
+    "map_points": lambda df: _rounded(sg.map_points(df), 6, "lat", "lon"),
+}
+
+
+def _ingest_clean(spark, sf_dir):
+    return sg.clean(projects_raw(spark, sf_dir))
+
+
+def _score_components(spark, sf_dir):
+    return sg.with_score(_ingest_clean(spark, sf_dir), components=True).select(
+        "ref_id", "capacity_points", "status_points", "technology_points", "completeness_points", "score"
+    )
 
 
 def _offshore_scenarios(spark, sf_dir):
     """Every offshore project under its own accepted assumptions, joined by key."""
     accepted = sg.check_scenarios(scenarios(spark, sf_dir)).where("valid")
-    runs = sg.with_offshore_figures(_offshore(spark, sf_dir).join(accepted, "ref_id"))
+    runs = sg.with_offshore_figures(sg.offshore_projects(projects(spark, sf_dir)).join(accepted, "ref_id"))
     return runs.select("ref_id", "run", "capacity_mw", *_FIGURES)
 
 
-def _briefed(spark, sf_dir):
-    return sg.first_by_name(projects(spark, sf_dir))
-
-
 def _export_filtered(spark, sf_dir):
     path = new_dir(spark, "export")
     sg.export_csv(sg.apply_filters(located(spark, sf_dir), region=REGION, query="power"), path)
@@ -165,41 +156,17 @@ def _register_csv(spark, sf_dir):
     return sg.clean(sg.read_register(spark, path)).drop("ref_id")
 
 
+def _on(source, plan):
+    return lambda spark, sf_dir: plan(source(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_clean": _ingest_clean,
-    "coords": _coords,
-    "screening_score": _screening_score,
+    "register_csv": _register_csv,
     "score_components": _score_components,
-    "search_text": _filtered(query=SEARCH_TEXT),
-    "search_regex": _filtered(query=SEARCH_REGEX),
-    "filter_technology": _filtered(technology=TECHNOLOGY),
-    "filter_status": _filtered(status=STATUS),
-    "filter_region": _filtered(region=REGION),
-    "filter_combined": _filtered(technology=TECHNOLOGY, status=STATUS, region=REGION, query="site"),
-    "facet_options": _facet_options,
-    "offshore_projects": lambda spark, sf_dir: _offshore(spark, sf_dir).select(*_SHORT, "score"),
-    "dataset_summary": lambda spark, sf_dir: sg.dataset_summary(projects(spark, sf_dir)),
-    "kpi_summary": _kpi_summary,
-    "capacity_by_technology": _capacity_by("technology", 8),
-    "capacity_by_region": _capacity_by("region", 8),
-    "capacity_by_stage": _capacity_by("status", 10),
-    "leading_groups": _leading_groups,
-    "largest_project": lambda spark, sf_dir: sg.largest_project(projects(spark, sf_dir)),
-    "top10_share": _top10_share,
-    "technology_by_stage": _technology_by_stage,
-    "major_projects": lambda spark, sf_dir: sg.major_projects(projects(spark, sf_dir)),
-    "preview_projects": lambda spark, sf_dir: sg.preview(projects(spark, sf_dir)),
-    "map_points": _map_points,
-    "first_by_name": _first_by_name,
-    "comparables": lambda spark, sf_dir: sg.comparables(projects(spark, sf_dir)),
-    "offshore_model": _offshore_model,
-    "offshore_texts": lambda spark, sf_dir: sg.offshore_texts(sg.offshore_model(_offshore(spark, sf_dir))),
-    "offshore_sensitivity": lambda spark, sf_dir: sg.offshore_sensitivity(_offshore(spark, sf_dir)),
-    "offshore_scenarios": _offshore_scenarios,
     "scenario_check": lambda spark, sf_dir: sg.check_scenarios(scenarios(spark, sf_dir)),
-    "project_details": lambda spark, sf_dir: sg.project_details(_briefed(spark, sf_dir)),
-    "project_headlines": lambda spark, sf_dir: sg.project_headlines(_briefed(spark, sf_dir)),
-    "project_briefs": lambda spark, sf_dir: sg.project_briefs(_briefed(spark, sf_dir)),
+    "offshore_scenarios": _offshore_scenarios,
     "export_filtered": _export_filtered,
-    "register_csv": _register_csv,
+    **{name: _on(projects, plan) for name, plan in ON_PROJECTS.items()},
+    **{name: _on(located, plan) for name, plan in ON_LOCATED.items()},
 }

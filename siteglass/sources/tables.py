@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = ("orders", "customer", "nation", "region")
 
@@ -34,8 +35,15 @@ FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 """
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One test table. Its schema is read from the footer once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def projects_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
