@@ -4,18 +4,19 @@ Comparable means: same technology, another name, and a capacity between ``low``
 and ``high`` times the project's own. The ``n`` largest are wanted.
 
 Joining all pairs in the band would grow with the square of a popular technology,
-so no pair is ever formed. Instead the candidates are laid out in order of capacity
-and read once. At any point of that order the answer for every possible project is
-among the *recent rows*: of the rows just passed, the latest ``n`` of each name, and
-of those the latest ``2n``. A project skips at most ``n`` of them (its own name) and
-so finds its ``n`` there. The recent rows of two neighbouring stretches combine into
-those of both, which lets the order be cut anywhere: equal slices by range, whatever
-technology, capacity or name is frequent.
+so no pair is ever formed. Instead candidates and questions are laid out together in
+order of capacity, each question at the upper end of its band, and read once. At any
+point of that order every possible answer is among the *recent rows*: of the rows
+just passed, the latest ``n`` of each name, and of those the latest ``2n``. A question
+skips at most ``n`` of them (its own name) and so finds its ``n`` there. The recent
+rows of two neighbouring stretches combine into those of both, which lets the order
+be cut anywhere: into equal slices by range, whatever technology, capacity or name is
+frequent.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from siteglass.operators.filters import first_by_name
 from siteglass.sources.workspace import ensure_checkpoint_dir
 
-ROW, POINT = 0, 1
+ROW, QUESTION = 0, 1
 _ROW_COLUMNS = ("ref_id", "site_name", "capacity_mw", "region", "status", "score")
 
 
@@ -35,30 +36,23 @@ def comparables(df: DataFrame, low: float = 0.7, high: float = 1.3, n: int = 5)
     Ties in capacity go to the lower ``ref_id``. Needs a checkpoint folder.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    events = (
-        _events(_candidates(df, n), high)
+    rows = _events(_candidates(df, n), F.col("capacity_mw"), ROW)
+    questions = _events(_comparable(first_by_name(df)), F.col("capacity_mw") * F.lit(high), QUESTION)
+    # Both the carried rows and the final pass need the same slices, so the layout is
+    # made once and kept where lost executors cannot take it along.
+    laid = (
+        rows.unionByName(questions)
         .repartitionByRange("technology", "at", "kind", F.desc("ref_id"))
         .withColumn("slice", F.spark_partition_id())
         .checkpoint()
     )
-    answers = _recent_rows_at_points(events.unionByName(_carried_rows(events, n)), "at", n)
-
-    usable = F.filter(
-        F.col("rows"),
-        lambda row: ~row["site_name"].eqNullSafe(F.col("site_name"))
-        & (row["capacity_mw"] >= F.col("capacity_mw") * F.lit(low)),
-    )
-    found = (
-        first_by_name(df)
-        .select("ref_id", "site_name", "technology", "capacity_mw")
-        .join(answers.select("technology", F.col("key").alias("capacity_mw"), "rows"), ["technology", "capacity_mw"])
-        .select("ref_id", "site_name", "technology", "capacity_mw", F.slice(usable, 1, n).alias("rows"))
-    )
-    return found.select(
-        "ref_id",
-        "site_name",
+    in_slices = laid.unionByName(_carried_rows(laid, n)).repartition("slice")
+    answers = _answer(in_slices, ["slice", "technology"], [], _reader(n, low))
+    return answers.select(
+        "payload.ref_id",
+        "payload.site_name",
         "technology",
-        "capacity_mw",
+        "payload.capacity_mw",
         F.posexplode("rows").alias("position", "other"),
     ).select(
         "ref_id",
@@ -70,6 +64,13 @@ def comparables(df: DataFrame, low: float = 0.7, high: float = 1.3, n: int = 5)
     )
 
 
+def _comparable(df: DataFrame) -> DataFrame:
+    """Rows that have a band at all: with a technology and a capacity of 0 or more."""
+    return df.where(F.col("technology").isNotNull() & (F.col("capacity_mw") >= 0)).select(
+        "technology", *_ROW_COLUMNS
+    )
+
+
 def _keep_first(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """First ``n`` rows per key; Spark already thins them out before the shuffle."""
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -77,144 +78,116 @@ def _keep_first(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
 
 
 def _candidates(df: DataFrame, n: int) -> DataFrame:
-    """Rows that can be among some answer, thinned where capacities are equal.
-
-    A negative capacity is in no band, nor is a row without a technology.
-    """
-    rows = df.where(F.col("technology").isNotNull() & (F.col("capacity_mw") >= 0)).select(
-        "technology", *_ROW_COLUMNS
-    )
-    same = ["technology", "capacity_mw"]
-    return _keep_first(_keep_first(rows, [*same, "site_name"], [F.asc("ref_id")], n), same, [F.asc("ref_id")], 2 * n)
+    """Rows that can be among some answer, thinned where capacities are equal."""
+    same, order = ["technology", "capacity_mw"], [F.asc("ref_id")]
+    return _keep_first(_keep_first(_comparable(df), [*same, "site_name"], order, n), same, order, 2 * n)
 
 
-def _events(candidates: DataFrame, high: float) -> DataFrame:
-    """Each candidate as a row at its capacity, and one point per distinct capacity.
-
-    The point lies at the upper end of that capacity's band, after the rows there.
-    """
-    first = F.row_number().over(Window.partitionBy("technology", "capacity_mw").orderBy("ref_id")) == 1
-    payload = F.struct(*_ROW_COLUMNS)
-    row = F.struct(
-        F.col("capacity_mw").alias("at"),
-        F.lit(ROW).alias("kind"),
-        F.lit(None).cast("double").alias("key"),
-        F.col("ref_id"),
-        payload.alias("payload"),
-    )
-    point = F.struct(
-        (F.col("capacity_mw") * F.lit(high)).alias("at"),
-        F.lit(POINT).alias("kind"),
-        F.col("capacity_mw").alias("key"),
-        F.lit(None).cast("bigint").alias("ref_id"),
-        F.lit(None).cast(_struct_type(candidates)).alias("payload"),
+def _events(df: DataFrame, at: Column, kind: int) -> DataFrame:
+    return df.select(
+        "technology", at.alias("at"), F.lit(kind).alias("kind"), "ref_id", F.struct(*_ROW_COLUMNS).alias("payload")
     )
-    return candidates.withColumn("_first", first).select(
-        "technology", F.inline(F.when(F.col("_first"), F.array(row, point)).otherwise(F.array(row)))
-    )
-
 
-def _struct_type(candidates: DataFrame) -> T.StructType:
-    return T.StructType([candidates.schema[name] for name in _ROW_COLUMNS])
 
-
-def _carried_rows(events: DataFrame, n: int) -> DataFrame:
+def _carried_rows(laid: DataFrame, n: int) -> DataFrame:
     """For each slice, the recent rows of the slices before it, as rows of that slice.
 
     Works on at most ``2n`` rows per technology and slice, found with partial results
     per task, so its size follows the number of slices and not the data.
     """
-    kept = _keep_first(
-        events.where(F.col("kind") == ROW).withColumn("site_name", F.col("payload.site_name")),
-        ["slice", "technology", "site_name"],
-        [F.desc("at"), F.asc("ref_id")],
-        n,
-    )
-    kept = _keep_first(kept, ["slice", "technology"], [F.desc("at"), F.asc("ref_id")], 2 * n)
-    rows = kept.select("technology", "slice", "at", "kind", "key", "ref_id", "payload")
-    # A slice's point comes after the rows of the slice before it.
-    points = (
-        events.select("technology", "slice")
-        .distinct()
-        .select(
-            "technology",
-            (F.col("slice") - 1).alias("slice"),
-            F.lit(float("inf")).alias("at"),
-            F.lit(POINT).alias("kind"),
-            F.col("slice").cast("double").alias("key"),
-            F.lit(None).cast("bigint").alias("ref_id"),
-            F.lit(None).cast(events.schema["payload"].dataType).alias("payload"),
-        )
+    latest = [F.desc("at"), F.asc("ref_id")]
+    named = laid.where(F.col("kind") == ROW).withColumn("site_name", F.col("payload.site_name"))
+    kept = _keep_first(named, ["slice", "technology", "site_name"], latest, n).drop("site_name")
+    kept = _keep_first(kept, ["slice", "technology"], latest, 2 * n)
+    # What a slice inherits is asked before its own rows; its number travels as ref_id.
+    number = F.col("slice").cast("bigint")
+    blank = [
+        number.alias("ref_id") if field.name == "ref_id" else F.lit(None).cast(field.dataType).alias(field.name)
+        for field in laid.schema["payload"].dataType
+    ]
+    asked = laid.select("technology", "slice").distinct().select(
+        "technology",
+        F.lit(None).cast("double").alias("at"),
+        F.lit(QUESTION).alias("kind"),
+        number.alias("ref_id"),
+        F.struct(*blank).alias("payload"),
+        "slice",
     )
-    carried = _recent_rows_at_points(rows.unionByName(points), "slice", n)
-    return carried.select(
-        "technology", F.col("key").cast("int").alias("slice"), F.explode("rows").alias("payload")
+    summary = kept.unionByName(asked).repartition("technology")
+    inherited = _answer(summary, ["technology"], [F.asc("slice")], _reader(n, None))
+    return inherited.select(
+        "technology", F.col("payload.ref_id").cast("int").alias("slice"), F.explode("rows").alias("payload")
     ).select(
         "technology",
         F.col("payload.capacity_mw").alias("at"),
         F.lit(ROW).alias("kind"),
-        F.lit(None).cast("double").alias("key"),
         F.col("payload.ref_id").alias("ref_id"),
         "payload",
         "slice",
     )
 
 
-def _recent_rows_at_points(events: DataFrame, mode: str, n: int) -> DataFrame:
-    """(technology, key, rows): the recent rows, latest first, at every point.
-
-    ``mode`` "at" reads each (technology, slice) on its own; "slice" reads the few
-    summary rows of a technology across its slices.
-    """
-    order = [F.asc("at"), F.asc("kind"), F.desc("ref_id")]
-    if mode == "at":
-        group, laid = ["slice", "technology"], events.repartition("slice")
-    else:
-        group, laid = ["technology"], events.repartition("technology")
-        order.insert(0, F.asc("slice"))
-    laid = laid.sortWithinPartitions(*group, *order).select(
-        F.struct(*group).alias("group"), "technology", "kind", "key", "payload"
+def _answer(events: DataFrame, groups: list[str], before: list[Column], reader: Callable) -> DataFrame:
+    """(technology, payload, rows) for every question, from the recent rows of its group."""
+    order = [F.asc(name) for name in groups] + before + [F.asc("at"), F.asc("kind"), F.desc("ref_id")]
+    ordered = events.sortWithinPartitions(*order).select(
+        F.struct(*groups).alias("group"), "technology", "kind", "payload"
     )
+    payload = events.schema["payload"].dataType
     schema = T.StructType(
         [
             T.StructField("technology", T.StringType()),
-            T.StructField("key", T.DoubleType()),
-            T.StructField("rows", T.ArrayType(events.schema["payload"].dataType)),
+            T.StructField("payload", payload),
+            T.StructField("rows", T.ArrayType(payload)),
         ]
     )
-    return laid.mapInArrow(lambda batches: _read_in_order(batches, n), schema)
-
-
-def _read_in_order(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Pass over ordered events, holding only the recent rows of the current group."""
-    held, current = None, None
-    for batch in batches:
-        start = 0
-        if held is not None and held.num_rows:
-            start = held.num_rows
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        groups = batch.column("group").to_pylist()
-        kinds = batch.column("kind").to_pylist()
-        names = batch.column("payload").field("site_name").to_pylist()
-        recent = list(range(start))[::-1]  # positions in the batch, latest first
-        points, picks, ends = [], [], [0]
-        for i in range(start, batch.num_rows):
-            if groups[i] != current:
-                recent, current = [], groups[i]
-            if kinds[i] == POINT:
-                points.append(i)
-                picks.extend(recent)
-                ends.append(len(picks))
-                continue
-            same_name = [j for j in recent if names[j] == names[i]]
-            if len(same_name) == n:
-                recent.remove(same_name[-1])
-            recent = [i, *recent][: 2 * n]
-        held = batch.take(pa.array(recent[::-1], pa.int64()))
-        at_points = batch.take(pa.array(points, pa.int64()))
-        rows = pa.ListArray.from_arrays(
-            pa.array(ends, pa.int32()), batch.column("payload").take(pa.array(picks, pa.int64()))
-        )
-        yield pa.RecordBatch.from_arrays(
-            [at_points.column("technology"), at_points.column("key"), rows], ["technology", "key", "rows"]
-        )
+    return ordered.mapInArrow(reader, schema)
+
+
+def _reader(n: int, low: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A pass over ordered events that holds only the recent rows of the current group.
+
+    With ``low`` a question gets its ``n`` comparables, without it all recent rows.
+    The function is complete in itself: workers need not have this package.
+    """
+
+    def chosen(question, recent, names, capacities):
+        if low is None:
+            return recent
+        name, least = names[question], capacities[question] * low
+        return [j for j in recent if names[j] != name and capacities[j] >= least][:n]
+
+    def read(batches):
+        held, current = None, None
+        for batch in batches:
+            start = 0
+            if held is not None and held.num_rows:
+                start = held.num_rows
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            payload = batch.column("payload")
+            groups = batch.column("group").to_pylist()
+            kinds = batch.column("kind").to_pylist()
+            names = payload.field("site_name").to_pylist()
+            capacities = payload.field("capacity_mw").to_pylist()
+            recent = list(range(start))[::-1]  # positions in the batch, latest first
+            questions, picks, ends = [], [], [0]
+            for i in range(start, batch.num_rows):
+                if groups[i] != current:
+                    recent, current = [], groups[i]
+                if kinds[i] == QUESTION:
+                    questions.append(i)
+                    picks.extend(chosen(i, recent, names, capacities))
+                    ends.append(len(picks))
+                    continue
+                same_name = [j for j in recent if names[j] == names[i]]
+                if len(same_name) == n:
+                    recent.remove(same_name[-1])
+                recent = [i, *recent][: 2 * n]
+            held = batch.take(pa.array(recent[::-1], pa.int64()))
+            asked = batch.take(pa.array(questions, pa.int64()))
+            rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), payload.take(pa.array(picks, pa.int64())))
+            yield pa.RecordBatch.from_arrays(
+                [asked.column("technology"), asked.column("payload"), rows], ["technology", "payload", "rows"]
+            )
+
+    return read

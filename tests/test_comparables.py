@@ -1,10 +1,15 @@
 """Comparables against brute force, on data made to be awkward."""
 
+import pickle
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
 from siteglass import comparables
+from siteglass.operators.comparables import _reader
 from tests.rows import PROJECT_SCHEMA
 
 
@@ -99,3 +104,10 @@ def test_plan_has_no_pairing_join(spark):
     plan = comparables(df)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan
+
+
+def test_workers_need_no_package(tmp_path):
+    (tmp_path / "reader").write_bytes(cloudpickle.dumps(_reader(5, 0.7)))
+    code = "import pickle; pickle.load(open('reader', 'rb'))(iter(())).__next__"
+    subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, check=True)
+    assert callable(pickle.loads((tmp_path / "reader").read_bytes()))
