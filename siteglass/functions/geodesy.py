@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from math import radians, sin
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.functions.cleaning import finite
@@ -54,81 +54,65 @@ FROM_RECTIFYING = (
 MU0 = LAT0 + sum(weight * sin(2 * (k + 1) * LAT0) for k, weight in enumerate(TO_RECTIFYING))
 
 
-def _c(name: str) -> Column:
-    return F.col("_geo_" + name)
-
-
-def _to_airy_angles() -> list[dict[str, Column]]:
-    foot = _c("mu")
-    for k, weight in enumerate(FROM_RECTIFYING):
-        foot = foot + F.sin(_c("mu") * (2.0 * (k + 1))) * weight
-    t2, t4, q, ratio = _c("t2"), _c("t4"), _c("q"), _c("ratio")
-    return [
-        {"mu": (F.col("y") - NORTH0) / RECTIFYING_RADIUS + MU0, "d": F.col("x") - EAST0},
-        {"foot": foot},
-        {"sin": F.sin(_c("foot")), "cos": F.cos(_c("foot"))},
-        {"tan": _c("sin") / _c("cos"), "bend": F.lit(1.0) - _c("sin") * _c("sin") * _AIRY_E2},
-        # ratio is nu / rho; q is the squared distance from the meridian over nu squared.
-        {"nu": F.lit(AIRY_A * SCALE) / F.sqrt(_c("bend")), "ratio": _c("bend") / (1 - _AIRY_E2), "t2": _c("tan") * _c("tan")},
-        {"t4": t2 * t2, "q": (_c("d") / _c("nu")) * (_c("d") / _c("nu"))},
-        {
-            "lat": _c("foot")
-            - _c("tan")
-            * ratio
-            * q
-            * (
-                F.lit(0.5)
-                - q / 24 * (t2 * 3 + 5 + (ratio - 1) * (F.lit(1.0) - t2 * 9))
-                + q * q / 720 * (t2 * 90 + 61 + t4 * 45)
-            ),
-            "lon": F.lit(LON0)
-            + _c("d")
-            / (_c("nu") * _c("cos"))
-            * (
-                F.lit(1.0)
-                - q / 6 * (ratio + t2 * 2)
-                + q * q / 120 * (t2 * 28 + 5 + t4 * 24)
-                - q * q * q / 5040 * (t2 * 662 + 61 + t4 * 1320 + t4 * t2 * 720)
-            ),
-        },
-    ]
-
-
-def _to_shifted_axes() -> list[dict[str, Column]]:
-    (tx, ty, tz), (rx, ry, rz) = SHIFT_M, _ROTATION
-    return [
-        {"sin": F.sin(_c("lat")), "cos": F.cos(_c("lat"))},
-        {"nu": F.lit(AIRY_A) / F.sqrt(F.lit(1.0) - _c("sin") * _c("sin") * _AIRY_E2)},
-        {
-            "ax": _c("nu") * _c("cos") * F.cos(_c("lon")),
-            "ay": _c("nu") * _c("cos") * F.sin(_c("lon")),
-            "az": _c("nu") * _c("sin") * (1 - _AIRY_E2),
-        },
-        {
-            "bx": _c("ax") * _GROWTH - _c("ay") * rz + _c("az") * ry + tx,
-            "by": _c("ax") * rz + _c("ay") * _GROWTH - _c("az") * rx + ty,
-            "bz": _c("ay") * rx - _c("ax") * ry + _c("az") * _GROWTH + tz,
-        },
-    ]
-
-
-def _to_wgs_angles() -> list[dict[str, Column]]:
-    sin3 = _c("sin") * _c("sin") * _c("sin")
-    cos3 = _c("cos") * _c("cos") * _c("cos")
-    return [
-        {"flat": F.sqrt(_c("bx") * _c("bx") + _c("by") * _c("by"))},
-        {"theta": F.atan2(_c("bz") * WGS_A, _c("flat") * WGS_B)},
-        {"sin": F.sin(_c("theta")), "cos": F.cos(_c("theta"))},
-        {
-            "lat": F.degrees(
-                F.atan2(
-                    _c("bz") + sin3 * (_WGS_E2 / (1 - _WGS_E2) * WGS_B),
-                    _c("flat") - cos3 * (_WGS_E2 * WGS_A),
-                )
-            ),
-            "lon": F.degrees(F.atan2(_c("by"), _c("bx"))),
-        },
-    ]
+def _d(value: float) -> str:
+    return f"{value!r}D"
+
+
+_FOOTPOINT = "g_mu" + "".join(
+    f" + {_d(weight)} * sin({2 * (k + 1)} * g_mu)" for k, weight in enumerate(FROM_RECTIFYING)
+)
+
+# Names of steps: g_ratio is nu / rho, g_q the squared distance from the central
+# meridian over nu squared, g_t2 and g_t4 powers of the tangent of the latitude.
+_TO_AIRY_ANGLES = [
+    {"g_mu": f"(y - {_d(NORTH0)}) / {_d(RECTIFYING_RADIUS)} + {_d(MU0)}", "g_d": f"x - {_d(EAST0)}"},
+    {"g_foot": _FOOTPOINT},
+    {"g_sin": "sin(g_foot)", "g_cos": "cos(g_foot)"},
+    {"g_tan": "g_sin / g_cos", "g_bend": f"1D - {_d(_AIRY_E2)} * g_sin * g_sin"},
+    {
+        "g_nu": f"{_d(AIRY_A * SCALE)} / sqrt(g_bend)",
+        "g_ratio": f"g_bend / {_d(1 - _AIRY_E2)}",
+        "g_t2": "g_tan * g_tan",
+    },
+    {"g_t4": "g_t2 * g_t2", "g_q": "(g_d / g_nu) * (g_d / g_nu)"},
+    {
+        "g_lat": """g_foot - g_tan * g_ratio * g_q * (0.5D
+            - g_q / 24D * (5D + 3D * g_t2 + (g_ratio - 1D) * (1D - 9D * g_t2))
+            + g_q * g_q / 720D * (61D + 90D * g_t2 + 45D * g_t4))""",
+        "g_lon": f"""{_d(LON0)} + g_d / (g_nu * g_cos) * (1D
+            - g_q / 6D * (g_ratio + 2D * g_t2)
+            + g_q * g_q / 120D * (5D + 28D * g_t2 + 24D * g_t4)
+            - g_q * g_q * g_q / 5040D * (61D + 662D * g_t2 + 1320D * g_t4 + 720D * g_t4 * g_t2))""",
+    },
+]
+
+(_TX, _TY, _TZ), (_RX, _RY, _RZ) = map(_d, SHIFT_M), map(_d, _ROTATION)
+_TO_SHIFTED_AXES = [
+    {"g_sin": "sin(g_lat)", "g_cos": "cos(g_lat)"},
+    {"g_nu": f"{_d(AIRY_A)} / sqrt(1D - {_d(_AIRY_E2)} * g_sin * g_sin)"},
+    {
+        "g_ax": "g_nu * g_cos * cos(g_lon)",
+        "g_ay": "g_nu * g_cos * sin(g_lon)",
+        "g_az": f"g_nu * g_sin * {_d(1 - _AIRY_E2)}",
+    },
+    {
+        "g_bx": f"{_d(_GROWTH)} * g_ax - {_RZ} * g_ay + {_RY} * g_az + {_TX}",
+        "g_by": f"{_RZ} * g_ax + {_d(_GROWTH)} * g_ay - {_RX} * g_az + {_TY}",
+        "g_bz": f"{_RX} * g_ay - {_RY} * g_ax + {_d(_GROWTH)} * g_az + {_TZ}",
+    },
+]
+
+_TO_WGS_ANGLES = [
+    {"g_flat": "sqrt(g_bx * g_bx + g_by * g_by)"},
+    {"g_theta": f"atan2(g_bz * {_d(WGS_A)}, g_flat * {_d(WGS_B)})"},
+    {"g_sin": "sin(g_theta)", "g_cos": "cos(g_theta)"},
+    {
+        "g_lat": f"""degrees(atan2(
+            g_bz + {_d(_WGS_E2 / (1 - _WGS_E2) * WGS_B)} * g_sin * g_sin * g_sin,
+            g_flat - {_d(_WGS_E2 * WGS_A)} * g_cos * g_cos * g_cos))""",
+        "g_lon": "degrees(atan2(g_by, g_bx))",
+    },
+]
 
 
 def add_lon_lat(df: DataFrame) -> DataFrame:
@@ -138,9 +122,9 @@ def add_lon_lat(df: DataFrame) -> DataFrame:
     coordinates lie so far out that no finite angle results.
     """
     chain = df
-    for step in _to_airy_angles() + _to_shifted_axes() + _to_wgs_angles():
-        chain = chain.withColumns({"_geo_" + name: value for name, value in step.items()})
-    lon, lat = finite(_c("lon")), finite(_c("lat"))
+    for step in _TO_AIRY_ANGLES + _TO_SHIFTED_AXES + _TO_WGS_ANGLES:
+        chain = chain.withColumns({name: F.expr(formula) for name, formula in step.items()})
+    lon, lat = finite(F.col("g_lon")), finite(F.col("g_lat"))
     both = lon.isNotNull() & lat.isNotNull()
     place = F.struct(F.when(both, lon).alias("lon"), F.when(both, lat).alias("lat"))
     return chain.select(*[f"`{name}`" for name in df.columns], F.inline(F.array(place)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteglass.functions.columns import column_or_null, present
@@ -56,8 +56,12 @@ def apply_filters(
     return kept
 
 
+def is_offshore() -> Column:
+    return F.lower(F.col("technology")).contains("wind offshore")
+
+
 def offshore_projects(df: DataFrame) -> DataFrame:
-    return df.where(F.lower(F.col("technology")).contains("wind offshore"))
+    return df.where(is_offshore())
 
 
 def map_points(df: DataFrame) -> DataFrame:

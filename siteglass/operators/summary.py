@@ -147,9 +147,15 @@ def capacity_matrix(df: DataFrame, top: int = 6) -> DataFrame:
     return cells.join(F.broadcast(leaders), "technology", "left_semi").where(has_status)
 
 
-def facets(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Sorted distinct values of each column, as (facet, value), in one scan."""
-    pairs = [F.struct(F.lit(name).alias("facet"), F.col(name).alias("value")) for name in columns]
+def facets(df: DataFrame, columns: list[str] | dict[str, Column]) -> DataFrame:
+    """Sorted distinct values per facet, as (facet, value), all in one scan.
+
+    ``columns`` names columns, or maps facet names to expressions; a facet over some
+    rows only is an expression that is NULL elsewhere.
+    """
+    if not isinstance(columns, dict):
+        columns = {name: F.col(name) for name in columns}
+    pairs = [F.struct(F.lit(name).alias("facet"), value.alias("value")) for name, value in columns.items()]
     return (
         df.select(F.inline(F.array(*pairs)))
         .where(F.col("value").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import siteglass as sg
+from siteglass.operators.filters import is_offshore
 from siteglass.schema import CSV_HEADERS
 from siteglass.sources.tables import projects_raw, read_table
 from siteglass.sources.workspace import new_dir
@@ -56,10 +57,9 @@ def _capacity_by(column, n):
 
 
 def _facet_options(df):
-    offshore = sg.facets(sg.offshore_projects(df), ["site_name"])
-    return sg.facets(df, ["technology", "status", "region", "site_name"]).unionByName(
-        offshore.withColumn("facet", F.lit("offshore_site_name"))
-    )
+    options = {name: F.col(name) for name in ("technology", "status", "region", "site_name")}
+    options["offshore_site_name"] = F.when(is_offshore(), F.col("site_name"))
+    return sg.facets(df, options)
 
 
 _FIGURES = (
