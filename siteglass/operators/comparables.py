@@ -30,6 +30,10 @@ ROW, QUESTION = 0, 1
 _ROW_COLUMNS = ("ref_id", "site_name", "capacity_mw", "region", "status", "score")
 
 
+# Up to this many rows a table of inherited rows is sent to every task.
+_BROADCAST_ROWS = 100_000
+
+
 def comparables(df: DataFrame, low: float = 0.7, high: float = 1.3, n: int = 5) -> DataFrame:
     """Up to ``n`` comparables, ranked by capacity, of the first record of every name.
 
@@ -38,22 +42,32 @@ def comparables(df: DataFrame, low: float = 0.7, high: float = 1.3, n: int = 5)
     ensure_checkpoint_dir(df.sparkSession)
     rows = _events(_candidates(df, n), F.col("capacity_mw"), ROW)
     questions = _events(_comparable(first_by_name(df)), F.col("capacity_mw") * F.lit(high), QUESTION)
-    # Both the carried rows and the final pass need the same slices, so the layout is
-    # made once and kept where lost executors cannot take it along.
+    # Both uses below need the same slices, so the layout is made once and kept where
+    # lost executors cannot take it along. Each slice stays one partition.
     laid = (
         rows.unionByName(questions)
         .repartitionByRange("technology", "at", "kind", F.desc("ref_id"))
         .withColumn("slice", F.spark_partition_id())
         .checkpoint()
     )
-    in_slices = laid.unionByName(_carried_rows(laid, n)).repartition("slice")
-    answers = _answer(in_slices, ["slice", "technology"], [], _reader(n, low))
-    return answers.select(
+    in_slice = _answer(laid, ["slice", "technology"], [], _reader(n, low))
+    answers = in_slice.join(_inherited_rows(laid, n), ["slice", "technology"], "left").select(
+        "technology",
         "payload.ref_id",
         "payload.site_name",
-        "technology",
         "payload.capacity_mw",
-        F.posexplode("rows").alias("position", "other"),
+        "rows",
+        F.coalesce("inherited", F.array().cast(in_slice.schema["rows"].dataType)).alias("inherited"),
+    )
+    # What a question lacks in its own slice it finds further back.
+    further = F.filter(
+        F.col("inherited"),
+        lambda row: ~row["site_name"].eqNullSafe(F.col("site_name"))
+        & (row["capacity_mw"] >= F.col("capacity_mw") * F.lit(low)),
+    )
+    found = F.when(F.size("rows") == n, F.col("rows")).otherwise(F.slice(F.concat("rows", further), 1, n))
+    return answers.select(
+        "ref_id", "site_name", "technology", "capacity_mw", F.posexplode(found).alias("position", "other")
     ).select(
         "ref_id",
         "site_name",
@@ -78,8 +92,12 @@ def _keep_first(df: DataFrame, keys: list[str], order: list[Column], n: int) ->
 
 
 def _candidates(df: DataFrame, n: int) -> DataFrame:
-    """Rows that can be among some answer, thinned where capacities are equal."""
-    same, order = ["technology", "capacity_mw"], [F.asc("ref_id")]
+    """Rows that can be among some answer, thinned where capacities are equal.
+
+    Capacity leads the keys because Spark sorts by a number's value at once, while
+    texts with a common beginning need full comparisons.
+    """
+    same, order = ["capacity_mw", "technology"], [F.asc("ref_id")]
     return _keep_first(_keep_first(_comparable(df), [*same, "site_name"], order, n), same, order, 2 * n)
 
 
@@ -89,8 +107,8 @@ def _events(df: DataFrame, at: Column, kind: int) -> DataFrame:
     )
 
 
-def _carried_rows(laid: DataFrame, n: int) -> DataFrame:
-    """For each slice, the recent rows of the slices before it, as rows of that slice.
+def _inherited_rows(laid: DataFrame, n: int) -> DataFrame:
+    """(slice, technology, inherited): the recent rows of all slices before a slice.
 
     Works on at most ``2n`` rows per technology and slice, found with partial results
     per task, so its size follows the number of slices and not the data.
@@ -114,34 +132,26 @@ def _carried_rows(laid: DataFrame, n: int) -> DataFrame:
         "slice",
     )
     summary = kept.unionByName(asked).repartition("technology")
-    inherited = _answer(summary, ["technology"], [F.asc("slice")], _reader(n, None))
-    return inherited.select(
-        "technology", F.col("payload.ref_id").cast("int").alias("slice"), F.explode("rows").alias("payload")
-    ).select(
-        "technology",
-        F.col("payload.capacity_mw").alias("at"),
-        F.lit(ROW).alias("kind"),
-        F.col("payload.ref_id").alias("ref_id"),
-        "payload",
-        "slice",
+    inherited = _answer(summary, ["technology"], [F.asc("slice")], _reader(n, None)).select(
+        F.col("payload.ref_id").cast("int").alias("slice"), "technology", F.col("rows").alias("inherited")
     )
+    slices = int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return F.broadcast(inherited) if slices * 2 * n <= _BROADCAST_ROWS else inherited
 
 
 def _answer(events: DataFrame, groups: list[str], before: list[Column], reader: Callable) -> DataFrame:
-    """(technology, payload, rows) for every question, from the recent rows of its group."""
+    """The group's columns, payload and chosen rows of every question."""
     order = [F.asc(name) for name in groups] + before + [F.asc("at"), F.asc("kind"), F.desc("ref_id")]
-    ordered = events.sortWithinPartitions(*order).select(
-        F.struct(*groups).alias("group"), "technology", "kind", "payload"
-    )
+    ordered = events.sortWithinPartitions(*order).select(F.struct(*groups).alias("group"), "kind", "payload")
     payload = events.schema["payload"].dataType
     schema = T.StructType(
         [
-            T.StructField("technology", T.StringType()),
+            T.StructField("group", ordered.schema["group"].dataType),
             T.StructField("payload", payload),
             T.StructField("rows", T.ArrayType(payload)),
         ]
     )
-    return ordered.mapInArrow(reader, schema)
+    return ordered.mapInArrow(reader, schema).select("group.*", "payload", "rows")
 
 
 def _reader(n: int, low: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -187,7 +197,7 @@ def _reader(n: int, low: float | None) -> Callable[[Iterator[pa.RecordBatch]], I
             asked = batch.take(pa.array(questions, pa.int64()))
             rows = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), payload.take(pa.array(picks, pa.int64())))
             yield pa.RecordBatch.from_arrays(
-                [asked.column("technology"), asked.column("payload"), rows], ["technology", "payload", "rows"]
+                [asked.column("group"), asked.column("payload"), rows], ["group", "payload", "rows"]
             )
 
     return read
