@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.schema import CSV_HEADERS, REQUIRED_COLUMNS
@@ -18,13 +18,18 @@ def read_register(
     encoding: str = "ISO-8859-1",
     multi_line: bool = True,
     mode: str = "FAILFAST",
+    key: str | None = None,
 ) -> DataFrame:
     """Raw register rows: every cell as text, columns under their engine names.
 
-    Columns are found by header; unknown ones are kept under their own header.
-    ``ref_id`` is the place in the register: file by path, then row. Cells may hold
-    line breaks, which makes a file unsplittable; for large files without such cells
-    pass ``multi_line=False``, or deliver the register in many files.
+    Columns are found by header; unknown ones are kept under their own header. All
+    files must have the same one. Cells may hold line breaks, which makes a file
+    unsplittable; for large files without such cells pass ``multi_line=False``, or
+    deliver the register in many files.
+
+    ``ref_id`` is the whole number in column ``key`` if one is named. Otherwise it is
+    the place in the register: file by path, then row. (Beyond 65,535 files it follows
+    the order in which Spark reads them.) It is stored when the projects are landed.
 
     A row with too few or too many cells stops the read; ``mode="PERMISSIVE"`` fills
     short rows with NULL instead.
@@ -36,6 +41,7 @@ def read_register(
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", mode)
+        .option("enforceSchema", False)
         .csv(path)
     )
     engine_names = {header: name for name, header in CSV_HEADERS.items()}
@@ -44,25 +50,21 @@ def read_register(
     if absent:
         raise ValueError(f"the register lacks the columns {absent}")
     cells = [F.col(f"`{header}`").alias(name) for header, name in zip(raw.columns, names)]
-    files = sorted(raw.inputFiles())
+    if key is not None:
+        return raw.select(F.col(f"`{key}`").cast("bigint").alias("ref_id"), *cells)
     sequence = F.monotonically_increasing_id()
-    if len(files) <= 1:
+    files = sorted(raw.inputFiles())
+    if not 1 < len(files) < 1 << _FILE_BITS:
         return raw.select(sequence.alias("ref_id"), *cells)
-    if len(files) >= 1 << _FILE_BITS:
-        raise ValueError("more files than ref_id can number")
     # One small row per file, at most 65,535 of them: safe to broadcast.
     ranks = spark.createDataFrame([(file, rank) for rank, file in enumerate(files)], "_file string, _rank bigint")
     numbered = raw.select(*cells, F.input_file_name().alias("_file"), sequence.alias("_sequence")).join(
         F.broadcast(ranks), "_file", "left"
     )
-    return numbered.select(_packed_place().alias("ref_id"), *names_as_columns(names))
-
-
-def names_as_columns(names: list[str]) -> list:
-    return [F.col(f"`{name}`") for name in names]
+    return numbered.select(_packed_place().alias("ref_id"), *[f"`{name}`" for name in names])
 
 
-def _packed_place():
+def _packed_place() -> Column:
     """File rank, task and row in one number, in that order of weight."""
     task = F.shiftright("_sequence", 33)
     row = F.col("_sequence").bitwiseAND(F.lit((1 << 33) - 1))

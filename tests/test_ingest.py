@@ -179,6 +179,22 @@ def test_register_order_over_splits(spark, tmp_path, settings):
     assert names == sorted(names) and len(names) == 550
 
 
+def test_register_key(spark, tmp_path):
+    lines = [HEADER + ",Ref ID"] + [csv_line(site_name=f"s{i}", capacity_raw="1") + f",{90 - i}" for i in range(3)]
+    write_csv(tmp_path / "r.csv", "\n".join(lines) + "\n")
+    raw = sg.read_register(spark, str(tmp_path / "r.csv"), key="Ref ID")
+    assert [(row.ref_id, row.site_name) for row in raw.orderBy("ref_id").collect()] == [(88, "s2"), (89, "s1"), (90, "s0")]
+
+
+def test_files_with_other_headers_stop(spark, tmp_path):
+    write_csv(tmp_path / "in" / "a.csv", HEADER + "\n" + csv_line(site_name="A", capacity_raw="1") + "\n")
+    other = ",".join(reversed(HEADER.split(",")))
+    write_csv(tmp_path / "in" / "b.csv", other + "\n" + csv_line(site_name="B", capacity_raw="1") + "\n")
+    for multi_line in (True, False):
+        with pytest.raises(Exception, match="header"):
+            sg.read_register(spark, str(tmp_path / "in"), multi_line=multi_line).collect()
+
+
 def test_broken_register_stops(spark, tmp_path):
     write_csv(tmp_path / "r.csv", HEADER + "\n" + csv_line(site_name="A", capacity_raw="1") + ",one,too,many\n")
     with pytest.raises(Exception, match="MALFORMED_CSV_RECORD"):

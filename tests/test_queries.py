@@ -1,8 +1,10 @@
 """Every registered query against its SQL, and what the plans look like."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
+import siteglass as sg
 from siteglass.plans.queries import ON_LOCATED, ON_PROJECTS, located
 from siteglass.sources.register import read_projects, write_projects
 from tests.compare import duck, duck_table, spark_table
@@ -61,3 +63,14 @@ def test_choices_reach_the_scan(landed):
     plan = plan_of(ON_PROJECTS["filter_combined"](landed))
     for part in ("EqualTo(technology,Solar Photovoltaics)", "EqualTo(status,Planning Granted)", "EqualTo(region,EUROPE)"):
         assert part in plan
+
+
+def test_sums_agree(landed):
+    """Groups never hold more than the total, and scores stay in their range."""
+    total = sg.kpis(landed).collect()[0].total_capacity_mw
+    for column in ("technology", "region", "status"):
+        groups = sg.capacity_by(landed, column, n=10_000).collect()
+        missing = landed.where(F.col(column).isNull()).agg(F.sum("capacity_mw")).collect()[0][0]
+        assert sum(row.capacity_mw for row in groups) + missing == pytest.approx(total)
+    low, high = landed.agg(F.min("score"), F.max("score")).collect()[0]
+    assert 23 <= low <= high <= 100
