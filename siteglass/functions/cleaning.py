@@ -33,8 +33,12 @@ def to_day(cell: Column) -> Column:
 
 
 def is_filled(cell: Column) -> Column:
-    """True when the cell holds any visible character; false for NULL."""
-    return F.coalesce(cell.rlike(VISIBLE_PATTERN), F.lit(False))
+    """True when the cell holds any visible character; false for NULL.
+
+    Most cells begin with a plain visible character; only the others need the pattern.
+    """
+    begins_visible = F.ascii(cell).between(33, 126)
+    return F.coalesce(F.when(begins_visible, F.lit(True)).otherwise(cell.rlike(VISIBLE_PATTERN)), F.lit(False))
 
 
 def finite(value: Column) -> Column:

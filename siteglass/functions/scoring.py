@@ -35,8 +35,7 @@ def _first_match(cases: list[tuple[Column, int]], rest: int) -> Column:
     return chain.otherwise(F.lit(rest))
 
 
-def _text_points(cell: Column, words: tuple[tuple[str, int], ...], rest: int) -> Column:
-    text = F.lower(cell)
+def _text_points(text: Column, words: tuple[tuple[str, int], ...], rest: int) -> Column:
     return _first_match([(text.contains(word), points) for word, points in words], rest)
 
 
@@ -45,10 +44,12 @@ def capacity_points(capacity: Column) -> Column:
 
 
 def status_points(status: Column) -> Column:
+    """Points of a status in lower case."""
     return _text_points(status, STATUS_POINTS, STATUS_REST)
 
 
 def technology_points(technology: Column) -> Column:
+    """Points of a technology in lower case."""
     return _text_points(technology, TECHNOLOGY_POINTS, TECHNOLOGY_REST)
 
 

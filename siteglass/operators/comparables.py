@@ -175,7 +175,7 @@ def _reader(n: int, low: float | None) -> Callable[[Iterator[pa.RecordBatch]], I
                 start = held.num_rows
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             payload = batch.column("payload")
-            groups = batch.column("group").to_pylist()
+            groups = list(zip(*[part.to_pylist() for part in batch.column("group").flatten()]))
             kinds = batch.column("kind").to_pylist()
             names = payload.field("site_name").to_pylist()
             capacities = payload.field("capacity_mw").to_pylist()

@@ -34,18 +34,21 @@ def with_lat_lon(df: DataFrame) -> DataFrame:
 
 def with_score(df: DataFrame, components: bool = False) -> DataFrame:
     """Add the screening ``score`` and, if asked, its four parts."""
+    # Lowered once, in a step of their own, and not once per word looked for.
+    lowered = {"_" + name: F.lower(column_or_null(df, name)) for name in ("status", "technology")}
     parts = {
         "capacity_points": scoring.capacity_points(F.col("capacity_mw")),
-        "status_points": scoring.status_points(column_or_null(df, "status")),
-        "technology_points": scoring.technology_points(column_or_null(df, "technology")),
+        "status_points": scoring.status_points(F.col("_status")),
+        "technology_points": scoring.technology_points(F.col("_technology")),
         "completeness_points": scoring.completeness_points(
             [F.col(name) for name in present(df, COMPLETENESS_COLUMNS)]
         ),
     }
+    scored = df.withColumns(lowered)
     if components:
-        df = df.withColumns(parts)
+        scored = scored.withColumns(parts)
         parts = {name: F.col(name) for name in parts}
-    return df.withColumn("score", scoring.total_points(*parts.values()))
+    return scored.withColumn("score", scoring.total_points(*parts.values())).drop(*lowered)
 
 
 def prepare(raw: DataFrame) -> DataFrame:
