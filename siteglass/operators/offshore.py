@@ -100,6 +100,7 @@ def offshore_model(df: DataFrame, scenarios: Sequence[Scenario] = (DEFAULT_SCENA
 def offshore_texts(model: DataFrame) -> DataFrame:
     """The model's results as display text."""
     texts = {
+        "capacity_text": amount_text(F.col("capacity_mw"), 0, after=" MW"),
         "annual_energy_text": amount_text(F.col("annual_energy_mwh"), 0, after=" MWh/year"),
         "turbines_text": amount_text(F.col("turbines"), 1),
         "annual_revenue_text": amount_text(F.col("annual_revenue") / 1e6, 1, "£", "m/year"),

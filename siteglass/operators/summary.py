@@ -112,7 +112,9 @@ def _largest(df: DataFrame, n: int) -> DataFrame:
 
 
 def largest_project(df: DataFrame) -> DataFrame:
-    return _largest(df, 1).select("ref_id", "site_name", "capacity_mw")
+    """The project with most capacity, the figure also as display text."""
+    text = amount_text(F.col("capacity_mw"), 0, after=" MW").alias("capacity_text")
+    return _largest(df, 1).select("ref_id", "site_name", "capacity_mw", text)
 
 
 def top_share(df: DataFrame, n: int = 10) -> DataFrame:
@@ -122,11 +124,11 @@ def top_share(df: DataFrame, n: int = 10) -> DataFrame:
     """
     largest = df.select("capacity_mw").orderBy(F.desc("capacity_mw")).limit(n).agg(_total("capacity_mw"))
     total = df.agg(_total("capacity_mw").alias("total_capacity_mw"))
-    return total.select(
-        largest.scalar().alias("top_capacity_mw"), F.col("total_capacity_mw")
-    ).withColumn(
-        "share_percent",
-        not_nan(F.coalesce(F.try_divide("top_capacity_mw", "total_capacity_mw") * 100, F.lit(0.0))),
+    share = F.coalesce(F.try_divide("top_capacity_mw", "total_capacity_mw") * 100, F.lit(0.0))
+    return (
+        total.select(largest.scalar().alias("top_capacity_mw"), "total_capacity_mw")
+        .withColumn("share_percent", not_nan(share))
+        .withColumn("share_text", amount_text(F.round("share_percent", 6), 1, after="%"))
     )
 
 

@@ -279,10 +279,12 @@ ORACLE_SQL: dict[str, str] = {
     "capacity_by_stage": _top_groups("status", 10),
     "leading_groups": _q(_leader("technology") + " UNION ALL " + _leader("region")),
     "largest_project": _q(
-        "SELECT ref_id, site_name, capacity_mw FROM projects ORDER BY capacity_mw DESC, ref_id LIMIT 1"
+        "SELECT ref_id, site_name, capacity_mw, format('{:,.0f} MW', capacity_mw) AS capacity_text "
+        "FROM projects ORDER BY capacity_mw DESC, ref_id LIMIT 1"
     ),
     "top10_share": _q(
-        """SELECT round(top, 4) AS top_capacity_mw, round(total, 4) AS total_capacity_mw, round(top / total * 100, 4) AS share_percent
+        """SELECT round(top, 4) AS top_capacity_mw, round(total, 4) AS total_capacity_mw, round(top / total * 100, 4) AS share_percent,
+         format('{:,.1f}%', round(top / total * 100, 6)) AS share_text
         FROM (SELECT sum(capacity_mw) AS total FROM projects),
          (SELECT sum(capacity_mw) AS top FROM (SELECT capacity_mw FROM projects ORDER BY capacity_mw DESC, ref_id LIMIT 10))"""
     ),
@@ -319,7 +321,8 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "offshore_model": _q(_model("offshore", "ref_id, site_name, capacity_mw", _DEFAULTS)),
     "offshore_texts": _q(
-        f"""SELECT ref_id, site_name, format('{{:,.0f}} MWh/year', annual_energy_mwh) AS annual_energy_text,
+        f"""SELECT ref_id, site_name, format('{{:,.0f}} MW', capacity_mw) AS capacity_text,
+         format('{{:,.0f}} MWh/year', annual_energy_mwh) AS annual_energy_text,
          format('{{:,.1f}}', turbines) AS turbines_text, format('£{{:,.1f}}m/year', annual_revenue / 1e6) AS annual_revenue_text,
          format('£{{:,.2f}}bn', total_capex / 1e9) AS total_capex_text, format('{{:,.1f}} years', simple_payback) AS simple_payback_text,
          format('£{{:,.2f}}bn', lifetime_revenue / 1e9) AS lifetime_revenue_text,

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteglass.functions.columns import present
 from siteglass.schema import EXPORT_HEADERS, TYPED_COLUMNS
 
+_DERIVED = ("lon", "lat", "last_updated", "score")
+
 
 def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write every row and column as UTF-8 CSV part files under register headers.
 
-    ``ref_id`` is the engine's own and stays out. Missing cells are empty.
+    Derived columns come last. ``ref_id`` is the engine's own and stays out. Missing
+    cells are empty.
     """
-    columns = [F.col(f"`{name}`").alias(EXPORT_HEADERS.get(name, name)) for name in df.columns if name != "ref_id"]
+    names = [name for name in df.columns if name not in ("ref_id", *_DERIVED)] + present(df, _DERIVED)
+    columns = [F.col(f"`{name}`").alias(EXPORT_HEADERS.get(name, name)) for name in names]
     (
         df.select(*columns)
         .write.mode(mode)

@@ -141,6 +141,16 @@ def test_register_file(spark, tmp_path):
     assert [row.capacity_mw for row in rows] == [1200.0, 20.0]
 
 
+def test_register_can_be_queried_before_it_lands(spark, tmp_path):
+    lines = [HEADER] + [csv_line(site_name=f"s{i}", capacity_raw=str(i), region="AB"[i % 2]) for i in range(10)]
+    write_csv(tmp_path / "in" / "a.csv", "\n".join(lines) + "\n")
+    write_csv(tmp_path / "in" / "b.csv", "\n".join(lines) + "\n")
+    for multi_line in (True, False):
+        df = sg.clean(sg.read_register(spark, str(tmp_path / "in"), multi_line=multi_line))
+        assert [tuple(row) for row in sg.capacity_by(df, "region").collect()] == [("B", 50.0), ("A", 40.0)]
+        assert df.count() == 20
+
+
 def test_register_without_optional_columns(spark, tmp_path):
     write_csv(
         tmp_path / "r.csv",
@@ -225,8 +235,9 @@ def test_export_round_trip(spark, tmp_path):
     df = sg.prepare(raw_frame(spark, rows))
     sg.export_csv(df, str(tmp_path / "out"))
     back = sg.read_export(spark, str(tmp_path / "out"))
-    assert back.columns == [name for name in df.columns if name != "ref_id"]
-    assert sorted(back.collect(), key=str) == sorted(df.drop("ref_id").collect(), key=str)
+    assert back.columns[-4:] == ["lon", "lat", "last_updated", "score"]
+    assert sorted(back.collect(), key=str) == sorted(df.select(*back.columns).collect(), key=str)
+    assert set(back.columns) == set(df.columns) - {"ref_id"}
     text = "".join(file.read_text(encoding="utf-8", newline="") for file in (tmp_path / "out").glob("*.csv"))
     assert text.startswith("Site Name,Operator (or Applicant),Technology Type,Installed Capacity (MWelec),")
     assert "Planning Permission  Granted" in text and "Screening Score" in text

@@ -92,9 +92,9 @@ def test_summaries(register):
     assert (kpis.total_capacity_text, kpis.average_capacity_text) == ("700 MW", "140.0 MW")
     assert [tuple(r) for r in sg.capacity_by(register, "technology", n=2).collect()] == [("Battery", 350.0), ("Wind Offshore", 100.0)]
     assert sorted(tuple(r) for r in sg.leading_groups(register).collect()) == [("region", "East", 400.0), ("technology", "Battery", 350.0)]
-    assert tuple(sg.largest_project(register).collect()[0]) == (2, "Alpha", 300.0)
+    assert tuple(sg.largest_project(register).collect()[0]) == (2, "Alpha", 300.0, "300 MW")
     share = sg.top_share(register, n=2).collect()[0]
-    assert (share.top_capacity_mw, share.share_percent) == (550.0, 550 / 700 * 100)
+    assert (share.top_capacity_mw, share.share_percent, share.share_text) == (550.0, 550 / 700 * 100, "78.6%")
     assert [r.capacity_mw for r in sg.major_projects(register, 3).collect()] == [300.0, 250.0, 100.0]
     assert [r.site_name for r in sg.preview(register, 2).collect()] == ["Alpha", "Beta"]
 
