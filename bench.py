@@ -14,11 +14,9 @@ import tempfile
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 import siteglass as sg
 from siteglass.plans.queries import ON_LOCATED, ON_PROJECTS
-from siteglass.schema import CSV_HEADERS
 from siteglass.sources.tables import projects_raw
 
 RUNS = 3
@@ -58,16 +56,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = session(cpus)
     work = tempfile.mkdtemp(prefix="siteglass-bench-")
-    headed = projects_raw(spark, sf_dir).select(*[F.col(name).alias(header) for name, header in CSV_HEADERS.items()])
-    (
-        headed.repartition(int(cpus) if cpus.isdigit() else 8)
-        .write.option("header", True)
-        .option("encoding", "ISO-8859-1")
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(f"{work}/register")
-    )
+    parts = int(cpus) if cpus.isdigit() else 8
+    sg.write_register_csv(projects_raw(spark, sf_dir).repartition(parts), f"{work}/register")
 
     def load():
         sg.write_projects(sg.prepare(sg.read_register(spark, f"{work}/register")), f"{work}/projects", mode="overwrite")

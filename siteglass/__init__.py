@@ -39,6 +39,6 @@ from siteglass.operators.summary import (
 )
 from siteglass.plans.projects import clean, prepare, with_lat_lon, with_score
 from siteglass.sources.register import read_projects, read_register, write_projects
-from siteglass.sources.sinks import export_csv, read_export, write_briefs
+from siteglass.sources.sinks import export_csv, read_export, write_briefs, write_register_csv
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 import siteglass as sg
 from siteglass.operators.filters import is_offshore
-from siteglass.schema import CSV_HEADERS
 from siteglass.sources.tables import projects_raw, read_table
 from siteglass.sources.workspace import new_dir
 
@@ -143,16 +142,7 @@ def _export_filtered(spark, sf_dir):
 def _register_csv(spark, sf_dir):
     """The whole register written as Latin-1 CSV and read as a source."""
     path = new_dir(spark, "register")
-    raw = projects_raw(spark, sf_dir)
-    headed = raw.select(*[F.col(name).alias(header) for name, header in CSV_HEADERS.items()])
-    (
-        headed.write.option("header", True)
-        .option("encoding", "ISO-8859-1")
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    sg.write_register_csv(projects_raw(spark, sf_dir), path)
     return sg.clean(sg.read_register(spark, path)).drop("ref_id")
 
 

@@ -1,4 +1,4 @@
-"""Exports: all rows as CSV, briefs as Parquet."""
+"""Writing: registers and exports as CSV, briefs as Parquet."""
 
 from __future__ import annotations
 
@@ -6,23 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.functions.columns import present
-from siteglass.schema import EXPORT_HEADERS, TYPED_COLUMNS
+from siteglass.schema import CSV_HEADERS, EXPORT_HEADERS, TYPED_COLUMNS
 
 _DERIVED = ("lon", "lat", "last_updated", "score")
 
 
-def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write every row and column as UTF-8 CSV part files under register headers.
+def write_register_csv(raw: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write raw rows as the register is delivered: Latin-1 CSV under its headers."""
+    columns = [F.col(name).alias(header) for name, header in CSV_HEADERS.items() if name in raw.columns]
+    _write_csv(raw.select(*columns), path, mode, "ISO-8859-1")
 
-    Derived columns come last. ``ref_id`` is the engine's own and stays out. Missing
-    cells are empty.
-    """
-    names = [name for name in df.columns if name not in ("ref_id", *_DERIVED)] + present(df, _DERIVED)
-    columns = [F.col(f"`{name}`").alias(EXPORT_HEADERS.get(name, name)) for name in names]
+
+def _write_csv(df: DataFrame, path: str, mode: str, encoding: str) -> None:
     (
-        df.select(*columns)
-        .write.mode(mode)
+        df.write.mode(mode)
         .option("header", True)
+        .option("encoding", encoding)
         .option("emptyValue", "")
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
@@ -31,6 +30,17 @@ def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
+def export_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write every row and column as UTF-8 CSV part files under register headers.
+
+    Derived columns come last. ``ref_id`` is the engine's own and stays out. Missing
+    cells are empty.
+    """
+    names = [name for name in df.columns if name not in ("ref_id", *_DERIVED)] + present(df, _DERIVED)
+    columns = [F.col(f"`{name}`").alias(EXPORT_HEADERS.get(name, name)) for name in names]
+    _write_csv(df.select(*columns), path, mode, "UTF-8")
+
+
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Read an export back under engine names and types."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)

@@ -59,6 +59,12 @@ def test_short_lists_do_not_sort_everything(landed, name):
     assert "TakeOrderedAndProject" in plan_of(ON_PROJECTS[name](landed))
 
 
+def test_rows_are_thinned_before_the_shuffle(landed):
+    for name in ("first_by_name", "comparables", "project_briefs"):
+        plan = plan_of(ON_PROJECTS[name](landed))
+        assert "row_number(), 1, Partial" in plan or "row_number(), 5, Partial" in plan
+
+
 def test_choices_reach_the_scan(landed):
     plan = plan_of(ON_PROJECTS["filter_combined"](landed))
     for part in ("EqualTo(technology,Solar Photovoltaics)", "EqualTo(status,Planning Granted)", "EqualTo(region,EUROPE)"):
