@@ -30,6 +30,7 @@ from siteglass.operators.summary import (
     capacity_matrix,
     dataset_summary,
     facets,
+    group_kpis,
     kpis,
     largest_project,
     leading_groups,

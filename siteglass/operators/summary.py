@@ -20,6 +20,9 @@ PREVIEW_COLUMNS = (
     "planning_authority",
     "score",
 )
+# Up to this many leading groups are sent to every task.
+_BROADCAST_ROWS = 10_000
+
 MAJOR_COLUMNS = ("site_name", "technology", "capacity_mw", "region", "status", "score")
 
 
@@ -38,17 +41,34 @@ def dataset_summary(df: DataFrame) -> DataFrame:
 
 
 def kpis(df: DataFrame) -> DataFrame:
-    """Headline figures in one pass, raw and as display text.
-
-    The texts start from figures rounded to a watt, so that the order in which
-    partial sums meet cannot show.
-    """
+    """Headline figures in one pass, raw and as display text."""
     totals = df.agg(
         F.count(F.lit(1)).alias("projects"),
         _total("capacity_mw").alias("total_capacity_mw"),
         F.avg("capacity_mw").alias("average_capacity_mw"),
         _latest(df).alias("latest_update"),
     )
+    return _with_kpi_texts(totals)
+
+
+def group_kpis(groups: DataFrame) -> DataFrame:
+    """The same figures as ``kpis`` from what ``capacity_groups`` returns."""
+    totals = groups.agg(
+        F.coalesce(F.sum("projects"), F.lit(0)).alias("projects"),
+        _total("capacity_mw").alias("total_capacity_mw"),
+        F.max("last_updated").alias("latest_update"),
+    ).select(
+        "projects",
+        "total_capacity_mw",
+        F.try_divide("total_capacity_mw", "projects").alias("average_capacity_mw"),
+        "latest_update",
+    )
+    return _with_kpi_texts(totals)
+
+
+def _with_kpi_texts(totals: DataFrame) -> DataFrame:
+    """Add display texts, made from figures rounded to a watt, so that the order in
+    which partial sums meet cannot show."""
     return totals.withColumns(
         {
             "total_capacity_text": amount_text(F.round("total_capacity_mw", 6), 0, after=" MW"),
@@ -59,12 +79,17 @@ def kpis(df: DataFrame) -> DataFrame:
 
 
 def capacity_groups(df: DataFrame) -> DataFrame:
-    """Capacity by technology, status and region at once.
+    """Capacity, count and latest update by technology, status and region at once.
 
-    Small enough to persist, and the grouped operators below accept it in place
-    of the projects: a report then reads the register once.
+    Small enough to persist. ``group_kpis``, ``capacity_by``, ``leading_groups`` and
+    ``capacity_matrix`` take it in place of the projects: a report then reads the
+    register once.
     """
-    return df.groupBy("technology", "status", "region").agg(F.sum("capacity_mw").alias("capacity_mw"))
+    return df.groupBy("technology", "status", "region").agg(
+        F.sum("capacity_mw").alias("capacity_mw"),
+        F.count(F.lit(1)).alias("projects"),
+        _latest(df).alias("last_updated"),
+    )
 
 
 def capacity_by(
@@ -146,7 +171,9 @@ def capacity_matrix(df: DataFrame, top: int = 6) -> DataFrame:
     # A condition on status alone would move below the aggregate and split the two
     # uses of ``cells``; tied to the sum it stays above, and Spark aggregates once.
     has_status = F.when(F.col("capacity_mw").isNotNull(), F.col("status")).isNotNull()
-    return cells.join(F.broadcast(leaders), "technology", "left_semi").where(has_status)
+    if top <= _BROADCAST_ROWS:
+        leaders = F.broadcast(leaders)
+    return cells.join(leaders, "technology", "left_semi").where(has_status)
 
 
 def facets(df: DataFrame, columns: list[str] | dict[str, Column]) -> DataFrame:

@@ -239,6 +239,12 @@ def _brief() -> str:
     return " || chr(10) || ".join(lines)
 
 
+_KPIS = """SELECT count(*) AS projects, round(coalesce(sum(capacity_mw), 0), 4) AS total_capacity_mw,
+         round(avg(capacity_mw), 4) AS average_capacity_mw, max(last_updated) AS latest_update,
+         format('{:,.0f} MW', round(sum(capacity_mw), 6)) AS total_capacity_text,
+         format('{:,.1f} MW', round(avg(capacity_mw), 6)) AS average_capacity_text,
+         coalesce(strftime(max(last_updated), '%d %b %Y'), 'N/A') AS latest_update_text FROM projects"""
+
 _CLEAN_COLUMNS = ", ".join([*_TEXT, "capacity_mw", "x", "y", "last_updated"])
 
 ORACLE_SQL: dict[str, str] = {
@@ -267,13 +273,8 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT count(*) AS records, max(last_updated) AS latest_update, "
         "coalesce(strftime(max(last_updated), '%d %b %Y'), 'N/A') AS latest_update_text FROM projects"
     ),
-    "kpi_summary": _q(
-        """SELECT count(*) AS projects, round(coalesce(sum(capacity_mw), 0), 4) AS total_capacity_mw,
-         round(avg(capacity_mw), 4) AS average_capacity_mw, max(last_updated) AS latest_update,
-         format('{:,.0f} MW', round(sum(capacity_mw), 6)) AS total_capacity_text,
-         format('{:,.1f} MW', round(avg(capacity_mw), 6)) AS average_capacity_text,
-         coalesce(strftime(max(last_updated), '%d %b %Y'), 'N/A') AS latest_update_text FROM projects"""
-    ),
+    "kpi_summary": _q(_KPIS),
+    "kpi_from_groups": _q(_KPIS),
     "capacity_by_technology": _top_groups("technology", 8),
     "capacity_by_region": _top_groups("region", 8),
     "capacity_by_stage": _top_groups("status", 10),

@@ -90,6 +90,9 @@ ON_PROJECTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "offshore_projects": lambda df: sg.offshore_projects(df).select(*_SHORT, "score"),
     "dataset_summary": sg.dataset_summary,
     "kpi_summary": lambda df: _rounded(sg.kpis(df), 4, "total_capacity_mw", "average_capacity_mw"),
+    "kpi_from_groups": lambda df: _rounded(
+        sg.group_kpis(sg.capacity_groups(df)), 4, "total_capacity_mw", "average_capacity_mw"
+    ),
     "capacity_by_technology": _capacity_by("technology", 8),
     "capacity_by_region": _capacity_by("region", 8),
     "capacity_by_stage": _capacity_by("status", 10),

@@ -124,6 +124,8 @@ def test_grouped_operators_accept_the_pre_aggregate(register):
     groups = sg.capacity_groups(register)
     for operator in (lambda df: sg.capacity_by(df, "region", n=8), sg.leading_groups, sg.capacity_matrix):
         assert sorted(operator(groups).collect()) == sorted(operator(register).collect())
+    assert sg.group_kpis(groups).collect() == sg.kpis(register).collect()
+    assert sg.group_kpis(groups.where("false")).collect() == sg.kpis(register.where("false")).collect()
 
 
 def test_empty_register(register):
