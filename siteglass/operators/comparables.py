@@ -28,8 +28,6 @@ from siteglass.sources.workspace import ensure_checkpoint_dir
 
 ROW, QUESTION = 0, 1
 _ROW_COLUMNS = ("ref_id", "site_name", "capacity_mw", "region", "status", "score")
-
-
 # Up to this many rows a table of inherited rows is sent to every task.
 _BROADCAST_ROWS = 100_000
 
@@ -132,10 +130,13 @@ def _inherited_rows(laid: DataFrame, n: int) -> DataFrame:
         "slice",
     )
     summary = kept.unionByName(asked).repartition("technology")
-    inherited = _answer(summary, ["technology"], [F.asc("slice")], _reader(n, None)).select(
-        F.col("payload.ref_id").cast("int").alias("slice"), "technology", F.col("rows").alias("inherited")
+    inherited = (
+        _answer(summary, ["technology"], [F.asc("slice")], _reader(n, None))
+        .where(F.size("rows") > 0)
+        .select(F.col("payload.ref_id").cast("int").alias("slice"), "technology", F.col("rows").alias("inherited"))
     )
-    slices = int(laid.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Only a technology that reaches across a cut inherits: at most one per slice.
+    slices = laid.rdd.getNumPartitions()
     return F.broadcast(inherited) if slices * 2 * n <= _BROADCAST_ROWS else inherited
 
 

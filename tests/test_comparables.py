@@ -81,6 +81,13 @@ def test_one_name_fills_whole_slices(spark, settings):
     check(spark, rows)
 
 
+def test_without_broadcast(spark, settings, monkeypatch):
+    monkeypatch.setattr("siteglass.operators.comparables._BROADCAST_ROWS", 0)
+    settings(adaptive__coalescePartitions__enabled="false", autoBroadcastJoinThreshold="-1")
+    technologies, names, capacities = SHAPES["hot name"]
+    check(spark, register(5, 500, technologies, names, capacities))
+
+
 def test_band_ends_are_included(spark):
     capacity = 10.0
     rows = [(0, "a", "A", capacity, "r", "s", 1)]
