@@ -1,0 +1,61 @@
+import zlib
+
+import pytest
+
+from siteglass.llm import langid
+from siteglass.llm.common import table
+from siteglass.llm.queries import op10_language_id
+from tests.llm.corpus import documents, empty
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return langid.train(table(spark, "/root/testdata/sf0.001", "documents"))
+
+
+def test_held_out_accuracy(spark):
+    found = {r.doc_id: r for r in op10_language_id(spark, "/root/testdata/sf0.01").collect()}
+    docs = table(spark, "/root/testdata/sf0.01", "documents").collect()
+    assert all(found[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in docs)
+    held = [r for r in docs if found[r.doc_id].held_out and len(r.text) > 40]
+    right = [found[r.doc_id].lang_pred == r.lang for r in held]
+    assert sum(right) / len(right) > 0.98
+    assert sum(found[r.doc_id].lang_rejected for r in held) <= 0.01 * len(held)
+    assert all(0 <= r.score <= 1 for r in found.values())
+
+
+def test_edges(spark, model):
+    docs = documents(spark)
+    found = langid.identify(docs, model)
+    assert found.columns == [*docs.columns, "lang_pred", "lang_score", "lang_rejected"]
+    rows = found.collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        lettered = any(c.isalpha() for c in r.text or "")
+        assert (r.lang_pred == "und") == (not lettered) and 0 <= r.lang_score <= 1
+        assert lettered or (r.lang_score == 0 and r.lang_rejected)
+    assert langid.identify(empty(spark), model).collect() == []
+
+
+def test_unknown_writing_is_rejected(spark, model):
+    docs = spark.createDataFrame([(1, "これは日本語の文章です。" * 20), (2, "Это русский текст, написанный кириллицей."), (3, "The thing is that of the erenth.")], "doc_id bigint, text string")
+    assert {r.doc_id: r.lang_rejected for r in langid.identify(docs, model).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_pieces_of_long_texts_agree(model, monkeypatch):
+    text = "The of thing ereath an. " * 400
+    whole = langid._scores(model, [text])[0]
+    monkeypatch.setattr(langid, "PIECE_BYTES", 500)
+    assert abs(langid._long_scores(model, text) - whole).max() < 0.05
+
+
+def test_texts_do_not_mix(model):
+    together = langid._scores(model, ["the thing", "que les eaux", "x"])
+    apart = [langid._scores(model, [t])[0] for t in ("the thing", "que les eaux", "x")]
+    assert all(abs(a - b).max() < 1e-6 for a, b in zip(together, apart))
+
+
+def test_nothing_to_learn(spark):
+    model = langid.train(empty(spark))
+    rows = langid.identify(documents(spark), model).collect()
+    assert rows and all(r.lang_pred == "und" and r.lang_score == 0 and r.lang_rejected for r in rows)
