@@ -3,16 +3,38 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteglass.llm import bpe, decontaminate, langid, secrets, simhash
+from siteglass.llm import ann, bpe, chat, decontaminate, langid, quality, secrets, simhash
 from siteglass.llm.checks import ORACLE_SQL
 from siteglass.llm.common import remainder, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are trees without branches: every turn answers the one before it."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], rows.schema)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    nodes = rows.union(probe).withColumn("node_id", F.row_number().over(order)).select(
+        F.col("conv_id").alias("tree_id"), "node_id", F.when(F.col("node_id") > 1, F.col("node_id") - 1).alias("parent_id"),
+        "role", "text", F.lit(0.0).alias("score"),
+    )
+    turns = F.transform(chat.read_back(), lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n")))
+    return chat.conversations(nodes).select(
+        F.col("tree_id").alias("conv_id"), "n_turns", F.sha2(F.array_join(turns, ""), 256).alias("turns_sha256"),
+        F.length(chat.learnt_text()).cast("bigint").alias("loss_chars"), F.sha2(chat.learnt_text(), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -27,6 +49,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    return quality.score(docs, quality.train(docs, labels.where(~held_out))).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = bpe.load_tokens(spark, RANKS)
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -54,5 +84,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op5_decontaminate, op6_secret_scan, op8_byte_bpe, op9_simhash, op10_language_id)
-}
+    for f in (
+        op2_one_bit_codes, op4_chat_format, op5_decontaminate, op6_secret_scan, op7_quality, op8_byte_bpe, op9_simhash,
+        op10_language_id,
+    )
+}
