@@ -38,6 +38,16 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     return [F.xxhash64(*parts).alias("key_a"), F.xxhash64(F.lit("second"), *parts).alias("key_b")]
 
 
+def document_ref() -> list[Column]:
+    """doc_id and a small number (tie) that tells documents under the same id apart by their text."""
+    return [F.col("doc_id"), F.hash(F.col("text"), F.lit("tie")).alias("tie")]
+
+
+def same_document(a: str, b: str) -> Column:
+    """Join condition on :func:`document_ref` between aliases a and b, for missing ids too."""
+    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo the divisor; NULL for a missing id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteglass.llm import ann, bpe, chat, decontaminate, langid, quality, secrets, simhash
+from siteglass.llm import ann, bpe, chat, decontaminate, langid, quality, secrets, simhash, spans
 from siteglass.llm.checks import ORACLE_SQL
 from siteglass.llm.common import remainder, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = spans.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_sentences", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op2_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -85,7 +90,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_one_bit_codes, op4_chat_format, op5_decontaminate, op6_secret_scan, op7_quality, op8_byte_bpe, op9_simhash,
+        op1_sentence_spans, op2_one_bit_codes, op4_chat_format, op5_decontaminate, op6_secret_scan, op7_quality, op8_byte_bpe, op9_simhash,
         op10_language_id,
     )
 }
