@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.llm.common import PIECE_BYTES, slices
@@ -87,14 +87,14 @@ def may_learn(docs: DataFrame, label: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled rows, or 20 a label: equally many of each, chosen by a hash of their id.
+    """About ``rows`` labelled rows, or 20 a label: equally many of each, chosen by a hash of their id.
 
     The choice reads ids and labels alone; the chosen ids are bounded and thus broadcast.
     """
-    labels = docs.agg(F.count_distinct(label)).first()[0] or 1
-    share = max(20, rows // labels)
-    order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = docs.select("doc_id", label).withColumn("place", F.row_number().over(order)).where(F.col("place") <= share)
+    counts = docs.groupBy(label).agg(F.count("*").alias("rows_of_label"))
+    share = max(20, rows // (counts.count() or 1))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = docs.select("doc_id", label).join(counts, label).where(spread < share / F.col("rows_of_label"))
     return docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
 
 
