@@ -13,7 +13,7 @@ def brute(docs, length=3, least=12):
         if t is None:
             continue
         parts, lengths = [], []
-        data, at = t.encode(), 0
+        data, at, ahead = t.encode(), 0, b""
         bounds = [m.end() for m in re.finditer(rb"[.!?][^0-9A-Za-z\x80-\xff\s]*\s+|\s*\n\s*", data)] + [len(data)]
         for end in bounds:
             tokens = re.findall(rb"\S+\s*", data[at:end])
@@ -22,10 +22,14 @@ def brute(docs, length=3, least=12):
                 some = tokens[k : k + 12]
                 parts.append(((lead if k == 0 else b"") + b"".join(some)))
                 lengths.append(len(some))
+            if not tokens and parts:
+                parts[-1] += data[at:end]
+            elif not tokens:
+                ahead += data[at:end]
             at = end
-        cut[d, t] = (parts, lengths)
+        cut[d, t] = (parts, lengths, ahead)
     places = {}
-    for (d, t), (parts, lengths) in cut.items():
+    for (d, t), (parts, lengths, _) in cut.items():
         for a in range(len(parts)):
             b = a + length
             while b <= len(parts) and sum(lengths[a:b]) < least:
@@ -44,8 +48,8 @@ def brute(docs, length=3, least=12):
                 if f is not first:
                     gone[f[2], f[3]].update(range(f[4], f[5]))
     return {
-        k: (b"".join(p for i, p in enumerate(parts) if i not in gone[k]) if parts else k[1].encode(), len(parts), len(gone[k]))
-        for k, (parts, _) in cut.items()
+        k: (ahead + b"".join(p for i, p in enumerate(parts) if i not in gone[k]), len(parts), len(gone[k]))
+        for k, (parts, _, ahead) in cut.items()
     }
 
 
