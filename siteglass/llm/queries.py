@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteglass.llm import ann, bpe, chat, decontaminate, langid, quality, secrets, simhash, spans
+from siteglass.llm import ann, bpe, chat, decontaminate, langid, quality, secrets, simhash, spans, suffixes
 from siteglass.llm.checks import ORACLE_SQL
 from siteglass.llm.common import remainder, table
 
@@ -22,6 +22,11 @@ def op2_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations are trees without branches: every turn answers the one before it."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -90,7 +95,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_sentence_spans, op2_one_bit_codes, op4_chat_format, op5_decontaminate, op6_secret_scan, op7_quality, op8_byte_bpe, op9_simhash,
-        op10_language_id,
+        op1_sentence_spans, op2_one_bit_codes, op3_suffix_repeats, op4_chat_format, op5_decontaminate,
+        op6_secret_scan, op7_quality, op8_byte_bpe, op9_simhash, op10_language_id,
     )
 }
