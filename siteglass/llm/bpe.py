@@ -12,6 +12,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pre-tokens whose ids a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 #: Characters of a text that are split into pre-tokens at once.
 STRETCH = 4 << 20
 _UNKNOWN = "⁇"
@@ -73,8 +75,8 @@ def serialised_model(tokens: list[bytes]) -> bytes:
     return b"".join([*pieces, unknown, _field(2, trainer), _field(3, normaliser)])
 
 
-class _Encoder(dict):
-    """Pre-token to its packed ids; what is missing is encoded and remembered."""
+class _Encoder:
+    """Encodes texts; remembers the packed ids of pre-tokens."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         import sentencepiece
@@ -83,29 +85,56 @@ class _Encoder(dict):
         self.split = regex.compile(pattern)
         self.whole = {token: struct.pack("<I", rank) for rank, token in enumerate(tokens)}
         self.characters = dict(enumerate(byte_characters()))
-
-    def __missing__(self, word: str) -> bytes:
-        data = word.encode()
-        ids = self.whole.get(data)
-        if ids is None:
-            mapped = data.decode("latin-1").translate(self.characters)
-            ids = np.array(self.model.encode(mapped, out_type=int), dtype="<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = words
+        merged = []
+        for word in new:
+            data = word.encode()
+            ids = self.whole.get(data)
+            if ids is None:
+                merged.append((word, data.decode("latin-1").translate(self.characters)))
+            else:
+                self.known[word] = ids
+        for (word, _), ids in zip(merged, self.model.encode([mapped for _, mapped in merged], out_type=int, num_threads=1)):
+            self.known[word] = array("I", ids).tobytes()
+
+    def _stretches(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text, in lists of a bounded size."""
         if len(text) <= STRETCH:
-            return b"".join(map(self.__getitem__, self.split.findall(text)))
-        out, some = [], []
+            yield self.split.findall(text)
+            return
+        some: list[str] = []
         for match in self.split.finditer(text):
             some.append(match.group())
-            if len(some) == 1 << 16:
-                out.append(b"".join(map(self.__getitem__, some)))
+            if len(some) == STRETCH // 4:
+                yield some
                 some = []
-        return b"".join([*out, *map(self.__getitem__, some)])
+        yield some
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text. Texts are taken together until they have many pre-tokens."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        waiting: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            for words in self._stretches(text):
+                waiting.append((i, words))
+                size += len(words)
+                if size >= STRETCH // 4:
+                    self._flush(waiting, out)
+                    waiting, size = [], 0
+        self._flush(waiting, out)
+        return [b"".join(parts) for parts in out]
+
+    def _flush(self, waiting: list[tuple[int, list[str]]], out: list[list[bytes]]) -> None:
+        self._learn(set().union(*(words for _, words in waiting)))
+        for i, words in waiting:
+            out[i].append(b"".join(map(self.known.__getitem__, words)))
 
 
 def load_tokens(spark: SparkSession, path: str):
@@ -125,7 +154,7 @@ def encode(texts: DataFrame, tokens, pattern: str, column: str = "text", to: str
         if not held:
             held.append(_Encoder(tokens.value, pattern))
         for batch in batches:
-            ids = pa.array([held[0].encode(t or "") for t in batch.column(column).to_pylist()], pa.large_binary())
+            ids = pa.array(held[0].encode([t or "" for t in batch.column(column).to_pylist()]), pa.large_binary())
             yield _with(batch, to, ids.cast(pa.binary()))
 
     return texts.mapInArrow(run, _schema(texts, to))

@@ -34,11 +34,13 @@ def test_random_texts_as_the_reference_library(reference, encoder, monkeypatch):
     alphabets = ["abc  \n\t'", "éàüñ ß", "漢字かな", "мир ", "<|endoftext|> [INST]", "\x00\x1c\x85 ​ ", "👩‍👧 1٣½"]
     for k in range(400):
         text = "".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randint(0, 60)))
-        assert encoder.encode(text) == packed(reference.encode_ordinary(text)), text
+        assert encoder.encode([text]) == [packed(reference.encode_ordinary(text))], text
     for text in (" " * 3000, "a" * 5000, "ab" * 3000, "\n \n" * 500):
-        assert encoder.encode(text) == packed(reference.encode_ordinary(text))
-    monkeypatch.setattr(bpe, "STRETCH", 10)
-    assert encoder.encode("the cat's  hat " * 40) == packed(reference.encode_ordinary("the cat's  hat " * 40))
+        assert encoder.encode([text]) == [packed(reference.encode_ordinary(text))]
+    monkeypatch.setattr(bpe, "STRETCH", 12)
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    texts = ["the cat's  hat " * 40, "", "x", "12 of them"] * 3
+    assert encoder.encode(texts) == [packed(reference.encode_ordinary(t)) for t in texts]
 
 
 def test_round_trip_and_edges(spark, reference):
