@@ -1,11 +1,12 @@
 """Screening of large energy-project registers as Spark DataFrame jobs.
 
-Every public function takes DataFrames and returns lazy DataFrames, so calls
-compose and Catalyst plans the whole chain at once.
+Public functions take DataFrames and return lazy DataFrames, so calls compose and
+Catalyst plans the whole chain at once. Two run jobs when called: ``comparables`` its
+ordered pass, ``comparables_of`` the lookup of the chosen names.
 """
 
 from siteglass.operators.briefs import project_briefs, project_details, project_headlines
-from siteglass.operators.comparables import comparables
+from siteglass.operators.comparables import comparables, comparables_of
 from siteglass.operators.filters import (
     apply_filters,
     first_by_name,
@@ -30,6 +31,7 @@ from siteglass.operators.summary import (
     capacity_matrix,
     dataset_summary,
     facets,
+    filter_choices,
     group_kpis,
     kpis,
     largest_project,
@@ -40,6 +42,6 @@ from siteglass.operators.summary import (
 )
 from siteglass.plans.projects import clean, prepare, with_lat_lon, with_score
 from siteglass.sources.register import read_projects, read_register, write_projects
-from siteglass.sources.sinks import export_csv, read_export, write_briefs, write_register_csv
+from siteglass.sources.sinks import export_csv, read_briefs, read_export, write_briefs, write_register_csv
 
 __all__ = [name for name in dir() if not name.startswith("_")]

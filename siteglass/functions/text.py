@@ -27,14 +27,35 @@ def amount_text(value: Column, digits: int, before: str = "", after: str = "") -
 
 
 def plain_number(value: Column) -> Column:
-    """Shortest decimal text of a double without the exponent Spark would add.
+    """Shortest text that reads back as the same double: positional from 1e-4 up to 1e16, else with an exponent.
 
-    Spark writes 12345678.0 as ``1.2345678E7`` and 0.0005 as ``5.0E-4``; both
-    come out in positional form here.
+    As in ``12345678.0``, ``0.0005``, ``1e-05``, ``2.5e+16``, ``inf``, ``nan``. Spark's own text goes over
+    to an exponent earlier, and on some Java versions isn't the shortest.
     """
-    short = value.cast("string")
-    positional = F.regexp_replace(short.try_cast("decimal(38,20)").cast("string"), r"(\.\d+?)0+$", "$1")
     size = F.abs(value)
-    wide = (size >= 1e7) & (size < 1e16)
-    fine = (size >= 1e-4) & (size < 1e-3)
-    return F.when(wide | fine, positional).otherwise(short)
+    # 17 digits always suffice; fewer do if they read back as the same number.
+    rounded = [F.format_string(f"%.{digits - 1}e", size) for digits in (15, 16, 17)]
+    text = F.coalesce(*[F.when(r.try_cast("double") == size, r) for r in rounded[:2]], rounded[2])
+    digits = F.regexp_replace(F.replace(F.substring_index(text, "e", 1), F.lit(".")), "0+$", "")
+    power = F.substring_index(text, "e", -1).try_cast("int")
+    whole = F.rpad(F.left(digits, power + 1), power + 1, F.lit("0"))
+    rest = F.substr(digits, power + 2)
+    positional = F.when(
+        power >= 0, F.concat(whole, F.lit("."), F.when(rest == "", F.lit("0")).otherwise(rest))
+    ).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+    fraction = F.substr(digits, F.lit(2))
+    exponent = F.abs(power).cast("string")
+    scientific = F.concat(
+        F.left(digits, F.lit(1)),
+        F.when(fraction == "", F.lit("")).otherwise(F.concat(F.lit("."), fraction)),
+        F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")),
+        F.when(F.length(exponent) < 2, F.concat(F.lit("0"), exponent)).otherwise(exponent),
+    )
+    unsigned = (
+        F.when(size == float("inf"), F.lit("inf"))
+        .when(size == 0, F.lit("0.0"))
+        .when((power >= -4) & (power < 16), positional)
+        .otherwise(scientific)
+    )
+    sign = F.when(value.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    return F.when(F.isnan(value), F.lit("nan")).otherwise(F.concat(sign, unsigned))

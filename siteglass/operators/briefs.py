@@ -54,9 +54,10 @@ BRIEF_LINES = (
     "4. Interpretation",
     "-----------------",
 )
+# What the score adds up to; the largest share of each part is that of ``functions/scoring.py``.
 BRIEF_NOTE = (
-    "An early-stage view drawn from public register data. The score is a simple",
-    "guide made of capacity, stage, technology and completeness of the record.",
+    "Points out of 100: capacity up to 35, development stage up to 35, technology",
+    "up to 20, and 2 for each of five register fields that is filled in.",
     "",
 )
 BRIEF_SUFFIX = "_project_brief.txt"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteglass.functions.cleaning import not_nan
 from siteglass.functions.columns import column_or_null, present
 from siteglass.functions.text import amount_text, day_text
+from siteglass.operators.filters import is_offshore
 
 PREVIEW_COLUMNS = (
     "site_name",
@@ -193,6 +194,24 @@ def facets(df: DataFrame, columns: list[str] | dict[str, Column]) -> DataFrame:
     )
 
 
+FACET_COLUMNS = ("technology", "status", "region")
+
+
+def filter_choices(df: DataFrame) -> DataFrame:
+    """Sorted choices as (facet, value): technologies, statuses, regions, names, names of offshore projects.
+
+    Every record gives one row to either of two aggregates, which combine on the map side:
+    the few combinations of technology, status and region, and the names.
+    """
+    combined = df.select(*FACET_COLUMNS).distinct()
+    pairs = [F.struct(F.lit(name).alias("facet"), F.col(name).alias("value")) for name in FACET_COLUMNS]
+    few = combined.select(F.inline(F.array(*pairs))).distinct()
+    names = df.groupBy("site_name").agg(F.max(is_offshore()).alias("offshore"))
+    facet = F.array(F.lit("site_name"), F.when(F.col("offshore"), F.lit("offshore_site_name")))
+    many = names.select(F.explode(F.array_compact(facet)).alias("facet"), F.col("site_name").alias("value"))
+    return few.union(many).where(F.col("value").isNotNull()).orderBy("facet", "value")
+
+
 def preview(df: DataFrame, n: int = 250) -> DataFrame:
     """The first ``n`` rows in register order, in the columns a reader wants.
 

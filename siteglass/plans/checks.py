@@ -232,8 +232,8 @@ def _brief() -> str:
         "''",
         "'4. Interpretation'",
         "'-----------------'",
-        "'An early-stage view drawn from public register data. The score is a simple'",
-        "'guide made of capacity, stage, technology and completeness of the record.'",
+        "'Points out of 100: capacity up to 35, development stage up to 35, technology'",
+        "'up to 20, and 2 for each of five register fields that is filled in.'",
         "''",
     ]
     return " || chr(10) || ".join(lines)
@@ -247,6 +247,15 @@ _KPIS = """SELECT count(*) AS projects, round(coalesce(sum(capacity_mw), 0), 4)
 
 _CLEAN_COLUMNS = ", ".join([*_TEXT, "capacity_mw", "x", "y", "last_updated"])
 
+_COMPARABLES = """SELECT a.ref_id, a.site_name, a.technology, a.capacity_mw,
+         CAST(row_number() OVER (PARTITION BY a.ref_id ORDER BY b.capacity_mw DESC, b.ref_id) AS INTEGER) AS place,
+         b.ref_id AS comparable_ref_id, b.site_name AS comparable_site_name, b.capacity_mw AS comparable_capacity_mw,
+         b.region AS comparable_region, b.status AS comparable_status, b.score AS comparable_score
+        FROM named a JOIN projects b ON a.technology = b.technology
+         AND b.capacity_mw >= a.capacity_mw * 0.7::DOUBLE AND b.capacity_mw <= a.capacity_mw * 1.3::DOUBLE
+         AND a.site_name IS DISTINCT FROM b.site_name
+        QUALIFY place <= 5"""
+
 ORACLE_SQL: dict[str, str] = {
     "ingest_clean": _q(f"SELECT ref_id, {_CLEAN_COLUMNS} FROM projects"),
     "coords": _q("SELECT ref_id, x, y, lon, lat FROM located", located=True),
@@ -310,16 +319,8 @@ ORACLE_SQL: dict[str, str] = {
         located=True,
     ),
     "first_by_name": _q(f"SELECT {_SHORT} FROM named"),
-    "comparables": _q(
-        """SELECT a.ref_id, a.site_name, a.technology, a.capacity_mw,
-         CAST(row_number() OVER (PARTITION BY a.ref_id ORDER BY b.capacity_mw DESC, b.ref_id) AS INTEGER) AS place,
-         b.ref_id AS comparable_ref_id, b.site_name AS comparable_site_name, b.capacity_mw AS comparable_capacity_mw,
-         b.region AS comparable_region, b.status AS comparable_status, b.score AS comparable_score
-        FROM named a JOIN projects b ON a.technology = b.technology
-         AND b.capacity_mw >= a.capacity_mw * 0.7::DOUBLE AND b.capacity_mw <= a.capacity_mw * 1.3::DOUBLE
-         AND a.site_name IS DISTINCT FROM b.site_name
-        QUALIFY place <= 5"""
-    ),
+    "comparables": _q(_COMPARABLES),
+    "comparables_of_one": _q(_COMPARABLES.replace("QUALIFY", "WHERE a.site_name = 'Customer#000000001 site' QUALIFY")),
     "offshore_model": _q(_model("offshore", "ref_id, site_name, capacity_mw", _DEFAULTS)),
     "offshore_texts": _q(
         f"""SELECT ref_id, site_name, format('{{:,.0f}} MW', capacity_mw) AS capacity_text,
@@ -362,4 +363,16 @@ ORACLE_SQL: dict[str, str] = {
         located=True,
     ),
     "register_csv": _q(f"SELECT {_CLEAN_COLUMNS} FROM projects"),
+    "register_short_rows": _q(f"SELECT {_CLEAN_COLUMNS} FROM projects"),
+    "register_order": f"""WITH raw AS ({_RAW.strip()}), ends AS (SELECT max(ref_id) AS last FROM raw)
+        SELECT row_number() OVER (ORDER BY CASE WHEN ref_id <= floor(last * 0.02::DOUBLE) THEN 4 WHEN ref_id <= floor(last * 0.6::DOUBLE) THEN 3
+          WHEN ref_id <= floor(last * 0.61::DOUBLE) THEN 2 ELSE 1 END, ref_id) - 1 AS place, site_name, planning_ref, capacity_raw
+        FROM raw, ends""",
+    "landed_projects": _q(f"SELECT ref_id, {_CLEAN_COLUMNS}, lon, lat, score FROM located", located=True),
+    "briefs_written": _q(
+        f"""SELECT site_name, translate(site_name, '/\\: ', '---_') || '_project_brief.txt' AS file_name, {_brief()} AS brief
+        FROM (SELECT * REPLACE (site_name || ' ' || ['a/b', 'c\\d', 'e:f', 'g h/\\:'][ref_id % 4 + 1] AS site_name) FROM named)"""
+    ),
+    "number_texts": """SELECT o_orderkey, CAST(o_totalprice * ([1e0, 1e-9, -1e-8, 1e3, 1e11, -1e12, 1e290, 0e0]::DOUBLE[])[o_orderkey % 8 + 1] AS VARCHAR)
+        AS text FROM orders""",
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import siteglass as sg
-from siteglass.operators.filters import is_offshore
+from siteglass.functions.text import plain_number
+from siteglass.schema import CSV_HEADERS
 from siteglass.sources.tables import projects_raw, read_table
 from siteglass.sources.workspace import new_dir
 
@@ -16,6 +17,8 @@ SEARCH_TEXT = "BUILDING Power"
 SEARCH_REGEX = "power.*(battery|storage) awaiting"
 TECHNOLOGY, STATUS, REGION = "Solar Photovoltaics", "Planning Granted", "EUROPE"
 
+CHOSEN_NAME = "Customer#000000001 site"
+
 _SHORT = ("ref_id", "site_name", "technology", "capacity_mw", "status", "region")
 
 
@@ -55,12 +58,6 @@ def _capacity_by(column, n):
     return lambda df: _rounded(sg.capacity_by(df, column, n=n), 4, "capacity_mw")
 
 
-def _facet_options(df):
-    options = {name: F.col(name) for name in ("technology", "status", "region", "site_name")}
-    options["offshore_site_name"] = F.when(is_offshore(), F.col("site_name"))
-    return sg.facets(df, options)
-
-
 _FIGURES = (
     "annual_energy_mwh",
     "turbines",
@@ -86,7 +83,7 @@ ON_PROJECTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "filter_status": _filtered(status=STATUS),
     "filter_region": _filtered(region=REGION),
     "filter_combined": _filtered(technology=TECHNOLOGY, status=STATUS, region=REGION, query="site"),
-    "facet_options": _facet_options,
+    "facet_options": sg.filter_choices,
     "offshore_projects": lambda df: sg.offshore_projects(df).select(*_SHORT, "score"),
     "dataset_summary": sg.dataset_summary,
     "kpi_summary": lambda df: _rounded(sg.kpis(df), 4, "total_capacity_mw", "average_capacity_mw"),
@@ -106,6 +103,7 @@ ON_PROJECTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "preview_projects": sg.preview,
     "first_by_name": lambda df: sg.first_by_name(df).select(*_SHORT, "score"),
     "comparables": sg.comparables,
+    "comparables_of_one": lambda df: sg.comparables_of(df, CHOSEN_NAME),
     "offshore_model": _offshore_model,
     "offshore_texts": lambda df: sg.offshore_texts(sg.offshore_model(sg.offshore_projects(df))),
     "offshore_sensitivity": lambda df: sg.offshore_sensitivity(sg.offshore_projects(df)),
@@ -149,6 +147,59 @@ def _register_csv(spark, sf_dir):
     return sg.clean(sg.read_register(spark, path)).drop("ref_id")
 
 
+def _register_order(spark, sf_dir):
+    """The register in files of very different sizes, named against the order of their keys; each row's place."""
+    path = new_dir(spark, "register")
+    raw = projects_raw(spark, sf_dir)
+    ends = raw.agg(F.max("ref_id")).first()[0] or 0
+    last = -1
+    for k, share in enumerate((0.02, 0.6, 0.61, 1.0)):
+        end = int(ends * share)
+        part = raw.where((F.col("ref_id") > last) & (F.col("ref_id") <= end)).repartition(1).sortWithinPartitions("ref_id")
+        sg.write_register_csv(part, f"{path}/{9 - k}")
+        last = end
+    places = sg.read_register(spark, f"{path}/*/*.csv")
+    return places.select(F.col("ref_id").alias("place"), "site_name", "planning_ref", "capacity_raw")
+
+
+def _register_short_rows(spark, sf_dir):
+    """The register as lines that end after their last filled cell."""
+    path = new_dir(spark, "register")
+    raw = projects_raw(spark, sf_dir).select(*CSV_HEADERS)
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(name, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for name in CSV_HEADERS]
+    line = F.regexp_replace(F.array_join(F.array(*cells), ","), '(,"")+$', "")
+    header = spark.createDataFrame([(",".join(CSV_HEADERS.values()),)], "line string")
+    # Every file begins with the header: a line per file number, sorted before the rows.
+    files = F.pmod(F.xxhash64("site_name", "planning_ref"), F.lit(3))
+    rows = raw.select(files.alias("file"), F.lit(1).alias("order"), line.alias("line"))
+    heads = header.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("file"), F.lit(0).alias("order"), "line")
+    lines = heads.union(rows).repartition(3, "file").sortWithinPartitions("file", "order").select("file", "line")
+    lines.write.partitionBy("file").option("encoding", "ISO-8859-1").text(path)
+    return sg.clean(sg.read_register(spark, f"{path}/*/*.txt", multi_line=False)).drop("ref_id")
+
+
+def _landed_projects(spark, sf_dir):
+    path = new_dir(spark, "projects")
+    sg.write_projects(located(spark, sf_dir), path)
+    return _rounded(sg.read_projects(spark, path), 6, "lon", "lat")
+
+
+def _briefs_written(spark, sf_dir):
+    """Briefs as files, for names with signs that file names can't hold."""
+    signs = F.element_at(F.array(*map(F.lit, ("a/b", "c\\d", "e:f", "g h/\\:"))), (F.col("ref_id") % 4 + 1).cast("int"))
+    named = sg.first_by_name(projects(spark, sf_dir)).withColumn("site_name", F.concat("site_name", F.lit(" "), signs))
+    path = new_dir(spark, "briefs")
+    sg.write_briefs(sg.project_briefs(named), path)
+    return sg.read_briefs(spark, path)
+
+
+def _number_texts(spark, sf_dir):
+    """Order prices from very small to very large, as briefs write them."""
+    factors = F.array(*map(F.lit, (1.0, 1e-9, -1e-8, 1e3, 1e11, -1e12, 1e290, 0.0)))
+    price = F.col("o_totalprice") * F.element_at(factors, (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", plain_number(price).alias("text"))
+
+
 def _on(source, plan):
     return lambda spark, sf_dir: plan(source(spark, sf_dir))
 
@@ -156,6 +207,11 @@ def _on(source, plan):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ingest_clean": _ingest_clean,
     "register_csv": _register_csv,
+    "register_order": _register_order,
+    "register_short_rows": _register_short_rows,
+    "landed_projects": _landed_projects,
+    "briefs_written": _briefs_written,
+    "number_texts": _number_texts,
     "score_components": _score_components,
     "scenario_check": lambda spark, sf_dir: sg.check_scenarios(scenarios(spark, sf_dir)),
     "offshore_scenarios": _offshore_scenarios,

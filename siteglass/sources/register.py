@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siteglass.schema import CSV_HEADERS, REQUIRED_COLUMNS
 
-# Layout of ref_id when a register comes in several files: rank of the file, then
-# task, then row within the task (63 bits in all).
-_FILE_BITS, _TASK_BITS, _ROW_BITS = 16, 20, 27
+# Where Spark puts the text of a record whose length differs from the header's.
+_RECORD = "_record_of_other_length"
+# Up to this many splits their places are sent to every task.
+_BROADCAST_SPLITS = 500_000
 
 
 def read_register(
@@ -17,7 +19,6 @@ def read_register(
     path: str | list[str],
     encoding: str = "ISO-8859-1",
     multi_line: bool = True,
-    mode: str = "FAILFAST",
     key: str | None = None,
 ) -> DataFrame:
     """Raw register rows: every cell as text, columns under their engine names.
@@ -28,57 +29,87 @@ def read_register(
     deliver the register in many files.
 
     ``ref_id`` is the whole number in column ``key`` if one is named. Otherwise it is
-    the place in the register: file by path, then row. (Beyond 65,535 files it follows
-    the order in which Spark reads them.) It is stored when the projects are landed.
+    the place in the register, counted from 0: file by path, then row. It takes a second
+    reading of the files, for the number of rows in each split, and is stored when
+    the projects are landed.
 
-    A row with too few or too many cells stops the read; ``mode="PERMISSIVE"`` fills
-    short rows with NULL instead.
+    A record with too few cells is filled with NULL. One with too many stops the read
+    with its text.
     """
-    raw = (
+    reader = (
         spark.read.option("header", True)
         .option("encoding", encoding)
         .option("multiLine", multi_line)
         .option("quote", '"')
         .option("escape", '"')
-        .option("mode", mode)
         .option("enforceSchema", False)
-        .csv(path)
     )
+    headers = reader.csv(path).columns
     engine_names = {header: name for name, header in CSV_HEADERS.items()}
-    names = [engine_names.get(header, header) for header in raw.columns]
+    names = [engine_names.get(header, header) for header in headers]
     absent = [CSV_HEADERS[name] for name in REQUIRED_COLUMNS if name not in names]
     if absent:
         raise ValueError(f"the register lacks the columns {absent}")
-    cells = [F.col(f"`{header}`").alias(name) for header, name in zip(raw.columns, names)]
-    if key is not None:
-        return raw.select(F.col(f"`{key}`").cast("bigint").alias("ref_id"), *cells)
-    sequence = F.monotonically_increasing_id()
-    files = sorted(raw.inputFiles())
-    if not 1 < len(files) < 1 << _FILE_BITS:
-        return raw.select(sequence.alias("ref_id"), *cells)
-    # One small row per file, at most 65,535 of them: safe to broadcast.
-    ranks = spark.createDataFrame([(file, rank) for rank, file in enumerate(files)], "_file string, _rank bigint")
-    numbered = raw.select(*cells, F.input_file_name().alias("_file"), sequence.alias("_sequence")).join(
-        F.broadcast(ranks), "_file", "left"
-    )
-    return numbered.select(_packed_place().alias("ref_id"), *[f"`{name}`" for name in names])
-
-
-def _packed_place() -> Column:
-    """File rank, task and row in one number, in that order of weight."""
-    task = F.shiftright("_sequence", 33)
-    row = F.col("_sequence").bitwiseAND(F.lit((1 << 33) - 1))
-    fits = F.col("_rank").isNotNull() & (task < 1 << _TASK_BITS) & (row < 1 << _ROW_BITS)
-    packed = (
-        F.shiftleft("_rank", _TASK_BITS + _ROW_BITS)
-        .bitwiseOR(F.shiftleft(task, _ROW_BITS))
-        .bitwiseOR(row)
+    cells = T.StructType([T.StructField(header, T.StringType()) for header in headers])
+    # Only a parser that reads whole records notices their length.
+    raw = (
+        reader.option("columnPruning", False)
+        .option("columnNameOfCorruptRecord", _RECORD)
+        .schema(T.StructType([*cells, T.StructField(_RECORD, T.StringType())]))
+        .csv(path)
     )
-    return F.when(fits, packed).otherwise(
-        F.raise_error(F.lit("this row's place in the register does not fit ref_id")).cast("bigint")
+    columns = [F.col(f"`{header}`").alias(name) for header, name in zip(headers, names)]
+    if key is not None:
+        return raw.where(_not_too_long(headers)).select(F.col(f"`{key}`").cast("bigint").alias("ref_id"), *columns)
+    split = ["_file", "_block"]
+    places = _split_places(_with_sequence(reader.schema(cells).csv(path), []))
+    # Every split is in one task, and a task takes only so many of them.
+    in_a_task = _bytes(spark, "maxPartitionBytes") // max(1, _bytes(spark, "openCostInBytes")) + 1
+    if raw.rdd.getNumPartitions() * in_a_task <= _BROADCAST_SPLITS:
+        places = F.broadcast(places)
+    numbered = _with_sequence(raw, [*columns, _not_too_long(headers).alias("_fits")]).where("_fits").join(places, split)
+    ref_id = F.col("_before") + F.col("_sequence") - F.col("_first")
+    return numbered.select(ref_id.alias("ref_id"), *[f"`{name}`" for name in names])
+
+
+def _bytes(spark: SparkSession, setting: str) -> int:
+    text = spark.conf.get(f"spark.sql.files.{setting}").strip().lower().rstrip("b")
+    return int(text[:-1]) << {"k": 10, "m": 20, "g": 30, "t": 40}[text[-1]] if text[-1].isalpha() else int(text)
+
+
+def _with_sequence(rows: DataFrame, columns: list[Column]) -> DataFrame:
+    """Rows with file, place of their split in it, and a number that rises by 1 within a split."""
+    return rows.select(
+        *columns,
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_sequence"),
     )
 
 
+def _split_places(rows: DataFrame) -> DataFrame:
+    """For each split the number of its first row, and how many rows of the register come before it.
+
+    One small row per split: the running sum is over these, not over the register.
+    """
+    splits = rows.groupBy("_file", "_block").agg(F.min("_sequence").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    return splits.select("_file", "_block", "_first", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+
+
+def _not_too_long(headers: list[str]) -> Column:
+    """True, or an error with the record's text if it has more cells than the header.
+
+    Only records of another length have their text in this column. Separators inside
+    quoted cells don't count. The first cell is named because Spark refuses to read
+    the record's text alone.
+    """
+    unquoted = F.regexp_replace(_RECORD, r'(^|,)\s*"(?:[^"]|"")*"', "$1")
+    too_long = F.regexp_count(unquoted, F.lit(",")) + 1 > len(headers)
+    message = F.concat(F.lit("this record has more cells than the header: "), F.col(_RECORD), F.left(F.coalesce(F.col(f"`{headers[0]}`"), F.lit("")), F.lit(0)))
+    return F.when(F.col(_RECORD).isNotNull() & too_long, F.raise_error(message).cast("boolean")).otherwise(True)
+
+
 def write_projects(projects: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Land prepared projects as Parquet, once, for all later queries.
 

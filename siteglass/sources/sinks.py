@@ -56,3 +56,7 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 def write_briefs(briefs: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write (site_name, file_name, brief) as Parquet, in parallel."""
     briefs.select("site_name", "file_name", "brief").write.mode(mode).parquet(path)
+
+
+def read_briefs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("site_name string, file_name string, brief string").parquet(path)

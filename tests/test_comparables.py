@@ -8,8 +8,8 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
-from siteglass import comparables
-from siteglass.operators.comparables import _reader
+from siteglass import comparables, comparables_of
+from siteglass.operators.comparables import _layout, _read_in_order, _reader
 from tests.rows import PROJECT_SCHEMA
 
 
@@ -110,7 +110,44 @@ def test_plan_has_no_pairing_join(spark):
     df = spark.createDataFrame(register(2, 50, technologies, names, capacities), PROJECT_SCHEMA)
     plan = comparables(df)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "WindowGroupLimit" in plan
+
+
+def test_rows_move_twice(spark):
+    """Once by range, and what is left of each name for its first record."""
+    technologies, names, capacities = SHAPES["spread"]
+    df = spark.createDataFrame(register(2, 50, technologies, names, capacities), PROJECT_SCHEMA)
+    plan = _layout(df, 1.3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2
+    assert "Exchange rangepartitioning(technology" in plan and "Exchange hashpartitioning(site_name" in plan
+    assert "row_number(), 1, Partial" in plan
+
+
+def test_slices_hand_on_few_rows(spark, settings):
+    settings(adaptive__coalescePartitions__enabled="false")
+    for shape in ("spread", "hot technology", "hot name"):
+        rows = register(3, 3000, *SHAPES[shape])
+        laid = _layout(spark.createDataFrame(rows, PROJECT_SCHEMA), 1.3)
+        ends = _read_in_order(laid, ["slice", "technology"], _reader(5, 0.7)).where("kind = 0").collect()
+        assert 1 < len({end.slice for end in ends}) <= 8
+        assert len(ends) == len({(end.slice, end.technology) for end in ends})
+        assert all(1 <= len(end.rows) <= 10 for end in ends)
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_chosen_names(spark, shape):
+    rows = register(len(shape) + 1, 300, *SHAPES[shape])
+    df = spark.createDataFrame(rows, PROJECT_SCHEMA).repartition(3)
+    whole = brute_force(rows)
+    chosen = sorted({row[1] for row in rows if row[1] is not None})[:3]
+    found = [tuple(row) for row in comparables_of(df, *chosen, "no such name").collect()]
+    assert len(found) == len(set(found)) and set(found) == {row for row in whole if row[1] in chosen}
+
+
+def test_no_chosen_name(spark):
+    df = spark.createDataFrame([(1, "a", None, 2.0, "r", "s", 1)], PROJECT_SCHEMA)
+    for names in ((), ("b",), ("a",)):
+        none = comparables_of(df, *names)
+        assert none.collect() == [] and none.columns == comparables(df).columns
 
 
 def test_workers_need_no_package(tmp_path):

@@ -189,6 +189,21 @@ def test_register_order_over_splits(spark, tmp_path, settings):
     assert names == sorted(names) and len(names) == 550
 
 
+@pytest.mark.parametrize("size", ["700", "5000", "128m"])
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_register_order_does_not_depend_on_splits_or_files(spark, tmp_path, settings, monkeypatch, size, broadcast):
+    monkeypatch.setattr("siteglass.sources.register._BROADCAST_SPLITS", broadcast)
+    settings(files__maxPartitionBytes=size, files__openCostInBytes="0")
+    expected = []
+    for file in range(40):
+        count = (7 * file) % 23 + (150 if file == 3 else 0)
+        lines = [HEADER] + [csv_line(site_name=f"f{file:02d}-{i:03d}", capacity_raw="1") for i in range(count)]
+        write_csv(tmp_path / "in" / f"{file:02d}.csv", "\n".join(lines) + "\n")
+        expected += [f"f{file:02d}-{i:03d}" for i in range(count)]
+    raw = sg.read_register(spark, str(tmp_path / "in"), multi_line=False)
+    assert [tuple(r) for r in raw.select("ref_id", "site_name").orderBy("ref_id").collect()] == list(enumerate(expected))
+
+
 def test_register_key(spark, tmp_path):
     lines = [HEADER + ",Ref ID"] + [csv_line(site_name=f"s{i}", capacity_raw="1") + f",{90 - i}" for i in range(3)]
     write_csv(tmp_path / "r.csv", "\n".join(lines) + "\n")
@@ -205,9 +220,30 @@ def test_files_with_other_headers_stop(spark, tmp_path):
             sg.read_register(spark, str(tmp_path / "in"), multi_line=multi_line).collect()
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+def test_short_records_are_filled_and_long_ones_stop(spark, tmp_path, multi_line):
+    line = csv_line(site_name='"A, ""x"" b"', capacity_raw="1", technology="T")
+    short = ['"S, ""1"", 2",Op', "T", "", line]
+    write_csv(tmp_path / "in" / "a.csv", "\n".join([HEADER, *short]) + "\n")
+    write_csv(tmp_path / "in" / "b.csv", HEADER + "\n" + line + "\n")
+    raw = sg.read_register(spark, str(tmp_path / "in"), multi_line=multi_line)
+    assert [(r.ref_id, r.site_name, r.operator) for r in raw.orderBy("ref_id").collect()] == [
+        (0, 'S, "1", 2', "Op"), (1, "T", None), (2, 'A, "x" b', None), (3, 'A, "x" b', None)
+    ]
+    assert raw.count() == 4 and raw.select("region").distinct().count() == 1
+    for extra in (",", ",,one", ",one,too,many", ',"a,b"'):
+        write_csv(tmp_path / "in" / "b.csv", "\n".join([HEADER, line, line + extra]) + "\n")
+        raw = sg.read_register(spark, str(tmp_path / "in"), multi_line=multi_line)
+        for read in (raw, raw.select("site_name"), raw.select("ref_id"), sg.clean(raw).select("capacity_mw")):
+            with pytest.raises(Exception, match=r"more cells than the header: \"A, \"\"x"):
+                read.collect()
+        with pytest.raises(Exception, match="more cells than the header"):
+            raw.count()
+
+
 def test_broken_register_stops(spark, tmp_path):
     write_csv(tmp_path / "r.csv", HEADER + "\n" + csv_line(site_name="A", capacity_raw="1") + ",one,too,many\n")
-    with pytest.raises(Exception, match="MALFORMED_CSV_RECORD"):
+    with pytest.raises(Exception, match="more cells than the header: A,"):
         sg.read_register(spark, str(tmp_path / "r.csv")).collect()
     write_csv(tmp_path / "s.csv", "Site Name,Region\nA,B\n")
     with pytest.raises(ValueError, match="Technology Type"):

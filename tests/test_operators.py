@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import siteglass as sg
+from siteglass.functions.text import plain_number
 from tests.rows import PROJECT_SCHEMA, filled, raw_frame, raw_row
 
 # capacity, status, technology, filled fields, expected score.
@@ -228,3 +229,22 @@ def test_plain_numbers(spark):
 def test_briefs_sink(register, spark, tmp_path):
     sg.write_briefs(sg.project_briefs(sg.first_by_name(register)), str(tmp_path / "briefs"))
     assert spark.read.parquet(str(tmp_path / "briefs")).columns == ["site_name", "file_name", "brief"]
+
+
+NUMBER_TEXTS = (1e-5, 2.5e-6, 1e-4, 0.00012345, 1e-3, 0.0, 1.0, 12345678.0, 1e15, 123456789012345.6, 1e16, 2.5e16, 1e22, 1e300, 1e-300, float("inf"), float("nan"))
+
+
+def test_number_texts(spark):
+    values = [*NUMBER_TEXTS, *(-x for x in NUMBER_TEXTS)]
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    texts = [r[0] for r in df.select(plain_number(F.col("x"))).collect()]
+    assert texts == [repr(x) for x in values[: len(NUMBER_TEXTS)]] + [repr(-x) if x == x else "nan" for x in NUMBER_TEXTS]
+
+
+def test_filter_choices(register):
+    own = sg.facets(register, ["technology", "status", "region", "site_name"]).collect()
+    found = sg.filter_choices(register).collect()
+    assert [tuple(r) for r in found if r.facet != "offshore_site_name"] == [tuple(r) for r in own]
+    assert [r.value for r in found if r.facet == "offshore_site_name"] == sorted(
+        {r.site_name for r in sg.offshore_projects(register).collect() if r.site_name is not None}
+    )
