@@ -21,10 +21,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteglass.llm.common import parts
+
 #: Pre-tokens whose ids a worker remembers.
 REMEMBERED = 1 << 18
-#: Characters of a text that are split into pre-tokens at once.
-STRETCH = 4 << 20
+#: Characters of a text that are split into pre-tokens at once, four for each pre-token that waits.
+STRETCH = 1 << 20
 _UNKNOWN = "⁇"
 
 
@@ -154,8 +156,9 @@ def encode(texts: DataFrame, tokens, pattern: str, column: str = "text", to: str
         if not held:
             held.append(_Encoder(tokens.value, pattern))
         for batch in batches:
-            ids = pa.array(held[0].encode([t or "" for t in batch.column(column).to_pylist()]), pa.large_binary())
-            yield _with(batch, to, ids.cast(pa.binary()))
+            for part in parts(batch, column):
+                ids = held[0].encode([t or "" for t in part.column(column).to_pylist()])
+                yield _with(part, to, pa.array(ids, pa.binary()))
 
     return texts.mapInArrow(run, _schema(texts, to))
 
@@ -166,8 +169,10 @@ def decode(encoded: DataFrame, tokens, column: str = "ids", to: str = "decoded")
     def run(batches):
         look = tokens.value.__getitem__
         for batch in batches:
-            data = [b"".join(map(look, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in batch.column(column).to_pylist()]
-            yield _with(batch, to, pa.array(data, pa.binary()))
+            for part in parts(batch, column):
+                packed = part.column(column).to_pylist()
+                data = [b"".join(map(look, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in packed]
+                yield _with(part, to, pa.array(data, pa.binary()))
 
     return encoded.mapInArrow(run, _schema(encoded, to))
 

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,17 +54,23 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor
 
 
+def parts(batch: pa.RecordBatch, column: str = "text", size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive parts whose texts hold about ``size`` bytes together."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+    edges = [*(np.flatnonzero(np.diff(total // size)) + 1).tolist(), batch.num_rows]
+    start = 0
+    for end in edges:
+        if end > start:
+            yield batch.slice(start, end - start)
+            start = end
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = PIECE_BYTES) -> Iterator[tuple[int, list]]:
-    """Runs of rows whose texts hold about ``size`` bytes together: first row, texts."""
-    texts = batch.column(column).to_pylist()
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "")
-        if held >= size:
-            yield start, texts[start : i + 1]
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, texts[start:]
+    """The same parts as their first row and their texts."""
+    start = 0
+    for part in parts(batch, column, size):
+        yield start, part.column(column).to_pylist()
+        start += part.num_rows
 
 
 def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
