@@ -2,7 +2,8 @@
 
 The register is written once as Latin-1 CSV (not timed). ``load`` then reads, cleans,
 locates, scores and lands it as Parquet, and the operators run on the landed table.
-Each figure is the median of warm runs, to completion, results discarded.
+Each figure is the median of warm runs, to completion, results discarded; ``spread`` is the
+difference between the slowest and the fastest of them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import siteglass as sg
 from siteglass.plans.queries import ON_LOCATED, ON_PROJECTS
 from siteglass.sources.tables import projects_raw
 
-RUNS = 3
+RUNS = 5
 
 
 def session(cpus: str) -> SparkSession:
@@ -42,9 +43,11 @@ def timed(action) -> float:
     return time.perf_counter() - start
 
 
-def median(action) -> float:
+def median(action) -> tuple[float, float]:
+    """Median and spread of warm runs."""
     action()
-    return round(statistics.median(timed(action) for _ in range(RUNS)), 3)
+    runs = [timed(action) for _ in range(RUNS)]
+    return round(statistics.median(runs), 3), round(max(runs) - min(runs), 3)
 
 
 def run(df) -> None:
@@ -62,19 +65,20 @@ def main() -> None:
     def load():
         sg.write_projects(sg.prepare(sg.read_register(spark, f"{work}/register")), f"{work}/projects", mode="overwrite")
 
-    queries = {"load": median(load)}
+    figures = {"load": median(load)}
     projects = sg.read_projects(spark, f"{work}/projects")
     for name, plan in {**ON_PROJECTS, **ON_LOCATED}.items():
-        queries[name] = median(lambda: run(plan(projects)))
+        figures[name] = median(lambda: run(plan(projects)))
     exports = iter(range(RUNS + 1))
-    queries["export_csv"] = median(lambda: sg.export_csv(projects, f"{work}/export-{next(exports)}"))
+    figures["export_csv"] = median(lambda: sg.export_csv(projects, f"{work}/export-{next(exports)}"))
     print(
         json.dumps(
             {
                 "metric": "total_seconds_all_operators",
-                "value": round(sum(queries.values()), 3),
+                "value": round(sum(middle for middle, _ in figures.values()), 3),
                 "unit": "sec",
-                "queries": queries,
+                "queries": {name: middle for name, (middle, _) in figures.items()},
+                "spread": {name: spread for name, (_, spread) in figures.items()},
                 "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
                 "rows": projects.count(),
                 "cpus": cpus,
