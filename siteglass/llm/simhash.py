@@ -76,17 +76,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
-def _tiles(distinct: DataFrame, size: int) -> DataFrame:
-    """One row per tile: cell (the four bit counts), chunk, fps. Crowded cells get several chunks."""
+def _celled(distinct: DataFrame) -> DataFrame:
+    """Fingerprints with their cell: the four bit counts in one number."""
     counts = [F.bit_count(F.shiftrightunsigned("fp", q).bitwiseAND(F.lit(65535))) for q in _QUARTERS]
-    celled = distinct.select("fp", sum((c * 32**k for k, c in enumerate(counts)), F.lit(0)).cast("int").alias("cell"))
-    # At most 17^4 cells exist, so their sizes are safe to broadcast.
-    sizes = celled.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("chunks"))
-    return (
-        celled.join(F.broadcast(sizes), "cell")
-        .groupBy("cell", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"))
-        .agg(F.collect_list("fp").alias("fps"))
-    )
+    return distinct.select("fp", sum((c * 32**k for k, c in enumerate(counts)), F.lit(0)).cast("int").alias("cell"))
 
 
 def _near_cells(radius: int) -> list[tuple[int, bool]]:
@@ -128,15 +121,18 @@ def near_links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFr
 
     ``distinct`` holds each fingerprint once, in a bigint column fp.
     """
-    tiles = saved(_tiles(distinct, tile), "tiles")
+    celled = _celled(distinct)
+    # Crowded cells get several chunks. At most 17^4 cells exist, one row each: safe to broadcast.
+    sizes = F.broadcast(saved(celled.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")), "cells"))
+    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk")
+    tiles = saved(celled.join(sizes, "cell").groupBy("cell", chunk).agg(F.collect_list("fp").alias("fps")), "tiles")
     near = F.explode(F.array(*[F.struct(F.lit(d).alias("step"), F.lit(z).alias("same")) for d, z in _near_cells(radius)]))
-    ours = tiles.select("cell", "chunk", F.col("fps").alias("ours"), near.alias("near")).select(
-        (F.col("cell") + F.col("near.step")).alias("cell"), F.col("chunk").alias("our_chunk"), "ours", "near.same"
+    ours = tiles.select("cell", F.col("chunk").alias("our_chunk"), F.col("fps").alias("ours"), near.alias("near")).select(
+        (F.col("cell") + F.col("near.step")).alias("cell"), "our_chunk", "ours", "near.same"
     )
-    # How many chunks a cell has: at most 17^4 rows. Each pair of tiles then has a key of its own.
-    chunks = tiles.groupBy("cell").agg(F.collect_list("chunk").alias("their_chunks"))
-    pairs = ours.join(F.broadcast(chunks), "cell").select(
-        "cell", "our_chunk", "ours", "same", F.explode("their_chunks").alias("chunk")
+    # Each pair of tiles gets a key of its own.
+    pairs = ours.join(sizes, "cell").select(
+        "cell", "our_chunk", "ours", "same", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     )
     return (
         pairs.where("not same or our_chunk <= chunk")
