@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siteglass.sources.workspace import new_dir
 
 #: Bytes of text that a task works on at once; longer texts go through in pieces.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
