@@ -2,16 +2,20 @@
 
 Sorting all suffixes of a corpus isn't needed to find long repeats. Each string of ``span``
 bytes has an anchor, its part with the smallest hash, and equal strings have equal anchors in
-equal places. Two scans keep only what can repeat: strings whose anchor repeats, then, in
-narrow ranges of places around the anchor, those whose core (what all strings of such
-a range have in common) repeats too. A Bloom filter of fixed size carries either result to
-the next scan; what it lets through by mistake is settled later.
-
-The core then becomes a single symbol, so a range is a short string: some bytes, the core, some
-bytes. Ranges that are equal as a whole are counted. The others meet, by core, in
-tasks that build the Burrows-Wheeler transforms of shards of them and merge these by interleave
-refinement; the common prefixes tell which strings repeat. A core with very many
-different surroundings is split by place instead and its strings are counted.
+equal places. Strings next to each other that share their anchor form a segment; each
+string is in exactly one. A first scan finds the anchors that repeat, a second their segments.
+Segments that are equal as a whole are counted, which settles copies.
+
+Different segments around the same anchor are cut into narrow ranges by their place
+relative to it. All strings of a range have a long core in common, which becomes a single
+symbol, so a range is a short string: some bytes, the core, some bytes. Equal ranges are counted
+again. The others meet, by core, in tasks that build the Burrows-Wheeler transforms of shards
+of them and merge these by interleave refinement; the common prefixes tell which strings
+repeat. A core with very many different surroundings is split by place instead and its
+strings are counted.
+
+What one scan found reaches the next in a Bloom filter of fixed size; what that lets through
+by mistake changes no result.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.llm.bwt import repeated
-from siteglass.llm.common import document_ref, same_document, saved
+from siteglass.llm.common import document_ref, parts, same_document, saved
 
 SPAN = 200
 #: First bytes of strings hashed at once.
@@ -114,17 +118,33 @@ class _Scanner:
         last = np.append(first[1:], len(place)) - 1
         return own[place[first]], place[first], inside[first], inside[last]
 
-    def ranges(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(core hash, core, first, last) of the ranges of strings whose anchor is among the wanted."""
-        own, place, first, last = self.anchors()
-        keep = _among(own, wanted)
-        place, first, last = place[keep], first[keep], last[keep]
+    def segments(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the anchors among the wanted."""
+        found = self.anchors()
+        keep = _among(found[0], wanted)
+        own, place, first, last = (x[keep] for x in found)
+        return own, place, first, last
+
+    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Two numbers for each stretch of bytes."""
+        data = self.data
+        each = [blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())]
+        return np.frombuffer(b"".join(each), dtype=np.int64).reshape(-1, 2)
+
+    def ranges(self, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(core, first, last): segments cut at fixed distances from their anchor."""
         near, far = (place - last) // self.bin, (place - first) // self.bin
         count = far - near + 1
         which = np.repeat(np.arange(len(place)), count)
         step = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + near[which]
         core = place[which] - self.bin * step
-        return self.hashes(core, self.core), core, np.maximum(first[which], core - self.bin + 1), np.minimum(last[which], core)
+        return core, np.maximum(first[which], core - self.bin + 1), np.minimum(last[which], core)
+
+    def places(self, rows: list, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Row and byte in its text for places in the stretch."""
+        part = np.searchsorted(self.ends, at, side="right")
+        before = np.concatenate([[0], self.ends[:-1]])
+        return pa.array(np.array([r[0] for r in rows])[part]), at + (np.array([r[1] for r in rows]) - before)[part]
 
 
 def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -132,67 +152,69 @@ def _among(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return (wanted[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _filter_of_repeated(hashes: DataFrame):
-    """A Bloom filter of the values of ``hash`` that occur more than once: 2^FILTER_BITS bits, however many there are."""
+def _filter(hashes: DataFrame):
+    """A Bloom filter of the values of ``hash``: 2^FILTER_BITS bits, however many values there are."""
     at = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
-    words = (
-        hashes.groupBy("hash").count().where("count > 1")
-        .select(
-            F.shiftrightunsigned(at, 6).alias("word"),
-            F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int")).alias("bit"),
-        )
-        .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    )
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63).cast("int"))
+    words = hashes.select(F.shiftrightunsigned(at, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return hashes.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
 
 
-def _hashes(span: int, anchors=None):
-    """Scan for the hashes of all anchors or, given the filter of those, of the cores around them."""
+def _scan(span: int, make):
+    """A pass over documents: ``make`` turns each stretch of them into the columns of a batch."""
 
     def run(batches):
         scanner = _Scanner(span)
         for batch in batches:
-            for rows in scanner.stretches(batch.column("text").to_pylist()):
-                scanner.lay(rows)
-                found = scanner.anchors()[0] if anchors is None else scanner.ranges(anchors.value)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
+            for part in parts(batch):
+                for rows in scanner.stretches(part.column("text").to_pylist()):
+                    scanner.lay(rows)
+                    columns = make(scanner, part, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns.values()], list(columns))
 
     return run
 
 
-def _ranges(span: int, anchors, cores):
-    """Scan for the ranges around repeated cores: the core's digest, the bytes on either side, the place."""
+def _hashes(scanner, batch, rows) -> dict:
+    return {"hash": scanner.anchors()[0].view(np.int64)}
 
-    def run(batches):
-        scanner = _Scanner(span)
-        for batch in batches:
-            for rows in scanner.stretches(batch.column("text").to_pylist()):
-                scanner.lay(rows)
-                own, core, first, last = scanner.ranges(anchors.value)
-                keep = _among(own, cores.value)
-                core, first, last = core[keep], first[keep], last[keep]
-                part = np.searchsorted(scanner.ends, first, side="right")
-                row = np.array([r[0] for r in rows])[part]
-                moved = (np.array([r[1] for r in rows]) - np.concatenate([[0], scanner.ends[:-1]]))[part]
-                data, size, whole = scanner.data, scanner.core, scanner.span
-                digests, left, right = [], [], []
-                for c, a, b in zip(core.tolist(), first.tolist(), last.tolist()):
-                    digests.append(blake2b(data[c : c + size], digest_size=16).digest())
-                    left.append(data[a:c])
-                    right.append(data[c + size : b + whole])
-                pair = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-                refs = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "tie")]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.ascontiguousarray(pair[:, 0])), pa.array(np.ascontiguousarray(pair[:, 1])),
-                        pa.array(left, pa.binary()), pa.array(right, pa.binary()), *refs, pa.array(first + moved),
-                    ],
-                    ["core_a", "core_b", "left", "right", "doc_id", "tie", "start"],
-                )
 
-    return run
+def _segments(anchors):
+    """The digest of every segment with a wanted anchor, the anchor, and the place."""
+
+    def make(scanner, batch, rows) -> dict:
+        own, _, first, last = scanner.segments(anchors.value)
+        digests = scanner.digests(first, last + scanner.span)
+        row, start = scanner.places(rows, first)
+        return {
+            "seg_a": digests[:, 0].copy(), "seg_b": digests[:, 1].copy(), "anchor": own.view(np.int64),
+            "doc_id": batch.column("doc_id").take(row), "tie": batch.column("tie").take(row),
+            "start": start, "last": start + last - first,
+        }
+
+    return make
+
+
+def _ranges(anchors, segments):
+    """The ranges of the wanted segments: the core's digest, the bytes on either side, and the place."""
+
+    def make(scanner, batch, rows) -> dict:
+        _, place, first, last = scanner.segments(anchors.value)
+        keep = _among(scanner.digests(first, last + scanner.span)[:, 0].copy().view(np.uint64), segments.value)
+        core, first, last = scanner.ranges(place[keep], first[keep], last[keep])
+        digests = scanner.digests(core, core + scanner.core)
+        row, start = scanner.places(rows, first)
+        data, size, span = scanner.data, scanner.core, scanner.span
+        return {
+            "core_a": digests[:, 0].copy(), "core_b": digests[:, 1].copy(),
+            "left": pa.array([data[a:c] for a, c in zip(first.tolist(), core.tolist())], pa.binary()),
+            "right": pa.array([data[c + size : b + span] for c, b in zip(core.tolist(), last.tolist())], pa.binary()),
+            "doc_id": batch.column("doc_id").take(row), "tie": batch.column("tie").take(row), "start": start,
+        }
+
+    return make
 
 
 def _symbols(cores: np.ndarray, left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -257,18 +279,27 @@ def repeated_strings(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(*document_ref(), F.col("text").cast("binary").alias("text")).where(F.octet_length("text") >= span)
-    anchors = _filter_of_repeated(texts.mapInArrow(_hashes(span), "hash bigint"))
-    cores = _filter_of_repeated(texts.mapInArrow(_hashes(span, anchors), "hash bigint"))
+    hashes = texts.mapInArrow(_scan(span, _hashes), "hash bigint")
+    anchors = _filter(hashes.groupBy("hash").count().where("count > 1"))
+
+    columns = f"seg_a bigint, seg_b bigint, anchor bigint, doc_id {kind}, tie int, start bigint, last bigint"
+    segments = saved(texts.mapInArrow(_scan(span, _segments(anchors)), columns), "segments")
+    segment = ["seg_a", "seg_b"]
+    distinct = saved(segments.groupBy(segment).agg(F.count("*").alias("n"), F.first("anchor").alias("anchor")), "distinct")
+    copied = segments.join(distinct.where("n > 1").select(segment), segment, "left_semi")
+    whole = copied.select("doc_id", "tie", F.col("start").alias("first"), "last")
+    shared = saved(distinct.groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
+    unlike = _filter(distinct.join(shared, "anchor", "left_semi").select(F.col("seg_a").alias("hash")))
+
     columns = f"core_a bigint, core_b bigint, left binary, right binary, doc_id {kind}, tie int, start bigint"
-    ranges = saved(texts.mapInArrow(_ranges(span, anchors, cores), columns), "ranges")
+    ranges = saved(texts.mapInArrow(_scan(span, _ranges(anchors, unlike)), columns), "ranges")
     bin_size = _Scanner(span).bin
     core, surroundings = ["core_a", "core_b"], ["core_a", "core_b", "left", "right"]
     places = F.octet_length("left") + F.octet_length("right") - (bin_size - 1)
-
     place = F.struct("doc_id", "tie", "start")
     distinct = saved(ranges.groupBy(surroundings).agg(F.count("*").alias("n"), F.first(place).alias("place")), "surroundings")
-    copied = distinct.where("n > 1").select(surroundings)
-    whole = ranges.join(copied, surroundings, "left_semi").select("doc_id", "tie", F.col("start").alias("first"), (F.col("start") + places).alias("last"))
+    copied = ranges.join(distinct.where("n > 1").select(surroundings), surroundings, "left_semi")
+    whole = whole.union(copied.select("doc_id", "tie", F.col("start").alias("first"), (F.col("start") + places).alias("last")))
 
     crowds = saved(distinct.groupBy(core).agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowds")
     several = distinct.join(crowds, core).select(*surroundings, "n", "crowd", "place.*")
