@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from hashlib import blake2b
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,9 @@ from siteglass.llm.common import document_ref, same_document, saved
 
 #: Sentences in a run at least, and words; a run takes more sentences until it has the words.
 RUN_SENTENCES, RUN_WORDS = 3, 12
-#: A sentence without an end is cut after so many words.
-SENTENCE_WORDS = 12
+#: A longer sentence is cut after every word whose checksum CUT divides, and after LONGEST words:
+#: cuts depend on the words near them, so a passage is cut alike wherever it stands.
+SENTENCE_WORDS, CUT, LONGEST = 12, 8, 24
 # A sentence ends with a stop (signs and closing marks may follow) before a blank, or with a line.
 _END = re.compile(rb"[.!?][^0-9A-Za-z\x80-\xff\s]*\s+|\s*\n\s*")
 _WORD = re.compile(rb"\S+\s*")
@@ -34,8 +36,15 @@ def sentences(data: bytes) -> list[tuple[int, int]]:
     for end in [*(m.end() for m in _END.finditer(data)), len(data)]:
         n = len(data[at:end].split())
         if n > SENTENCE_WORDS:
-            starts = [m.start() for m in _WORD.finditer(data, at, end)]
-            out += [(s, min(SENTENCE_WORDS, n - k)) for k, s in zip(range(0, n, SENTENCE_WORDS), starts[::SENTENCE_WORDS])]
+            start = count = 0
+            for word in _WORD.finditer(data, at, end):
+                start = start if count else word.start()
+                count += 1
+                if count == LONGEST or crc32(word[0].rstrip().lower()) % CUT == 0:
+                    out.append((start, count))
+                    count = 0
+            if count:
+                out.append((start, count))
         elif n:
             out.append((at, n))
         at = end

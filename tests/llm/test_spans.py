@@ -1,4 +1,5 @@
 import re
+import zlib
 
 from siteglass.llm import spans
 from siteglass.llm.common import table
@@ -17,14 +18,18 @@ def brute(docs, length=3, least=12):
         bounds = [m.end() for m in re.finditer(rb"[.!?][^0-9A-Za-z\x80-\xff\s]*\s+|\s*\n\s*", data)] + [len(data)]
         for end in bounds:
             tokens = re.findall(rb"\S+\s*", data[at:end])
+            total, blank = len(tokens), not tokens
             lead = data[at:end][: len(data[at:end]) - len(data[at:end].lstrip())]
-            for k in range(0, len(tokens), 12):
-                some = tokens[k : k + 12]
-                parts.append(((lead if k == 0 else b"") + b"".join(some)))
+            while tokens:
+                marks = [k for k, w in enumerate(tokens[:24], 1) if zlib.crc32(w.rstrip().lower()) % 8 == 0 or k == 24]
+                some = tokens[: marks[0]] if total > 12 and marks else tokens
+                tokens = tokens[len(some) :]
+                parts.append(lead + b"".join(some))
                 lengths.append(len(some))
-            if not tokens and parts:
+                lead = b""
+            if blank and parts:
                 parts[-1] += data[at:end]
-            elif not tokens:
+            elif blank:
                 ahead += data[at:end]
             at = end
         cut[d, t] = (parts, lengths, ahead)
@@ -87,7 +92,17 @@ def test_long_passages_are_caught(spark):
     long = words(rng, 60)  # over 50 words, no sentence ends
     docs = [(i, words(rng, 20) + ".\n" + long + ".\n" + words(rng, 30) + ".") for i in range(5)] + [(9, words(rng, 300))]
     found = {r.doc_id: r.n_removed for r in spans.without_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
-    assert found[0] == 0 and found[9] == 0 and all(found[i] == 5 for i in range(1, 5))
+    assert found[0] == 0 and found[9] == 0 and all(found[i] >= 3 for i in range(1, 5))
+
+
+def test_passages_inside_sentences_are_caught(spark):
+    import random
+
+    rng = random.Random(10)
+    long = words(rng, 70)
+    docs = [(i, words(rng, 20 + i) + " " + long + " " + words(rng, 30)) for i in range(6)] + [(9, words(rng, 300))]
+    found = {r.doc_id: r.n_removed for r in spans.without_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert found[0] == 0 and found[9] == 0 and all(found[i] >= 3 for i in range(1, 6))
 
 
 def test_empty(spark):
