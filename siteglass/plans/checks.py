@@ -284,6 +284,12 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "kpi_summary": _q(_KPIS),
     "kpi_from_groups": _q(_KPIS),
+    "empty_selection": _q(
+        """SELECT count(*) AS projects, coalesce(sum(capacity_mw), 0) AS total_capacity_mw, avg(capacity_mw) AS average_capacity_mw,
+         max(last_updated) AS latest_update, '0 MW' AS total_capacity_text,
+         format('{:,.1f} MW', avg(capacity_mw)) AS average_capacity_text, 'N/A' AS latest_update_text
+        FROM projects WHERE region = 'ATLANTIS'"""
+    ),
     "capacity_by_technology": _top_groups("technology", 8),
     "capacity_by_region": _top_groups("region", 8),
     "capacity_by_stage": _top_groups("status", 10),

@@ -18,6 +18,7 @@ SEARCH_REGEX = "power.*(battery|storage) awaiting"
 TECHNOLOGY, STATUS, REGION = "Solar Photovoltaics", "Planning Granted", "EUROPE"
 
 CHOSEN_NAME = "Customer#000000001 site"
+NOWHERE = "ATLANTIS"
 
 _SHORT = ("ref_id", "site_name", "technology", "capacity_mw", "status", "region")
 
@@ -87,6 +88,7 @@ ON_PROJECTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "offshore_projects": lambda df: sg.offshore_projects(df).select(*_SHORT, "score"),
     "dataset_summary": sg.dataset_summary,
     "kpi_summary": lambda df: _rounded(sg.kpis(df), 4, "total_capacity_mw", "average_capacity_mw"),
+    "empty_selection": lambda df: sg.kpis(sg.apply_filters(df, region=NOWHERE)),
     "kpi_from_groups": lambda df: _rounded(
         sg.group_kpis(sg.capacity_groups(df)), 4, "total_capacity_mw", "average_capacity_mw"
     ),
