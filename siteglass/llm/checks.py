@@ -50,4 +50,21 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op2_one_bit_codes": _NEAREST, "op4_chat_format": _CHAT, "op5_decontaminate": _DECONTAMINATE}
+# Bytes as two hexadecimal digits each.
+_REPEATS = """
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT r, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS i FROM d)),
+hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+numbered AS (SELECT r, i, sum(CASE WHEN p IS NULL OR i > p + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS s FROM hit),
+runs AS (SELECT r, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY r, s),
+gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS c FROM runs),
+cut AS (
+  SELECT gaps.r, count(*) AS n_spans, sum(b - a) AS n_removed,
+    string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+  FROM gaps JOIN d ON gaps.r = d.r GROUP BY gaps.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut ON d.r = cut.r
+"""
+
+ORACLE_SQL = {"op2_one_bit_codes": _NEAREST, "op3_suffix_repeats": _REPEATS, "op4_chat_format": _CHAT, "op5_decontaminate": _DECONTAMINATE}
