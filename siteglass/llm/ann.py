@@ -78,11 +78,11 @@ def bounds(code: tuple, queries: np.ndarray, centre: np.ndarray, turned: np.ndar
     """Estimated inner products (vectors by queries) and their error bounds."""
     packed, far, correction, scale = code
     size = queries.shape[1]
-    aimed = (queries @ turned).astype(np.float32)
-    signs = np.unpackbits(packed, axis=1, count=size).astype(np.float32) * 2 - 1
+    aimed = queries @ turned
+    signs = np.unpackbits(packed, axis=1, count=size).astype(np.float64) * 2 - 1
     estimate = (signs @ aimed.T) * (far * correction / np.sqrt(size))[:, None] + (queries @ centre)[None, :]
     length = np.sqrt((queries * queries).sum(axis=1))
-    slack = confidence * (far * scale)[:, None] * length[None, :] + 1e-5 * (far[:, None] + np.abs(centre).sum()) * length[None, :]
+    slack = confidence * (far * scale)[:, None] * length[None, :] + 1e-9 * (far[:, None] + np.abs(centre).sum()) * length[None, :]
     return estimate, slack
 
 

@@ -39,6 +39,13 @@ def test_exact_with_copies_and_awkward_rows(spark, settings):
     assert found == brute(rows)
 
 
+@pytest.mark.parametrize("size", [1e-20, 3e37])
+def test_very_small_and_large_components(spark, size):
+    rows = [(i, [float(np.float32(size * c)) for c in v]) for i, v in vectors(150)]
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(frame(spark, rows)).collect())
+    assert found == brute(rows)
+
+
 def test_few_and_no_candidates(spark):
     rows = vectors(5)
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(frame(spark, rows)).collect()) == brute(rows)
