@@ -1,9 +1,9 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-Vectors are centred, normalised and rotated at random; a code keeps one bit per dimension, the
-distance from the centre and a correction scalar (how well the bits point where the vector
-points). From these the inner product with any query is estimated without bias, with an
-error bound. A task estimates its vectors against a block of queries, and evaluates exactly
+Vectors are centred, normalised, extended by zeros and rotated at random; a code keeps one bit
+for each dimension after that, the distance from the centre and a correction scalar (how well
+the bits point where the vector points). From these the inner product with any query is estimated
+without bias, with an error bound that falls with the root of the number of bits. A task estimates its vectors against a block of queries, and evaluates exactly
 only those whose upper bound reaches the best lower bound known for the query.
 All queries meet all vectors, in blocks of a bounded size.
 """
@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 from siteglass.llm.common import saved
 
 #: Vectors (a fixed choice by hash) that give the centre and the first lower bounds.
-SAMPLE_ROWS = 4096
+SAMPLE_ROWS = 16384
 #: Queries broadcast at once, and codes estimated at once.
 QUERY_BLOCK, CODE_BLOCK = 16384, 2048
+#: Bits of a code: six for each dimension, 384 at least.
+BITS_A_DIMENSION, LEAST_BITS = 6, 384
 #: Width of the error bound, in standard deviations of the estimate.
 CONFIDENCE = 4.0
 
@@ -37,9 +39,10 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def rotation(size: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix, the same everywhere."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(size, size)))
-    return q * np.sign(np.diag(r))
+    """Where a random rotation takes vectors of ``size`` components and zeros after these; the same everywhere."""
+    bits = max(LEAST_BITS, BITS_A_DIMENSION * size)
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, size)))
+    return (q * np.sign(np.diag(r))).T
 
 
 def _matrix(column, size: int) -> np.ndarray:
@@ -77,12 +80,15 @@ def codes(vectors: np.ndarray, centre: np.ndarray, turned: np.ndarray) -> tuple[
 def bounds(code: tuple, queries: np.ndarray, centre: np.ndarray, turned: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products (vectors by queries) and their error bounds."""
     packed, far, correction, scale = code
-    size = queries.shape[1]
-    aimed = queries @ turned
-    signs = np.unpackbits(packed, axis=1, count=size).astype(np.float64) * 2 - 1
-    estimate = (signs @ aimed.T) * (far * correction / np.sqrt(size))[:, None] + (queries @ centre)[None, :]
+    bits = turned.shape[1]
     length = np.sqrt((queries * queries).sum(axis=1))
-    slack = confidence * (far * scale)[:, None] * length[None, :] + 1e-9 * (far[:, None] + np.abs(centre).sum()) * length[None, :]
+    # Of length 1, single precision holds any query; what it rounds off is in the bound.
+    aimed = ((queries / length[:, None]) @ turned).astype(np.float32)
+    signs = np.unpackbits(packed, axis=1, count=bits).astype(np.float32) * 2 - 1
+    estimate = (signs @ aimed.T) * (far * correction / np.sqrt(bits))[:, None]
+    estimate *= length[None, :]
+    estimate += (queries @ centre)[None, :]
+    slack = (far * (confidence * scale + 1e-5) + 1e-9 * np.abs(centre).sum())[:, None] * length[None, :]
     return estimate, slack
 
 
@@ -162,22 +168,29 @@ def _searcher(shared, size: int, k: int, confidence: float):
     def run(batches):
         ids, asked, floors, centre, turned = shared.value
         best = _Best(len(ids), k, floors)
+        length = np.sqrt((asked * asked).sum(axis=1))
         for batch in batches:
             own, vectors = batch.column("vec_id").to_numpy(), _matrix(batch.column("vector"), size)
             for i in range(0, len(own), CODE_BLOCK):
                 part, names = vectors[i : i + CODE_BLOCK], own[i : i + CODE_BLOCK]
                 code = codes(part, centre, turned)
+                far = np.sqrt((part * part).sum(axis=1))
                 for j in range(0, len(ids), 1024):
                     estimate, slack = bounds(code, asked[j : j + 1024], centre, turned, confidence)
                     near = estimate + slack >= best.floor[None, j : j + 1024]
                     near &= names[:, None] != ids[None, j : j + 1024]
                     v, q = np.nonzero(near)
                     q += j
-                    for s in range(0, len(v), 1 << 17):
-                        a, b = v[s : s + (1 << 17)], q[s : s + (1 << 17)]
-                        score = exact(part[a], asked[b])
-                        reach = score >= best.floor[b]
-                        best.add(b[reach], names[a[reach]], score[reach])
+                    for s in range(0, len(v), 1 << 14):
+                        a, b = v[s : s + (1 << 14)], q[s : s + (1 << 14)]
+                        # Near enough to leave most of them out; the order of additions comes after.
+                        score, room = np.einsum("ij,ij->i", part[a], asked[b]), 1e-12 * far[a] * length[b]
+                        reach = score + room >= best.floor[b]
+                        a, b = a[reach], b[reach]
+                        if len(a):
+                            score = exact(part[a], asked[b])
+                            reach = score >= best.floor[b]
+                            best.add(b[reach], names[a[reach]], score[reach])
         yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score)], ["query_id", "vec_id", "score"])
 
     return run

@@ -58,12 +58,12 @@ def test_bounds_hold(spark):
     rng = np.random.default_rng(4)
     x, q = rng.normal(size=(3000, 64)), rng.normal(size=(50, 64))
     centre, turned = x.mean(axis=0), ann.rotation(64, 1)
-    assert np.allclose(turned @ turned.T, np.eye(64))
+    assert turned.shape == (64, 384) and np.allclose(turned @ turned.T, np.eye(64))
     code = ann.codes(x, centre, turned)
-    assert code[0].dtype == np.uint8 and code[0].shape == (3000, 8)
+    assert code[0].dtype == np.uint8 and code[0].shape == (3000, 48)
     estimate, slack = ann.bounds(code, q, centre, turned, ann.CONFIDENCE)
     error = estimate - x @ q.T
     assert (np.abs(error) > slack).mean() < 0.001
-    # No bias; the spread is what one bit a dimension leaves: about 0.75 of the lengths' product over the root of 64.
-    spread = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :] / 8
+    # No bias; the spread is what 384 bits leave: about 0.75 of the lengths' product over the root of 384.
+    spread = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :] / 384**0.5
     assert abs((error / spread).mean()) < 0.05 and 0.6 < (error / spread).std() < 0.9
