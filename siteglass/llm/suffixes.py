@@ -125,11 +125,11 @@ class _Scanner:
         own, place, first, last = (x[keep] for x in found)
         return own, place, first, last
 
-    def digests(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Two numbers for each stretch of bytes."""
-        data = self.data
-        each = [blake2b(data[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())]
-        return np.frombuffer(b"".join(each), dtype=np.int64).reshape(-1, 2)
+    def digests(self, starts: np.ndarray, ends: np.ndarray, numbers: int) -> np.ndarray:
+        """One or two numbers for each stretch of bytes."""
+        data, size = self.data, 8 * numbers
+        each = [blake2b(data[a:b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist())]
+        return np.frombuffer(b"".join(each), dtype=np.int64).reshape(-1, numbers)
 
     def ranges(self, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(core, first, last): segments cut at fixed distances from their anchor."""
@@ -181,30 +181,48 @@ def _hashes(scanner, batch, rows) -> dict:
     return {"hash": scanner.anchors()[0].view(np.int64)}
 
 
+def _told_apart(scanner, batch, rows, anchors) -> tuple:
+    """Segments with a wanted anchor: digest and a number of the place (pick), besides what the scanner knows of them."""
+    own, place, first, last = scanner.segments(anchors.value)
+    digest = scanner.digests(first, last + scanner.span, 1)[:, 0].copy()
+    row, start = scanner.places(rows, first)
+    tie = batch.column("tie").take(row).to_numpy().astype(np.uint64)
+    pick = _mixed(own ^ _mixed(digest.view(np.uint64) ^ _mixed(start.astype(np.uint64) ^ (tie << np.uint64(32)))))
+    return own, place, first, last, digest, row, start, pick
+
+
+def _kinds(anchors):
+    """Anchor and digest of every segment, which name it, and a number that chooses one of its places."""
+
+    def make(scanner, batch, rows) -> dict:
+        own, _, _, _, digest, _, _, pick = _told_apart(scanner, batch, rows, anchors)
+        return {"anchor": own.view(np.int64), "digest": digest, "pick": pick.view(np.int64)}
+
+    return make
+
+
 def _segments(anchors):
-    """The digest of every segment with a wanted anchor, the anchor, and the place."""
+    """Anchor and digest of every segment, and its place."""
 
     def make(scanner, batch, rows) -> dict:
         own, _, first, last = scanner.segments(anchors.value)
-        digests = scanner.digests(first, last + scanner.span)
         row, start = scanner.places(rows, first)
         return {
-            "seg_a": digests[:, 0].copy(), "seg_b": digests[:, 1].copy(), "anchor": own.view(np.int64),
-            "doc_id": batch.column("doc_id").take(row), "tie": batch.column("tie").take(row),
-            "start": start, "last": start + last - first,
+            "anchor": own.view(np.int64), "digest": scanner.digests(first, last + scanner.span, 1)[:, 0].copy(),
+            "doc_id": batch.column("doc_id").take(row), "tie": batch.column("tie").take(row), "first": start, "last": start + last - first,
         }
 
     return make
 
 
-def _ranges(anchors, segments):
-    """The ranges of the wanted segments: the core's digest, the bytes on either side, and the place."""
+def _ranges(anchors, picks):
+    """The ranges of the segments at the chosen places: the core's digest, the bytes on either side, and the place."""
 
     def make(scanner, batch, rows) -> dict:
-        _, place, first, last = scanner.segments(anchors.value)
-        keep = _among(scanner.digests(first, last + scanner.span)[:, 0].copy().view(np.uint64), segments.value)
+        _, place, first, last, _, _, _, pick = _told_apart(scanner, batch, rows, anchors)
+        keep = _among(pick, picks.value)
         core, first, last = scanner.ranges(place[keep], first[keep], last[keep])
-        digests = scanner.digests(core, core + scanner.core)
+        digests = scanner.digests(core, core + scanner.core, 2)
         row, start = scanner.places(rows, first)
         data, size, span = scanner.data, scanner.core, scanner.span
         return {
@@ -282,14 +300,16 @@ def repeated_strings(docs: DataFrame, span: int = SPAN) -> DataFrame:
     hashes = texts.mapInArrow(_scan(span, _hashes), "hash bigint")
     anchors = _filter(hashes.groupBy("hash").count().where("count > 1"))
 
-    columns = f"seg_a bigint, seg_b bigint, anchor bigint, doc_id {kind}, tie int, start bigint, last bigint"
-    segments = saved(texts.mapInArrow(_scan(span, _segments(anchors)), columns), "segments")
-    segment = ["seg_a", "seg_b"]
-    distinct = saved(segments.groupBy(segment).agg(F.count("*").alias("n"), F.first("anchor").alias("anchor")), "distinct")
-    copied = segments.join(distinct.where("n > 1").select(segment), segment, "left_semi")
-    whole = copied.select("doc_id", "tie", F.col("start").alias("first"), "last")
+    # Scanning twice costs less than keeping every segment.
+    segment = ["anchor", "digest"]
+    kinds = texts.mapInArrow(_scan(span, _kinds(anchors)), "anchor bigint, digest bigint, pick bigint")
+    distinct = saved(kinds.groupBy(segment).agg(F.count("*").alias("n"), F.min("pick").alias("pick")), "segments")
+    placed = texts.mapInArrow(_scan(span, _segments(anchors)), f"anchor bigint, digest bigint, doc_id {kind}, tie int, first bigint, last bigint")
+    copied = saved(distinct.where("n > 1").select(segment), "copied")
+    whole = placed.join(copied, segment, "left_semi").select("doc_id", "tie", "first", "last")
+    # Of a segment that occurs often one place stands for all: the others are settled.
     shared = saved(distinct.groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
-    unlike = _filter(distinct.join(shared, "anchor", "left_semi").select(F.col("seg_a").alias("hash")))
+    unlike = _filter(distinct.join(shared, "anchor", "left_semi").select(F.col("pick").alias("hash")))
 
     columns = f"core_a bigint, core_b bigint, left binary, right binary, doc_id {kind}, tie int, start bigint"
     ranges = saved(texts.mapInArrow(_scan(span, _ranges(anchors, unlike)), columns), "ranges")
@@ -333,9 +353,9 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 text = text or b""
                 covered = np.zeros(len(text) + 1, dtype=np.int32)
                 if found:
-                    edges = np.array([(f["first"], f["last"] + span) for f in found])
-                    np.add.at(covered, edges[:, 0], 1)
-                    np.add.at(covered, edges[:, 1], -1)
+                    first, more = np.array(found) >> 16, np.array(found) & 65535
+                    np.add.at(covered, first, 1)
+                    np.add.at(covered, first + more + span, -1)
                 gone = np.cumsum(covered[:-1]) > 0
                 kept.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if found else text)
                 sizes.append(len(text))
@@ -346,7 +366,8 @@ def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
-    places = repeated_strings(docs, span).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    stretch = F.shiftleft("first", 16) + (F.col("last") - F.col("first"))
+    places = repeated_strings(docs, span).groupBy("doc_id", "tie").agg(F.collect_list(stretch).alias("found"))
     texts = docs.select(*document_ref(), F.col("text").cast("binary").alias("text")).alias("d")
     joined = texts.join(places.alias("p"), same_document("d", "p"), "left").select("d.doc_id", "text", "found")
     kind = docs.schema["doc_id"].dataType.simpleString()
