@@ -2,14 +2,15 @@
 
 A text is cut into sentences; from every sentence a run of several consecutive ones is
 hashed. Runs are joined globally by hash, and sentences that lie in any repeated run but the
-first are removed. The first scan only finds which hashes repeat and where each
-occurs first; the second meets these in a join and keeps the rest of their places.
+first are removed. An aggregate finds which hashes repeat and where each occurs first;
+a join with these keeps the rest of their places.
 """
 
 from __future__ import annotations
 
 import re
 from hashlib import blake2b
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -25,7 +26,7 @@ RUN_SENTENCES, RUN_WORDS = 3, 12
 #: cuts depend on the words near them, so a passage is cut alike wherever it stands.
 SENTENCE_WORDS, CUT, LONGEST = 12, 8, 24
 # A sentence ends with a stop (signs and closing marks may follow) before a blank, or with a line.
-_END = re.compile(rb"[.!?][^0-9A-Za-z\x80-\xff\s]*\s+|\s*\n\s*")
+_END = re.compile(rb"[.!?][^0-9A-Za-z\x80-\xff\s]*\s+|\n\s*")
 _WORD = re.compile(rb"\S+\s*")
 
 
@@ -34,31 +35,44 @@ def sentences(data: bytes) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     at = 0
     for end in [*(m.end() for m in _END.finditer(data)), len(data)]:
-        n = len(data[at:end].split())
+        words = data[at:end].split()
+        n = len(words)
         if n > SENTENCE_WORDS:
-            start = count = 0
-            for word in _WORD.finditer(data, at, end):
-                start = start if count else word.start()
-                count += 1
-                if count == LONGEST or crc32(word[0].rstrip().lower()) % CUT == 0:
-                    out.append((start, count))
-                    count = 0
-            if count:
-                out.append((start, count))
+            starts = _word_starts(data, at, end, words)
+            first = 0
+            for k, word in enumerate(words, 1):
+                if k - first == LONGEST or crc32(word.lower()) % CUT == 0:
+                    out.append((starts[first], k - first))
+                    first = k
+            if first < n:
+                out.append((starts[first], n - first))
         elif n:
             out.append((at, n))
         at = end
     return out
 
 
+def _word_starts(data: bytes, at: int, end: int, words: list[bytes]) -> list[int]:
+    part = data[at:end]
+    bare = part.lstrip()
+    if len(bare.rstrip()) == sum(map(len, words)) + len(words) - 1:  # single blanks between them
+        return [at + len(part) - len(bare), *accumulate((len(w) + 1 for w in words[:-1]), initial=at + len(part) - len(bare))][1:]
+    return [m.start() for m in _WORD.finditer(data, at, end)]
+
+
 def runs(found: list[tuple[int, int]], length: int = RUN_SENTENCES, words: int = RUN_WORDS) -> list[tuple[int, int]]:
     """(first, last + 1) sentence of the run from each sentence that has one: the shortest of at
     least ``length`` sentences and ``words`` words."""
-    total = np.concatenate([[0], np.cumsum([n for _, n in found], dtype=np.int64)])
-    first = np.arange(len(found))
-    stop = np.maximum(first + length, np.searchsorted(total, total[:-1] + words))
-    fits = stop <= len(found)
-    return list(zip(first[fits].tolist(), stop[fits].tolist()))
+    total = [0, *accumulate(n for _, n in found)]
+    out, last, size = [], 0, len(found)
+    for first in range(size - length + 1):
+        last = max(last, first + length)
+        while last < size and total[last] - total[first] < words:
+            last += 1
+        if total[last] - total[first] < words:
+            break
+        out.append((first, last))
+    return out
 
 
 def _rows(length: int, words: int):
@@ -69,11 +83,13 @@ def _rows(length: int, words: int):
             owner, starts, digests = [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 found = sentences(text)
-                clean = [b" ".join(text[s:e].split()).lower() for (s, _), e in zip(found, [*(s for s, _ in found[1:]), len(text)])]
-                for a, b in runs(found, length, words):
-                    owner.append(i)
-                    starts.append(a)
-                    digests.append(blake2b(b"\n".join(clean[a:b]), digest_size=12).digest())
+                edges = [*(s for s, _ in found), len(text)]
+                lower = text.lower()
+                clean = [b" ".join(lower[s:e].split()) for s, e in zip(edges, edges[1:])]
+                chosen = runs(found, length, words)
+                owner += [i] * len(chosen)
+                starts += [a for a, _ in chosen]
+                digests += [blake2b(b"\n".join(clean[a:b]), digest_size=12).digest() for a, b in chosen]
             packed = np.frombuffer(b"".join(digests), dtype=np.dtype([("a", "<i8"), ("b", "<i4")]))
             refs = [batch.column(c).take(pa.array(owner, pa.int64())) for c in ("doc_id", "tie")]
             yield pa.RecordBatch.from_arrays(
@@ -92,7 +108,8 @@ def repeated_runs(docs: DataFrame, length: int = RUN_SENTENCES, words: int = RUN
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     refs = docs.select(*document_ref(), F.col("text").cast("binary").alias("text")).where("text is not null")
-    rows = refs.mapInArrow(_rows(length, words), f"hash_a bigint, hash_b int, doc_id {kind}, tie int, start int")
+    # Kept, about as large as half the compressed texts: cutting and hashing them again would cost more.
+    rows = saved(refs.mapInArrow(_rows(length, words), f"hash_a bigint, hash_b int, doc_id {kind}, tie int, start int"), "runs")
     place = F.struct("doc_id", "tie", "start")
     repeated = saved(
         rows.groupBy("hash_a", "hash_b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
