@@ -29,7 +29,7 @@ _QUARTERS = (0, 16, 32, 48)
 _BLANK = re.compile(rb"[ \t-\r]")
 
 
-def _word_lists(data: bytes):
+def word_lists(data: bytes):
     data = data.lower()
     at = 0
     while len(data) - at > PIECE_BYTES:
@@ -46,7 +46,7 @@ def fingerprint(data: bytes, shingle: int = 3) -> int:
     ones, n = np.zeros(64, dtype=np.int64), 0
     carried: list[bytes] = []
     digest = xxhash.xxh64_intdigest
-    for words in _word_lists(data):
+    for words in word_lists(data):
         words = carried + words
         if len(words) >= shingle:
             line = b" ".join(words)
@@ -161,9 +161,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, tile: in
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, groups=near_duplicates, **settings) -> DataFrame:
     """The rows of ``docs``, all columns, that name their component: one of each group.
 
+    ``groups`` gives doc_id and component_id of every row of (doc_id, text).
     Rows with the same id and text are copies, of which one stays; other rows that share
     the smallest id stay once each group. Rows without id stay only where their group has no other.
     """
@@ -174,6 +175,6 @@ def without_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     )
     # The key takes the place of the id: missing ids last, then by id, then the key tells equal ids apart.
     key = F.struct(F.isnull("doc_id").alias("missing"), "doc_id", *row_key()).alias("doc_id")
-    first = near_duplicates(docs.select(key, "text"), **settings).where("doc_id = component_id")
+    first = groups(docs.select(key, "text"), **settings).where("doc_id = component_id")
     kept = once.join(first.select("doc_id.key_a", "doc_id.key_b").distinct(), ["key_a", "key_b"], "left_semi")
     return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in columns])
