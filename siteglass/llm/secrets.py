@@ -1,7 +1,7 @@
 """Secret scans with a random forest that removes false positives, in DataFrame operations only.
 
 A pattern proposes candidates: long unbroken runs of the characters that keys are made of,
-and private key blocks. Each becomes a row of features (length, transitions between
+values given to a credential word, and private key blocks. Each becomes a row of features (length, transitions between
 kinds of characters, share covered by dictionary words, path marks, neighbouring words). A
 random forest learns from labelled findings which of them are secrets; what it
 confirms is masked in the text.
@@ -17,10 +17,22 @@ from pyspark.sql import functions as F
 
 from siteglass.llm.common import row_key, saved
 
-#: What is proposed: private key blocks, and runs of 16 or more key characters (padding included).
+#: Words that name a credential, by length: what is looked for before a value has to have one.
+_NAMES = (
+    "pwd", "auth", "token", "secret|passwd|apikey|bearer", "api[_-]key", "password", "accesskey|secretkey",
+    "access[_-]key|secret[_-]key|passphrase|credential",
+)
+# Between name and value: a closing quote, a blank, the sign, a blank, an opening quote; each may lack but the sign.
+_SIGNS = [a + b + sign + c + d for a in ("", "[\"']") for b in ("", r"\s") for sign in ("[:=]", "(?:=>|:=)") for c in ("", r"\s") for d in ("", "[\"'`]")]
+_GIVEN = "|".join([*(f"(?<=(?i:{n}){s})" for s in _SIGNS for n in _NAMES), r"(?<=(?i:bearer)\s)"])
+# Tried first, as it is cheap and seldom holds: a sign or "bearer" stands right before.
+_NEAR = r"(?<=[:=>])|(?<=[:=>][\s\"'`])|(?<=[:=>]\s[\"'`])|(?<=[rR]\s)"
+#: What is proposed: private key blocks, unbroken values of 8 or more characters given to a credential
+#: word (a quoted one ends with its quote), and runs of 16 or more key characters (padding included).
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9_+/.@-])[A-Za-z0-9_+/][A-Za-z0-9_+/.@-]{14,}[A-Za-z0-9_+/]={0,2}"
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    rf"|(?:{_NEAR})(?:{_GIVEN})(?:(?<=\")[^\s\"]{{8,}}|(?<=')[^\s']{{8,}}|(?<![\"'])[^\s\"'`]{{7,}}[^\s\"'`.,;)])"
+    r"|(?<![A-Za-z0-9_+/.@-])(?=[_+/.@-]*[A-Za-z0-9])[A-Za-z0-9_+/.@-]{15,}[A-Za-z0-9_+/-]={0,2}"
 )
 #: Words that a dictionary lookup takes out of a candidate, longest first (three letters or more).
 DICTIONARY = tuple(
@@ -56,7 +68,8 @@ def candidates(docs: DataFrame) -> DataFrame:
         "found",
         lambda x, i: F.struct(
             x.alias("finding"),
-            F.right(F.get("between", i), F.lit(60)).alias("before"),
+            # With the finding before it: a long name may be one itself.
+            F.right(F.concat(F.coalesce(F.get("found", i - 1), F.lit("")), F.get("between", i)), F.lit(60)).alias("before"),
             F.left(F.get("between", i + 1), F.lit(60)).alias("after"),
         ),
     )
@@ -96,14 +109,22 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.select("*", *[numbers[name].cast("double").alias(name) for name in FEATURES])
 
 
+def secret_by_rule() -> Column:
+    """Whether a finding has a format that issuers fix, or is a value given to a credential word."""
+    issued = F.col("finding").rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{10,}|-----BEGIN )")
+    named = F.right("before", F.lit(30)).rlike(KEYWORDS + r"\W{1,5}$")
+    mixed = F.col("finding").rlike(r"^(?=.*[A-Za-z])(?=.*[0-9!#$%^&*?~+])[^\s<>(){}\[\]$/@][^\s<>(){}\[\]/]{7,}$")
+    given = named & (F.col("finding").rlike("^[0-9a-f]{16,}$") | (mixed & F.col("before").rlike(r"([=:]>?\s?[\"'`]?|(?i)bearer\s)$")))
+    return issued | given
+
+
 def seed_labels(found: DataFrame) -> DataFrame:
     """Labelled findings where nobody has labelled any: ``label`` 1 for formats that issuers
-    fix and for hexadecimal values given to a credential word, 0 for runs of letters, names
-    and addresses. What fits neither stays out of training and is left to the forest."""
-    issued = F.col("finding").rlike(r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abp]-[0-9A-Za-z-]{10,}|-----BEGIN )")
-    given = F.col("finding").rlike("^[0-9a-f]{16,}$") & F.right("before", F.lit(30)).rlike(KEYWORDS + r"\W{1,4}$")
-    plain = F.col("finding").rlike(r"^[A-Za-z]?[a-z]+[.]?[a-z]*$|^[A-Z]+$|@|^[A-Za-z]+([-/.][A-Za-z]+)+$")
-    return found.withColumn("label", F.when(issued | given, 1.0).when(plain, 0.0)).where("label is not null")
+    fix and for values given to a credential word that are hexadecimal or mix letters with digits
+    or signs, 0 for runs of letters, names, addresses and placeholders. What fits neither stays
+    out of training and is left to the forest."""
+    plain = F.col("finding").rlike(r"^[A-Za-z]?[a-z]+[.]?[a-z]*$|^[A-Z]+$|@|^[A-Za-z]+([-/.][A-Za-z]+)+$|^[$<({%\[]")
+    return found.withColumn("label", F.when(secret_by_rule(), 1.0).when(plain, 0.0)).where("label is not null")
 
 
 def train(labelled: DataFrame, rows: int = TRAINING_ROWS, trees: int = 24, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel | None:
