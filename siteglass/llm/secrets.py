@@ -147,10 +147,12 @@ def saved_vectors(chosen: DataFrame) -> DataFrame:
 
 
 def judged(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
-    """``found`` (with features) with probability and is_secret. Without a model every candidate is one."""
+    """``found`` (with features) with probability and is_secret. Without a model, what :func:`seed_labels`
+    calls a secret by its rules is one, and nothing else, whatever other candidates there are."""
     plain = found.drop(*FEATURES)
     if model is None:
-        return plain.withColumns({"probability": F.lit(1.0), "is_secret": F.lit(True)})
+        by_rule = F.coalesce(secret_by_rule(), F.lit(False))
+        return plain.withColumns({"probability": by_rule.cast("double"), "is_secret": by_rule})
     scored = model.transform(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found))
     return scored.select(*plain.columns, vector_to_array("probability")[1].alias("probability")).withColumn(
         "is_secret", F.col("probability") >= threshold

@@ -98,3 +98,17 @@ def test_secrets_that_no_run_of_key_characters_holds(spark):
     whole = docs.union(real)
     texts = {r.doc_id: r.text for r in secrets.redacted(whole, secrets.scan(whole)).where("doc_id < 100").collect()}
     assert all(f not in texts[k] for k, (_, f) in HIDDEN.items()), texts
+
+
+def test_without_secrets_nothing_is_changed(spark):
+    texts = [
+        "internationalization of https://www.example.com/some/long/path and user.name@mail.example.com",
+        "Password: required. token = get_access_token() and password=${DATABASE_PASSWORD}", "-" * 40, "ISBN 978-3-16-148410-0-12 v1.2.3-beta.4-linux",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert secrets.candidates(docs).count() >= 4
+    assert sorted(r.text for r in secrets.redacted(docs, secrets.scan(docs)).collect()) == sorted(texts)
+    one = docs.union(spark.createDataFrame([(9, 'password = "Tr0ub4dor&3"')], docs.schema))
+    # Only letters and such are left over, so one rule still finds the one secret.
+    small = {r.doc_id: r.text for r in secrets.redacted(one, secrets.scan(one.where("doc_id in (2, 9)"))).collect()}
+    assert small[9] == 'password = "[SECRET]"' and [small[i] for i in range(4)] == texts
