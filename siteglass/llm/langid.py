@@ -178,8 +178,9 @@ def _fit(ids, shares, target, held, languages, least, rng) -> Model:
     return Model(languages, (table @ weights).astype(np.float32), bias.astype(np.float32), temperature, least)
 
 
-def _scores(model: Model, texts: list[str]) -> np.ndarray:
-    """Logits of each text. Texts are laid end to end; a blank at their ends keeps them apart."""
+def _sums(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of the scores of each text's subwords, and their number. Texts are laid end to end; a blank
+    at their ends keeps them apart."""
     laid = [_normal(t) for t in texts]
     data = np.frombuffer(b"".join(laid), dtype=np.uint8).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(x) for x in laid])[:-1]])
@@ -191,19 +192,25 @@ def _scores(model: Model, texts: list[str]) -> np.ndarray:
         found[: len(some)] = some
         total += np.add.reduceat(model.scores[found], starts, axis=0, dtype=np.float64)
         n += np.add.reduceat(found > 0, starts, dtype=np.int64)
+    return total, n
+
+
+def _scores(model: Model, texts: list[str]) -> np.ndarray:
+    """Logits of each text."""
+    total, n = _sums(model, texts)
     return total / np.maximum(n, 1)[:, None] + model.bias
 
 
 def _long_scores(model: Model, text: str) -> np.ndarray:
     """The same for one long text, in pieces cut at blanks."""
-    total, weight, at = np.zeros(model.scores.shape[1]), 0, 0
+    total, n, at = np.zeros(model.scores.shape[1]), 0.0, 0
     while at < len(text):
         cut = text.find(" ", at + PIECE_BYTES)
         piece = text[at : cut if cut >= 0 else len(text)]
         at += len(piece)
-        total += (_scores(model, [piece])[0] - model.bias) * len(piece)
-        weight += len(piece)
-    return total / max(weight, 1) + model.bias
+        some, count = _sums(model, [piece])
+        total, n = total + some[0], n + count[0]
+    return total / max(n, 1) + model.bias
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

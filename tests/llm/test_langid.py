@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 
 from siteglass.llm import langid
@@ -59,3 +60,14 @@ def test_nothing_to_learn(spark):
     model = langid.train(empty(spark))
     rows = langid.identify(documents(spark), model).collect()
     assert rows and all(r.lang_pred == "und" and r.lang_score == 0 and r.lang_rejected for r in rows)
+
+
+def test_long_text_scores_like_a_short_one(monkeypatch):
+    """One part prose, two parts digits, on both sides of the border between the ways to score."""
+    rng = np.random.default_rng(4)
+    model = langid.Model(["a", "b"], rng.normal(0, 3, (langid.BUCKETS, 2)).astype(np.float32), np.array([0.1, -0.1], np.float32), 1.0, 0.4)
+    model.scores[0] = 0
+    text = "some words of prose that tell the language " * 40 + "12 345 6789 " * 300
+    monkeypatch.setattr(langid, "PIECE_BYTES", 500)
+    assert len(text) > 3 * langid.PIECE_BYTES
+    assert np.allclose(langid._long_scores(model, text), langid._scores(model, [text])[0])
