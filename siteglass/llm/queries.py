@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteglass.llm import ann, bpe, chat, decontaminate, langid, quality, secrets, simhash, spans, suffixes
+from siteglass.llm import ann, bpe, chat, decontaminate, langid, periods, pieces, quality, secrets, simhash, spans, suffixes, whitening
 from siteglass.llm.checks import ORACLE_SQL
 from siteglass.llm.common import remainder, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +93,53 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where the checksum of the id ends in 0, the words from one on repeat what follows it.
+
+    Texts under a missing id stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (F.floor((n - a) / (3 + g % 8)) + 1).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    changed = F.array_join(F.concat(F.slice(words, F.lit(1), a), tail), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & F.col("text").rlike("[^\\x20\\x09-\\x0D]"), changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(made_periodic(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    return found.select("doc_id", "n_words", "runs", "collapsed", best.alias("best")).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = pieces.load_vocabulary(spark, PIECES)
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(texts, vocabulary).select("doc_id", "ids")
+    return pieces.decode(encoded, vocabulary).select(
+        "doc_id", pieces.n_tokens().alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sentence_spans, op2_one_bit_codes, op3_suffix_repeats, op4_chat_format, op5_decontaminate,
         op6_secret_scan, op7_quality, op8_byte_bpe, op9_simhash, op10_language_id,
+        op11_whitening, op12_periodic_runs, op13_sentencepiece,
     )
 }
