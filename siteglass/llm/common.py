@@ -40,8 +40,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 
 
 def document_ref() -> list[Column]:
-    """doc_id and a small number (tie) that tells documents under the same id apart by their text."""
-    return [F.col("doc_id"), F.hash(F.col("text"), F.lit("tie")).alias("tie")]
+    """doc_id and a 64-bit number (tie) that tells documents under the same id apart by their text.
+
+    Texts meet by chance only in billions under one id; where ids are different nothing depends on it.
+    """
+    return [F.col("doc_id"), F.xxhash64(F.col("text"), F.lit("tie")).alias("tie")]
 
 
 def same_document(a: str, b: str) -> Column:

@@ -109,7 +109,7 @@ def repeated_runs(docs: DataFrame, length: int = RUN_SENTENCES, words: int = RUN
     kind = docs.schema["doc_id"].dataType.simpleString()
     refs = docs.select(*document_ref(), F.col("text").cast("binary").alias("text")).where("text is not null")
     # Kept, about as large as half the compressed texts: cutting and hashing them again would cost more.
-    rows = saved(refs.mapInArrow(_rows(length, words), f"hash_a bigint, hash_b int, doc_id {kind}, tie int, start int"), "runs")
+    rows = saved(refs.mapInArrow(_rows(length, words), f"hash_a bigint, hash_b int, doc_id {kind}, tie bigint, start int"), "runs")
     place = F.struct("doc_id", "tie", "start")
     repeated = saved(
         rows.groupBy("hash_a", "hash_b").agg(F.min(place).alias("first"), F.max(place).alias("last"))

@@ -186,8 +186,8 @@ def _told_apart(scanner, batch, rows, anchors) -> tuple:
     own, place, first, last = scanner.segments(anchors.value)
     digest = scanner.digests(first, last + scanner.span, 1)[:, 0].copy()
     row, start = scanner.places(rows, first)
-    tie = batch.column("tie").take(row).to_numpy().astype(np.uint64)
-    pick = _mixed(own ^ _mixed(digest.view(np.uint64) ^ _mixed(start.astype(np.uint64) ^ (tie << np.uint64(32)))))
+    tie = batch.column("tie").take(row).to_numpy().view(np.uint64)
+    pick = _mixed(own ^ _mixed(digest.view(np.uint64) ^ _mixed(start.astype(np.uint64) ^ _mixed(tie))))
     return own, place, first, last, digest, row, start, pick
 
 
@@ -304,14 +304,14 @@ def repeated_strings(docs: DataFrame, span: int = SPAN) -> DataFrame:
     segment = ["anchor", "digest"]
     kinds = texts.mapInArrow(_scan(span, _kinds(anchors)), "anchor bigint, digest bigint, pick bigint")
     distinct = saved(kinds.groupBy(segment).agg(F.count("*").alias("n"), F.min("pick").alias("pick")), "segments")
-    placed = texts.mapInArrow(_scan(span, _segments(anchors)), f"anchor bigint, digest bigint, doc_id {kind}, tie int, first bigint, last bigint")
+    placed = texts.mapInArrow(_scan(span, _segments(anchors)), f"anchor bigint, digest bigint, doc_id {kind}, tie bigint, first bigint, last bigint")
     copied = saved(distinct.where("n > 1").select(segment), "copied")
     whole = placed.join(copied, segment, "left_semi").select("doc_id", "tie", "first", "last")
     # Of a segment that occurs often one place stands for all: the others are settled.
     shared = saved(distinct.groupBy("anchor").count().where("count > 1").select("anchor"), "shared")
     unlike = _filter(distinct.join(shared, "anchor", "left_semi").select(F.col("pick").alias("hash")))
 
-    columns = f"core_a bigint, core_b bigint, left binary, right binary, doc_id {kind}, tie int, start bigint"
+    columns = f"core_a bigint, core_b bigint, left binary, right binary, doc_id {kind}, tie bigint, start bigint"
     ranges = saved(texts.mapInArrow(_scan(span, _ranges(anchors, unlike)), columns), "ranges")
     bin_size = _Scanner(span).bin
     core, surroundings = ["core_a", "core_b"], ["core_a", "core_b", "left", "right"]
@@ -324,7 +324,7 @@ def repeated_strings(docs: DataFrame, span: int = SPAN) -> DataFrame:
     crowds = saved(distinct.groupBy(core).agg(F.count("*").alias("crowd")).where("crowd > 1"), "crowds")
     several = distinct.join(crowds, core).select(*surroundings, "n", "crowd", "place.*")
     sorted_by_core = several.where(F.col("crowd") <= CROWD).drop("crowd").repartition(*core).sortWithinPartitions(*core)
-    merged = sorted_by_core.mapInArrow(_merge(bin_size), f"doc_id {kind}, tie int, start bigint, hits array<int>")
+    merged = sorted_by_core.mapInArrow(_merge(bin_size), f"doc_id {kind}, tie bigint, start bigint, hits array<int>")
     apart = merged.select("doc_id", "tie", F.explode(F.transform("hits", lambda h: F.col("start") + h)).alias("first"))
 
     spread = several.where(F.col("crowd") > CROWD).withColumn("hit", F.explode(F.sequence(F.lit(0), places.cast("int"))))

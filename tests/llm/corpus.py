@@ -31,3 +31,13 @@ def empty(spark):
 
 def rows_of(df):
     return df.collect()
+
+
+def colliding(spark, size, n=2):
+    """Texts of ``size`` characters, no two alike, that agree in Spark's 32-bit hash."""
+    from pyspark.sql import functions as F
+
+    own = F.concat(F.lit("Text "), F.rpad(F.sha2(F.col("id").cast("string"), 512), size - 6, F.sha2(F.col("id").cast("string"), 256)), F.lit("."))
+    made = spark.range(400_000).select("id", own.alias("text")).withColumn("hash", F.hash("text", F.lit("tie")))
+    twins = made.groupBy("hash").agg(F.sort_array(F.collect_list("text")).alias("texts")).where(F.size("texts") >= n)
+    return twins.orderBy("hash").first().texts[:n]

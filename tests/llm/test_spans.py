@@ -4,7 +4,7 @@ import zlib
 from siteglass.llm import spans
 from siteglass.llm.common import table
 from siteglass.llm.queries import op1_sentence_spans
-from tests.llm.corpus import documents, empty, words
+from tests.llm.corpus import colliding, documents, empty, words
 
 
 def brute(docs, length=3, least=12):
@@ -115,3 +115,14 @@ def test_query(spark):
     want = brute([(r.doc_id, r.text) for r in docs])
     assert {r.doc_id: (r.n_sentences, r.n_removed) for r in rows} == {d: x[1:] for (d, _), x in want.items()}
     assert any(r.n_removed for r in rows)
+
+
+def test_texts_under_one_id_that_agree_in_32_bits(spark):
+    """Three rows without id and two under one id, one of each with a repeated passage."""
+    a, b = colliding(spark, 400)
+    passage = " This passage comes again. It has three sentences in it. They are all the same words everywhere."
+    for own in (None, 5):
+        rows = [(own, a), (own, b), (own, b + passage), (1, "x." + passage), (own, a)]
+        got = {(r.doc_id, r.n_sentences, r.n_removed, r.text) for r in spans.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+        want = {(d, n, k, kept.decode()) for (d, _), (kept, n, k) in brute(rows).items()}
+        assert got == want and any(k for _, _, k, _ in got)

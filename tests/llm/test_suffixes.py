@@ -8,7 +8,7 @@ import pytest
 from siteglass.llm import bwt, suffixes
 from siteglass.llm.common import table
 from siteglass.llm.queries import op3_suffix_repeats
-from tests.llm.corpus import documents, empty
+from tests.llm.corpus import colliding, documents, empty
 
 
 def brute(texts, span):
@@ -126,3 +126,12 @@ def test_query(spark):
         d: (hashlib.sha256(k).hexdigest(), n, s) for d, (k, n, s) in want.items()
     }
     assert any(r.n_removed for r in rows) and any(not r.n_removed for r in rows)
+
+
+def test_texts_under_one_id_that_agree_in_32_bits(spark):
+    a, b = colliding(spark, 700)
+    for own in (None, 5):
+        texts = [a, b, b[:300] + a[:60], a, "y" * 20 + b[100:450]]
+        found = suffixes.without_repeats(spark.createDataFrame([(own, t) for t in texts], "doc_id bigint, text string")).collect()
+        want = brute([t.encode() for t in texts], suffixes.SPAN)
+        assert sorted((bytes(r.kept), r.n_removed, r.n_spans) for r in found) == sorted(want)
