@@ -165,13 +165,13 @@ def without_near_duplicates(docs: DataFrame, groups=near_duplicates, **settings)
     """The rows of ``docs``, all columns, that name their component: one of each group.
 
     ``groups`` gives doc_id and component_id of every row of (doc_id, text).
-    Rows with the same id and text are copies, of which one stays; other rows that share
+    Rows with the same id and text are copies, of which the least by its columns stays; other rows that share
     the smallest id stay once each group. Rows without id stay only where their group has no other.
     """
     columns = docs.columns
     once = (
         docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *row_key())
-        .groupBy("key_a", "key_b").agg(F.first("row").alias("row"))
+        .groupBy("key_a", "key_b").agg(F.min("row").alias("row"))
     )
     # The key takes the place of the id: missing ids last, then by id, then the key tells equal ids apart.
     key = F.struct(F.isnull("doc_id").alias("missing"), "doc_id", *row_key()).alias("doc_id")

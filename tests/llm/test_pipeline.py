@@ -13,7 +13,7 @@ from siteglass.llm.common import table
 from siteglass.llm.queries import RANKS
 from tests.llm.corpus import documents, empty
 from tests.llm.test_decontaminate import expected
-from tests.llm.test_simhash import brute_components, brute_fingerprint
+from tests.llm.test_shingles import brute_groups
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,11 +54,11 @@ def test_stages(spark, folder):
             assert sorted(map(key, after)) == sorted(key(r[:5]) for r in judged if not r.lang_rejected)
             assert len(after) > 0.9 * len(before) and all(any(c.isalpha() for c in r.text) for r in after)
         elif name == "simhash_near_dedup":
-            rows = {(r.doc_id is None, r.doc_id, r.text) for r in before}
-            group = brute_components([(r, brute_fingerprint(r[2])) for r in rows])
+            rows = {((r.doc_id is None, r.doc_id or 0, r.text), r.text) for r in before}
+            group = brute_groups(rows)
             # Of texts under one id, either may stay.
-            assert sorted((m[0], m[1] or 0) for m in set(group.values())) == sorted((r.doc_id is None, r.doc_id or 0) for r in after)
-            assert len(after) == len({group[brute_fingerprint(r.text)] for r in after}) < len(before)
+            assert sorted(m[:2] for m in set(group.values())) == sorted((r.doc_id is None, r.doc_id or 0) for r in after)
+            assert len(after) == len({group[r.doc_id is None, r.doc_id or 0, r.text] for r in after}) < len(before)
         elif name == "decontamination":
             clean = [r for r in before if not expected(r.text, items)[3]]
             assert sorted(map(key, after)) == sorted(map(key, clean)) and len(clean) < len(before)
