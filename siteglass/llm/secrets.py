@@ -27,10 +27,10 @@ _SIGNS = [a + b + sign + c + d for a in ("", "[\"']") for b in ("", r"\s") for s
 _GIVEN = "|".join([*(f"(?<=(?i:{n}){s})" for s in _SIGNS for n in _NAMES), r"(?<=(?i:bearer)\s)"])
 # Tried first, as it is cheap and seldom holds: a sign or "bearer" stands right before.
 _NEAR = r"(?<=[:=>])|(?<=[:=>][\s\"'`])|(?<=[:=>]\s[\"'`])|(?<=[rR]\s)"
-#: What is proposed: private key blocks, unbroken values of 8 or more characters given to a credential
+#: What is proposed: private key blocks (up to the next line that begins or ends one), unbroken values of 8 or more characters given to a credential
 #: word (a quoted one ends with its quote), and runs of 16 or more key characters (padding included).
 CANDIDATE = (
-    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
     rf"|(?:{_NEAR})(?:{_GIVEN})(?:(?<=\")[^\s\"]{{8,}}|(?<=')[^\s']{{8,}}|(?<![\"'])[^\s\"'`]{{7,}}[^\s\"'`.,;)])"
     r"|(?<![A-Za-z0-9_+/.@-])(?=[_+/.@-]*[A-Za-z0-9])[A-Za-z0-9_+/.@-]{15,}[A-Za-z0-9_+/-]={0,2}"
 )
@@ -46,6 +46,8 @@ DICTIONARY = tuple(
 )
 #: Words before a candidate that say it is a credential.
 KEYWORDS = r"(?i)(token|secret|passw(or)?d|pwd|credential|api[_-]?key|access[_-]?key|auth|bearer)"
+# Characters of a finding whose pairs are gathered at once.
+_PIECE = 512
 FEATURES = (
     "size", "digits", "uppers", "lowers", "symbols", "transitions", "distinct_pairs", "vowels",
     "covered", "dots", "slashes", "at_signs", "keyword_before", "assigned", "quoted", "hex_only",
@@ -77,28 +79,45 @@ def candidates(docs: DataFrame) -> DataFrame:
     return rows.select("key_a", "key_b", "doc_id", "place", "c.finding", "c.before", "c.after")
 
 
-def _share(pattern: str) -> Column:
-    return F.regexp_count("finding", F.lit(pattern)) / F.length("finding")
+def _count(signs: str) -> Column:
+    """How many of the finding's characters are in the class ``signs``; no list of them is made."""
+    return F.length(F.regexp_replace("finding", f"[^{signs}]", ""))
+
+
+def _share(signs: str) -> Column:
+    return _count(signs) / F.length("finding")
+
+
+def _distinct_pairs() -> Column:
+    """The number of different pairs of neighbouring characters, gathered over pieces of a bounded length."""
+
+    def pairs(piece: Column) -> Column:
+        signs = F.split(piece, "")
+        n = F.length(piece) - 1
+        return F.array_distinct(F.zip_with(F.slice(signs, F.lit(1), n), F.slice(signs, F.lit(2), n), lambda a, b: F.concat(a, b)))
+
+    # Every piece with the first character of the next one.
+    pieces = F.regexp_extract_all("finding", F.lit(f"(?s)(?=(.{{1,{_PIECE + 1}}})).{{1,{_PIECE}}}"), F.lit(1))
+    none = F.array().cast("array<string>")
+    return F.size(F.aggregate(pieces, none, lambda seen, piece: F.when(F.length(piece) > 1, F.array_union(seen, pairs(piece))).otherwise(seen)))
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """``found`` with the numbers the forest looks at (see FEATURES)."""
+    """``found`` with the numbers the forest looks at (see FEATURES). Time and room grow with a finding's length, not its square."""
     kinds = F.regexp_replace(
         F.regexp_replace(F.regexp_replace(F.regexp_replace("finding", "[a-z]", "l"), "[A-Z]", "u"), "[0-9]", "d"), "[^lud]", "s"
     )
-    changes = F.regexp_count(kinds, F.lit("l(?=[uds])|u(?=[lds])|d(?=[lus])|s(?=[lud])"))
-    pairs = F.transform(F.sequence(F.lit(1), F.length("finding") - 1), lambda i: F.substr("finding", i, F.lit(2)))
+    changes = F.length(F.regexp_replace(kinds, r"([luds])\1*+", "$1")) - 1
     words = "|".join(sorted(DICTIONARY, key=len, reverse=True))
     uncovered = F.length(F.regexp_replace(F.lower("finding"), words, ""))
     numbers = {
         "size": F.least(F.length("finding"), F.lit(512)),
-        "digits": _share("[0-9]"), "uppers": _share("[A-Z]"), "lowers": _share("[a-z]"), "symbols": _share("[^A-Za-z0-9]"),
+        "digits": _share("0-9"), "uppers": _share("A-Z"), "lowers": _share("a-z"), "symbols": 1 - _share("A-Za-z0-9"),
         "transitions": changes / F.length("finding"),
-        "distinct_pairs": F.size(F.array_distinct(pairs)) / F.length("finding"),
-        "vowels": _share("[aeiouAEIOU]"),
+        "distinct_pairs": _distinct_pairs() / F.length("finding"),
+        "vowels": _share("aeiouAEIOU"),
         "covered": 1 - uncovered / F.length("finding"),
-        "dots": F.regexp_count("finding", F.lit("[.]")), "slashes": F.regexp_count("finding", F.lit("/")),
-        "at_signs": F.regexp_count("finding", F.lit("@")),
+        "dots": _count("."), "slashes": _count("/"), "at_signs": _count("@"),
         "keyword_before": F.right("before", F.lit(30)).rlike(KEYWORDS).cast("int"),
         "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$").cast("int"),
         "quoted": F.col("before").rlike("[\"']$").cast("int"),
@@ -123,7 +142,7 @@ def seed_labels(found: DataFrame) -> DataFrame:
     fix and for values given to a credential word that are hexadecimal or mix letters with digits
     or signs, 0 for runs of letters, names, addresses and placeholders. What fits neither stays
     out of training and is left to the forest."""
-    plain = F.col("finding").rlike(r"^[A-Za-z]?[a-z]+[.]?[a-z]*$|^[A-Z]+$|@|^[A-Za-z]+([-/.][A-Za-z]+)+$|^[$<({%\[]")
+    plain = F.col("finding").rlike(r"^(?:[A-Z](?=[a-z]))?[a-z]++(?:[.][a-z]*+)?$|^[A-Z]++$|@|^[A-Za-z]++(?:[-/.][A-Za-z]++)++$|^[$<({%\[]")
     return found.withColumn("label", F.when(secret_by_rule(), 1.0).when(plain, 0.0)).where("label is not null")
 
 
