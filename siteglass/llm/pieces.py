@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from siteglass.llm.common import parts
 REMEMBERED = 1 << 17
 #: Characters of a text that are cut into words at once, four for each word that waits.
 STRETCH = 1 << 20
+#: Ids that are decoded at once.
+DECODED = 1 << 18
 #: Words of more characters are merged by a queue of pairs: rounds over them would be quadratic.
 LONG = 256
 _SPACE = "▁"
@@ -115,7 +118,7 @@ class Encoder:
         characters = sorted(set("".join(normal)) - set(normal))
         symbols = normal | {c: self.size + i for i, c in enumerate(characters)}
         self.bare = dict(enumerate(characters, self.size))
-        self.symbol = np.full(0x110000, -1, dtype=np.int64)
+        self.symbol = np.full(0x110000, -1, dtype=np.int32)
         for c in set("".join(normal)):
             self.symbol[ord(c)] = symbols[c]
         _, dense = np.unique(-np.array(vocabulary.scores), return_inverse=True)
@@ -127,8 +130,7 @@ class Encoder:
                 if left is not None and right is not None:
                     table[left << 32 | right] = i
         self.pairs = table
-        self.keys = np.array(sorted(table), dtype=np.int64)
-        self.made = np.array([table[k] for k in self.keys.tolist()], dtype=np.int64)
+        self._lay(np.array(list(table), dtype=np.int64), np.array(list(table.values()), dtype=np.int32))
         # Pieces that may be taken up at once by a pair of the same or a better rank, or share their rank:
         # of these, only the leftmost pair of a word is merged in a round.
         alone = np.zeros(self.size, dtype=bool)
@@ -142,14 +144,38 @@ class Encoder:
         self.alone = alone
         self.split = _splitter(normal)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _lay(self, keys: np.ndarray, made: np.ndarray) -> None:
+        """The pairs as an open table: a pair stands in the first free slot from its own on."""
+        self.bits = max(4, int(len(keys)).bit_length() + 3)
+        self.keys, self.made = np.full(1 << self.bits, -1, dtype=np.int64), np.full(1 << self.bits, -1, dtype=np.int32)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            now = free[first]
+            self.keys[at[now]], self.made[at[now]] = keys[now], made[now]
+            left = np.ones(len(keys), dtype=bool)
+            left[now] = False
+            keys, made, at = keys[left], made[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes, or -1."""
-        if not len(self.keys):
-            return np.full(len(left), -1, dtype=np.int64)
-        key = np.where((left >= 0) & (right >= 0), left << 32 | np.maximum(right, 0), -1)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        out = np.full(len(left), -1, dtype=np.int32)
+        rest = np.flatnonzero((left >= 0) & (right >= 0))
+        key = left[rest].astype(np.int64) << 32 | right[rest]
+        at = self._slot(key)
+        while len(rest):
+            held = self.keys[at]
+            hit = held == key
+            out[rest[hit]] = self.made[at[hit]]
+            go = ~hit & (held >= 0)
+            rest, key, at = rest[go], key[go], (at[go] + 1) & ((1 << self.bits) - 1)
+        return out
 
     def _ranks(self, made: np.ndarray) -> np.ndarray:
         return np.where(made >= 0, self.rank[made], _NONE)
@@ -157,12 +183,12 @@ class Encoder:
     def merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols left of each word (a missing character as its code point, turned negative) and the
         word they belong to, in order."""
-        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.int64)
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype="<u4").astype(np.int32)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), [*map(len, words)])
         symbol = self.symbol[points]
         symbol = np.where(symbol < 0, -1 - points, symbol)
         done: list[tuple[np.ndarray, np.ndarray]] = []
-        pair = np.full(len(symbol), -1, dtype=np.int64)  # what a symbol makes with the next one
+        pair = np.full(len(symbol), -1, dtype=np.int32)  # what a symbol makes with the next one
         near = np.flatnonzero(owner[1:] == owner[:-1])
         pair[near] = self._look_up(symbol[near], symbol[near + 1])
         rank = self._ranks(pair)
@@ -199,7 +225,7 @@ class Encoder:
             near = changed[inner]
             pair[near] = self._look_up(symbol[near], symbol[near + 1])
             rank[changed] = self._ranks(pair[changed])
-        symbols, owners = (np.concatenate(x) if x else np.empty(0, np.int64) for x in zip(*done)) if done else (np.empty(0, np.int64),) * 2
+        symbols, owners = map(np.concatenate, zip(*done)) if done else (np.empty(0, np.int32),) * 2
         order = np.argsort(owners, kind="stable")
         return symbols[order], owners[order]
 
@@ -242,10 +268,13 @@ class Encoder:
         return np.concatenate(list(spelt)).astype("<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
+        """Ids of all ``words`` into ``known``. When that is full it becomes ``older``, from which words in use come back."""
         new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = words
+        if len(self.known) + len(new) > REMEMBERED // 2:
+            self.older, self.known, new = self.known, {}, words
+        again = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        new = new.difference(again)
         short = [w for w in new if len(w) <= self.long]
         if short:
             symbols, owners = self.merged(short)
@@ -316,20 +345,28 @@ class Decoder:
 
     def __init__(self, vocabulary: Vocabulary):
         said = {_NORMAL: lambda p: p.replace(_SPACE, " ").encode(), _UNKNOWN: lambda p: " ⁇ ".encode(), _CONTROL: lambda p: b"", _BYTE: lambda p: bytes([int(p[3:5], 16)])}
-        self.said = [said[k](p) for p, k in zip(vocabulary.pieces, vocabulary.kinds)]
-        self.leading = [k == _NORMAL and p.startswith(_SPACE) for p, k in zip(vocabulary.pieces, vocabulary.kinds)]
-        self.silent = [k == _CONTROL for k in vocabulary.kinds]
+        self.said = np.array([said[k](p) for p, k in zip(vocabulary.pieces, vocabulary.kinds)], dtype=object)
+        self.leading = np.array([k == _NORMAL and p.startswith(_SPACE) for p, k in zip(vocabulary.pieces, vocabulary.kinds)])
+        self.silent = np.array([k == _CONTROL for k in vocabulary.kinds])
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids`` without the blank that encoding puts in front. Bytes that are no UTF-8 become
         U+FFFD one by one; pieces without a text, such as ends, part the bytes on either side."""
-        said = [i for i in ids if not self.silent[i]]
-        if len(said) < len(ids):
-            edges = [-1, *(k for k, i in enumerate(ids) if self.silent[i]), len(ids)]
-            text = "".join(_as_text(b"".join(map(self.said.__getitem__, ids[a + 1 : b]))) for a, b in zip(edges, edges[1:]))
-        else:
-            text = _as_text(b"".join(map(self.said.__getitem__, ids)))
-        return text[1:] if said and self.leading[said[0]] else text
+        return self.decode_all(np.array(ids, dtype=np.int64), [0, len(ids)])[0]
+
+    def decode_all(self, ids: np.ndarray, ends: list[int]) -> list[str]:
+        """The texts of the ids between each two neighbouring ``ends``."""
+        said, silent = self.said[ids].tolist(), self.silent[ids]
+        if not silent.any():
+            texts = [_as_text(b"".join(said[a:b])) for a, b in zip(ends, ends[1:])]
+            return [t[1:] if a < b and self.leading[ids[a]] else t for t, a, b in zip(texts, ends, ends[1:])]
+        texts = []
+        for a, b in zip(ends, ends[1:]):
+            edges = [a - 1, *(np.flatnonzero(silent[a:b]) + a).tolist(), b]
+            text = "".join(_as_text(b"".join(said[x + 1 : y])) for x, y in zip(edges, edges[1:]))
+            first = ids[a:b][~silent[a:b]][:1]
+            texts.append(text[1:] if self.leading[first].any() else text)
+        return texts
 
 
 def _as_text(data: bytes) -> str:
@@ -386,8 +423,13 @@ def decode(encoded: DataFrame, vocabulary, column: str = "ids", to: str = "decod
         if not held:
             held.append(Decoder(vocabulary.value))
         for batch in batches:
-            texts = [held[0].decode(ids or []) for ids in batch.column(column).to_pylist()]
-            yield _with(batch, to, pa.array(texts, pa.string()))
+            total = np.cumsum(pc.list_value_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            edges = [0, *(np.flatnonzero(np.diff(total // DECODED)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(edges, edges[1:]):
+                part = batch.slice(a, b - a)
+                ends = (np.append(total[a - 1] if a else 0, total[a:b]) - (total[a - 1] if a else 0)).tolist()
+                ids = part.column(column).flatten().to_numpy(zero_copy_only=False)
+                yield _with(part, to, pa.array(held[0].decode_all(ids, ends), pa.string()))
 
     return encoded.mapInArrow(run, _schema(encoded, to, "string"))
 
