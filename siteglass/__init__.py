@@ -1,12 +1,13 @@
 """Screening of large energy-project registers as Spark DataFrame jobs.
 
 Public functions take DataFrames and return lazy DataFrames, so calls compose and
-Catalyst plans the whole chain at once. Two run jobs when called: ``comparables`` its
-ordered pass, ``comparables_of`` the lookup of the chosen names.
+Catalyst plans the whole chain at once. Some run jobs when called: ``comparables`` its
+ordered pass, ``comparables_of`` and ``comparables_among`` the lookup of the chosen names, ``search_landed``
+that of the files that may hold a match.
 """
 
 from siteglass.operators.briefs import project_briefs, project_details, project_headlines
-from siteglass.operators.comparables import comparables, comparables_of
+from siteglass.operators.comparables import comparables, comparables_among, comparables_of
 from siteglass.operators.filters import (
     apply_filters,
     first_by_name,
@@ -42,6 +43,8 @@ from siteglass.operators.summary import (
 )
 from siteglass.plans.projects import clean, prepare, with_lat_lon, with_score
 from siteglass.sources.register import read_projects, read_register, write_projects
+from siteglass.sources.search_index import search_landed, write_search_index
 from siteglass.sources.sinks import export_csv, read_briefs, read_export, write_briefs, write_register_csv
+from siteglass.streaming.deliveries import deliveries, kept_groups, land_deliveries, read_landed
 
 __all__ = [name for name in dir() if not name.startswith("_")]

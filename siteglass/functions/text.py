@@ -30,8 +30,16 @@ def plain_number(value: Column) -> Column:
     """Shortest text that reads back as the same double: positional from 1e-4 up to 1e16, else with an exponent.
 
     As in ``12345678.0``, ``0.0005``, ``1e-05``, ``2.5e+16``, ``inf``, ``nan``. Spark's own text goes over
-    to an exponent earlier, and on some Java versions isn't the shortest.
+    to an exponent earlier, and on some Java versions isn't the shortest. Where it is plain and has at most 15
+    digits it is the shortest, but for zeros at its end; other numbers are spelt digit by digit, in a
+    function of their own that keeps the generated code of the usual ones short.
     """
+    text = value.cast("string")
+    plain = F.abs(value).between(1e-3, 9_999_999.0) & (F.length(text) <= 16) & (text.endswith(".0") | ~text.endswith("0"))
+    return F.when(plain, text).otherwise(F.get(F.transform(F.array(value), _spelt_number), F.lit(0)))
+
+
+def _spelt_number(value: Column) -> Column:
     size = F.abs(value)
     # 17 digits always suffice; fewer do if they read back as the same number.
     rounded = [F.format_string(f"%.{digits - 1}e", size) for digits in (15, 16, 17)]

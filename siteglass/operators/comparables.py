@@ -17,11 +17,13 @@ lacks in its own slice it finds in those of the slices before.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import reduce
+from operator import or_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +34,10 @@ ROW, QUESTION = 0, 1
 _ROW_COLUMNS = ("ref_id", "site_name", "capacity_mw", "region", "status", "score")
 # Up to this many rows a table of inherited rows is sent to every task.
 _BROADCAST_ROWS = 100_000
+# Up to this many names are part of a condition; more are joined.
+_FEW_NAMES = 10
+# Merged bands that a condition may hold.
+_BANDS = 200
 
 
 def comparables(df: DataFrame, low: float = 0.7, high: float = 1.3, n: int = 5) -> DataFrame:
@@ -40,10 +46,62 @@ def comparables(df: DataFrame, low: float = 0.7, high: float = 1.3, n: int = 5)
     Ties in capacity go to the lower ``ref_id``. The call itself reads ``df``: it
     runs the pass and keeps its results in the checkpoint folder, which it needs.
     """
+    return _answered(_comparable(df), _comparable(first_by_name(df)), low, high, n)
+
+
+def comparables_among(df: DataFrame, names: DataFrame, low: float = 0.7, high: float = 1.3, n: int = 5) -> DataFrame:
+    """The same for the names in column ``site_name`` of a table, however many; those that don't occur give no rows.
+
+    The bands of their first records, merged where they touch, become one condition that reaches
+    the scan; the rows it lets through are read in one pass like all rows in ``comparables``.
+    The call looks the names up and keeps their records in the checkpoint folder.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    wanted = names.select("site_name").where(F.col("site_name").isNotNull()).distinct()
+    few = [row.site_name for row in wanted.limit(_FEW_NAMES + 1).collect()]
+    # A few names are looked up at the scan, like one.
+    held = df.where(F.col("site_name").isin(few)) if len(few) <= _FEW_NAMES else df.join(wanted, "site_name", "left_semi")
+    chosen = _comparable(first_by_name(held)).checkpoint()
+    return _answered(_comparable(df).where(_in_bands(chosen, low, high)), chosen, low, high, n)
+
+
+def _in_bands(questions: DataFrame, low: float, high: float) -> Column:
+    """Whether a row can be comparable to any question: its capacity lies in a merged band of its technology.
+
+    Bands are taken up to whole steps of the logarithm, a few each, so their number follows the range of
+    capacities and not the number of questions. Many bands are merged further, up to one a technology.
+    """
+    if not 0 < low <= 1 <= high:
+        return F.lit(True)
+    step = math.log(max(high / low, 1.01)) / 8
+    positive = F.col("capacity_mw") > 0
+    # One step more on either side takes up the rounding.
+    first = F.floor((F.ln("capacity_mw") + math.log(low)) / step) - 1
+    last = F.floor((F.ln("capacity_mw") + math.log(high)) / step) + 1
+    held = questions.where(positive & (F.col("capacity_mw") < float("inf")))
+    steps = held.select("technology", F.explode(F.sequence(first, last)).alias("step")).distinct()
+    order = Window.partitionBy("technology").orderBy("step")
+    island = F.col("step") - F.row_number().over(order)
+    bands = steps.withColumn("island", island).groupBy("technology", "island").agg(F.min("step").alias("a"), F.max("step").alias("b"))
+    if bands.count() > _BANDS:
+        bands = bands.groupBy("technology").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    found = bands.orderBy("technology", "a").limit(_BANDS + 1).collect()
+    # Without a band of their own: no capacity, which only equals itself, and an infinite one.
+    odd = F.col("capacity_mw").isin(0.0, float("inf"))
+    if len(found) > _BANDS:
+        return F.lit(True)
+    own = [
+        (F.col("technology") == r.technology) & F.col("capacity_mw").between(math.exp(r.a * step), math.exp((r.b + 1) * step)) for r in found
+    ]
+    return reduce(or_, own, odd)
+
+
+def _answered(rows: DataFrame, questions: DataFrame, low: float, high: float, n: int) -> DataFrame:
+    """Comparables among ``rows`` of every question, both of the columns of :func:`_comparable`."""
+    ensure_checkpoint_dir(rows.sparkSession)
     # Answers and summaries come out of one pass, so its results are kept where lost
     # executors cannot take them along. Each slice stays one partition.
-    passed = _read_in_order(_layout(df, high), ["slice", "technology"], _reader(n, low)).checkpoint()
+    passed = _read_in_order(_layout(rows, questions, high), ["slice", "technology"], _reader(n, low)).checkpoint()
     asked = passed.where(F.col("kind") == QUESTION)
     answers = asked.join(_inherited_rows(passed, n), ["slice", "technology"], "left").select(
         "technology",
@@ -115,11 +173,10 @@ def _comparable(df: DataFrame) -> DataFrame:
     )
 
 
-def _layout(df: DataFrame, high: float) -> DataFrame:
+def _layout(rows: DataFrame, questions: DataFrame, high: float) -> DataFrame:
     """Rows and questions in slices by range. Only this and the first record per name move rows."""
-    rows = _events(_comparable(df), F.col("capacity_mw"), ROW)
-    questions = _events(_comparable(first_by_name(df)), F.col("capacity_mw") * F.lit(high), QUESTION)
-    laid = rows.unionByName(questions).repartitionByRange("technology", "at", "kind", F.desc("ref_id"))
+    asked = _events(questions, F.col("capacity_mw") * F.lit(high), QUESTION)
+    laid = _events(rows, F.col("capacity_mw"), ROW).unionByName(asked).repartitionByRange("technology", "at", "kind", F.desc("ref_id"))
     return laid.sortWithinPartitions("technology", "at", "kind", F.desc("ref_id")).withColumn("slice", F.spark_partition_id())
 
 

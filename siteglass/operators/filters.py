@@ -23,8 +23,7 @@ def search(df: DataFrame, query: str) -> DataFrame:
     if not query.strip():
         return df
     wanted = query.lower()
-    fields = [F.coalesce(F.col(name), F.lit("")) for name in present(df, SEARCH_COLUMNS)]
-    text = F.lower(F.concat_ws(" ", *fields))
+    text = searchable_text(df)
     if _REGEX_SIGNS.isdisjoint(wanted):
         return df.where(text.contains(wanted))
     # (?d): only a newline ends a line, as in the usual non-Java dialects.
@@ -33,6 +32,72 @@ def search(df: DataFrame, query: str) -> DataFrame:
     return df.where(text.rlike(pattern))
 
 
+def searchable_text(df: DataFrame) -> Column:
+    """What a search looks at: the searchable fields in lower case, joined by one space."""
+    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(name), F.lit("")) for name in present(df, SEARCH_COLUMNS)]))
+
+
+def required_texts(query: str) -> list[str]:
+    """Texts that every match of a query holds, in lower case; none if that can't be told.
+
+    Of a pattern, these are the plain stretches outside groups and classes that no quantifier makes
+    optional. A pattern with alternatives, flags or escapes that stand for letters has none.
+    """
+    wanted = query.lower()
+    if _REGEX_SIGNS.isdisjoint(wanted):
+        return [wanted]
+    found, run, at = [], "", 0
+
+    def end() -> None:
+        nonlocal run
+        if run:
+            found.append(run)
+        run = ""
+
+    while at < len(wanted):
+        sign = wanted[at]
+        if sign == "|" or wanted.startswith("(?", at) and wanted[at + 2 : at + 3] not in set(":=!<>"):
+            return []
+        if sign == "\\":
+            escaped = wanted[at + 1 : at + 2]
+            if escaped in set("bdsw"):
+                end()
+            elif not escaped or escaped.isalnum():
+                return []
+            else:
+                run += escaped
+            at += 1
+        elif sign in "([":
+            end()
+            at = _closing(wanted, at)
+        elif sign in "?*{":
+            run = run[:-1]
+            end()
+            if sign == "{":
+                at = max(at, wanted.find("}", at))
+        elif sign in ".^$+":
+            end()
+        else:
+            run += sign
+        at += 1
+    end()
+    return found
+
+
+def _closing(pattern: str, at: int) -> int:
+    """Where the group or class that opens at ``at`` closes; the end of the pattern if it doesn't."""
+    closes = [")" if pattern[at] == "(" else "]"]
+    while closes and (at := at + 1) < len(pattern):
+        sign = pattern[at]
+        if sign == "\\":
+            at += 1
+        elif sign == closes[-1]:
+            closes.pop()
+        elif sign == "[" or sign == "(" and closes[-1] == ")":
+            closes.append(")" if sign == "(" else "]")
+    return at
+
+
 def _check_pattern(df: DataFrame, pattern: str) -> None:
     """Report a bad pattern now, not in the middle of a long job (needs no data)."""
     try:

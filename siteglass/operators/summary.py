@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteglass.functions.cleaning import not_nan
 from siteglass.functions.columns import column_or_null, present
 from siteglass.functions.text import amount_text, day_text
+from siteglass.functions.totals import BEYOND, EXACT, partial_sums, summed, total
 from siteglass.operators.filters import is_offshore
 
 PREVIEW_COLUMNS = (
@@ -27,10 +28,6 @@ _BROADCAST_ROWS = 10_000
 MAJOR_COLUMNS = ("site_name", "technology", "capacity_mw", "region", "status", "score")
 
 
-def _total(value: str) -> Column:
-    return F.coalesce(F.sum(value), F.lit(0.0))
-
-
 def _latest(df: DataFrame) -> Column:
     return F.max(column_or_null(df, "last_updated", "date"))
 
@@ -45,8 +42,8 @@ def kpis(df: DataFrame) -> DataFrame:
     """Headline figures in one pass, raw and as display text."""
     totals = df.agg(
         F.count(F.lit(1)).alias("projects"),
-        _total("capacity_mw").alias("total_capacity_mw"),
-        F.avg("capacity_mw").alias("average_capacity_mw"),
+        F.count("capacity_mw").alias("_measured"),
+        *partial_sums(df, "capacity_mw"),
         _latest(df).alias("latest_update"),
     )
     return _with_kpi_texts(totals)
@@ -56,21 +53,22 @@ def group_kpis(groups: DataFrame) -> DataFrame:
     """The same figures as ``kpis`` from what ``capacity_groups`` returns."""
     totals = groups.agg(
         F.coalesce(F.sum("projects"), F.lit(0)).alias("projects"),
-        _total("capacity_mw").alias("total_capacity_mw"),
+        F.coalesce(F.sum("measured"), F.lit(0)).alias("_measured"),
+        *partial_sums(groups, "capacity_mw"),
         F.max("last_updated").alias("latest_update"),
-    ).select(
-        "projects",
-        "total_capacity_mw",
-        F.try_divide("total_capacity_mw", "projects").alias("average_capacity_mw"),
-        "latest_update",
     )
     return _with_kpi_texts(totals)
 
 
 def _with_kpi_texts(totals: DataFrame) -> DataFrame:
-    """Add display texts, made from figures rounded to a watt, so that the order in
-    which partial sums meet cannot show."""
-    return totals.withColumns(
+    """Total and mean from the exact sums, and display texts. Texts are made from figures rounded to a watt."""
+    figures = totals.select(
+        "projects",
+        F.coalesce(total("capacity_mw"), F.lit(0.0)).alias("total_capacity_mw"),
+        F.try_divide(total("capacity_mw"), "_measured").alias("average_capacity_mw"),
+        "latest_update",
+    )
+    return figures.withColumns(
         {
             "total_capacity_text": amount_text(F.round("total_capacity_mw", 6), 0, after=" MW"),
             "average_capacity_text": amount_text(F.round("average_capacity_mw", 6), 1, after=" MW"),
@@ -80,30 +78,29 @@ def _with_kpi_texts(totals: DataFrame) -> DataFrame:
 
 
 def capacity_groups(df: DataFrame) -> DataFrame:
-    """Capacity, count and latest update by technology, status and region at once.
+    """Capacity, counts and latest update by technology, status and region at once.
 
     Small enough to persist. ``group_kpis``, ``capacity_by``, ``leading_groups`` and
     ``capacity_matrix`` take it in place of the projects: a report then reads the
-    register once.
+    register once. It takes its own result as well, so groups of several parts of a
+    register combine; the two sums behind ``capacity_mw`` stay with it for that.
     """
-    return df.groupBy("technology", "status", "region").agg(
-        F.sum("capacity_mw").alias("capacity_mw"),
-        F.count(F.lit(1)).alias("projects"),
-        _latest(df).alias("last_updated"),
+    if "measured" in df.columns:
+        counts = [F.sum(name).alias(name) for name in ("projects", "measured")]
+    else:
+        counts = [F.count(F.lit(1)).alias("projects"), F.count("capacity_mw").alias("measured")]
+    groups = df.groupBy("technology", "status", "region").agg(
+        *partial_sums(df, "capacity_mw"), *counts, _latest(df).alias("last_updated")
     )
+    return groups.withColumn("capacity_mw", total("capacity_mw"))
 
 
 def capacity_by(
     df: DataFrame, group_col: str, value_col: str = "capacity_mw", n: int = 10
 ) -> DataFrame:
     """The ``n`` groups with the largest sums; rows without a group are left out."""
-    return (
-        df.where(F.col(group_col).isNotNull())
-        .groupBy(group_col)
-        .agg(F.sum(value_col).alias(value_col))
-        .orderBy(F.desc(value_col), F.asc(group_col))
-        .limit(n)
-    )
+    groups = df.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(*partial_sums(df, value_col))
+    return summed(groups, value_col).orderBy(F.desc(value_col), F.asc(group_col)).limit(n)
 
 
 def leading_groups(df: DataFrame) -> DataFrame:
@@ -111,16 +108,13 @@ def leading_groups(df: DataFrame) -> DataFrame:
 
     One scan feeds both; a tie goes to the smaller name.
     """
+    figures = [name for name in ("capacity_mw", "capacity_mw" + EXACT, "capacity_mw" + BEYOND) if name in df.columns]
     pairs = [
-        F.struct(F.lit(name).alias("facet"), F.col(name).alias("value"), F.col("capacity_mw"))
+        F.struct(F.lit(name).alias("facet"), F.col(name).alias("value"), *figures)
         for name in ("technology", "region")
     ]
-    totals = (
-        df.select(F.inline(F.array(*pairs)))
-        .where(F.col("value").isNotNull())
-        .groupBy("facet", "value")
-        .agg(F.sum("capacity_mw").alias("capacity_mw"))
-    )
+    rows = df.select(F.inline(F.array(*pairs))).where(F.col("value").isNotNull())
+    totals = summed(rows.groupBy("facet", "value").agg(*partial_sums(rows, "capacity_mw")), "capacity_mw")
     place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("capacity_mw"), F.asc("value")))
     return totals.withColumn("_place", place).where(F.col("_place") == 1).drop("_place")
 
@@ -148,11 +142,14 @@ def top_share(df: DataFrame, n: int = 10) -> DataFrame:
 
     Two reads of one column, each with partial results only: no shuffle of rows.
     """
-    largest = df.select("capacity_mw").orderBy(F.desc("capacity_mw")).limit(n).agg(_total("capacity_mw"))
-    total = df.agg(_total("capacity_mw").alias("total_capacity_mw"))
+    largest = df.select("capacity_mw").orderBy(F.desc("capacity_mw")).limit(n)
+
+    def whole(rows: DataFrame) -> DataFrame:
+        return rows.agg(*partial_sums(rows, "capacity_mw")).select(F.coalesce(total("capacity_mw"), F.lit(0.0)).alias("total_capacity_mw"))
+
     share = F.coalesce(F.try_divide("top_capacity_mw", "total_capacity_mw") * 100, F.lit(0.0))
     return (
-        total.select(largest.scalar().alias("top_capacity_mw"), "total_capacity_mw")
+        whole(df).select(whole(largest).scalar().alias("top_capacity_mw"), "total_capacity_mw")
         .withColumn("share_percent", not_nan(share))
         .withColumn("share_text", amount_text(F.round("share_percent", 6), 1, after="%"))
     )
@@ -163,18 +160,15 @@ def capacity_matrix(df: DataFrame, top: int = 6) -> DataFrame:
 
     A technology's rank counts rows without a status too; the table leaves them out.
     """
-    cells = (
-        df.where(F.col("technology").isNotNull())
-        .groupBy("technology", "status")
-        .agg(F.sum("capacity_mw").alias("capacity_mw"))
-    )
+    cells = df.where(F.col("technology").isNotNull()).groupBy("technology", "status").agg(*partial_sums(df, "capacity_mw"))
     leaders = capacity_by(cells, "technology", n=top).select("technology")
     # A condition on status alone would move below the aggregate and split the two
-    # uses of ``cells``; tied to the sum it stays above, and Spark aggregates once.
-    has_status = F.when(F.col("capacity_mw").isNotNull(), F.col("status")).isNotNull()
+    # uses of ``cells``; tied to the sums it stays above, and Spark aggregates once.
+    held = F.col("capacity_mw" + EXACT).isNotNull() | F.col("capacity_mw" + BEYOND).isNotNull()
+    has_status = F.when(held, F.col("status")).isNotNull()
     if top <= _BROADCAST_ROWS:
         leaders = F.broadcast(leaders)
-    return cells.join(leaders, "technology", "left_semi").where(has_status)
+    return summed(cells.join(leaders, "technology", "left_semi").where(has_status), "capacity_mw")
 
 
 def facets(df: DataFrame, columns: list[str] | dict[str, Column]) -> DataFrame:

@@ -124,17 +124,21 @@ def _choose(condition: str) -> str:
     return _q(f"SELECT {_SHORT} FROM projects WHERE {condition}")
 
 
+# Capacities of these registers have one decimal place; as decimals they add up exactly, in any order.
+_SUM = "CAST(sum(CAST(capacity_mw AS DECIMAL(38,4))) AS DOUBLE)"
+
+
 def _top_groups(column: str, n: int) -> str:
     return _q(
-        f"SELECT {column}, round(sum(capacity_mw), 4) AS capacity_mw FROM projects WHERE {column} IS NOT NULL "
-        f"GROUP BY {column} ORDER BY sum(capacity_mw) DESC, {column} LIMIT {n}"
+        f"SELECT {column}, {_SUM} AS capacity_mw FROM projects WHERE {column} IS NOT NULL "
+        f"GROUP BY {column} ORDER BY {_SUM} DESC, {column} LIMIT {n}"
     )
 
 
 def _leader(column: str) -> str:
     return (
-        f"(SELECT '{column}' AS facet, {column} AS value, round(sum(capacity_mw), 4) AS capacity_mw FROM projects "
-        f"WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY sum(capacity_mw) DESC, {column} LIMIT 1)"
+        f"(SELECT '{column}' AS facet, {column} AS value, {_SUM} AS capacity_mw FROM projects "
+        f"WHERE {column} IS NOT NULL GROUP BY {column} ORDER BY {_SUM} DESC, {column} LIMIT 1)"
     )
 
 
@@ -239,10 +243,10 @@ def _brief() -> str:
     return " || chr(10) || ".join(lines)
 
 
-_KPIS = """SELECT count(*) AS projects, round(coalesce(sum(capacity_mw), 0), 4) AS total_capacity_mw,
-         round(avg(capacity_mw), 4) AS average_capacity_mw, max(last_updated) AS latest_update,
-         format('{:,.0f} MW', round(sum(capacity_mw), 6)) AS total_capacity_text,
-         format('{:,.1f} MW', round(avg(capacity_mw), 6)) AS average_capacity_text,
+_KPIS = f"""SELECT count(*) AS projects, coalesce({_SUM}, 0) AS total_capacity_mw,
+         {_SUM} / count(capacity_mw) AS average_capacity_mw, max(last_updated) AS latest_update,
+         format('{{:,.0f}} MW', round({_SUM}, 6)) AS total_capacity_text,
+         format('{{:,.1f}} MW', round({_SUM} / count(capacity_mw), 6)) AS average_capacity_text,
          coalesce(strftime(max(last_updated), '%d %b %Y'), 'N/A') AS latest_update_text FROM projects"""
 
 _CLEAN_COLUMNS = ", ".join([*_TEXT, "capacity_mw", "x", "y", "last_updated"])
@@ -299,16 +303,16 @@ ORACLE_SQL: dict[str, str] = {
         "FROM projects ORDER BY capacity_mw DESC, ref_id LIMIT 1"
     ),
     "top10_share": _q(
-        """SELECT round(top, 4) AS top_capacity_mw, round(total, 4) AS total_capacity_mw, round(top / total * 100, 4) AS share_percent,
-         format('{:,.1f}%', round(top / total * 100, 6)) AS share_text
-        FROM (SELECT sum(capacity_mw) AS total FROM projects),
-         (SELECT sum(capacity_mw) AS top FROM (SELECT capacity_mw FROM projects ORDER BY capacity_mw DESC, ref_id LIMIT 10))"""
+        f"""SELECT top AS top_capacity_mw, total AS total_capacity_mw, top / total * 100 AS share_percent,
+         format('{{:,.1f}}%', round(top / total * 100, 6)) AS share_text
+        FROM (SELECT {_SUM} AS total FROM projects),
+         (SELECT {_SUM} AS top FROM (SELECT capacity_mw FROM projects ORDER BY capacity_mw DESC, ref_id LIMIT 10))"""
     ),
     "technology_by_stage": _q(
-        """SELECT technology, status, round(sum(capacity_mw), 4) AS capacity_mw FROM projects
+        f"""SELECT technology, status, {_SUM} AS capacity_mw FROM projects
         WHERE status IS NOT NULL AND technology IN (
          SELECT technology FROM projects WHERE technology IS NOT NULL GROUP BY technology
-         ORDER BY sum(capacity_mw) DESC, technology LIMIT 6)
+         ORDER BY {_SUM} DESC, technology LIMIT 6)
         GROUP BY technology, status"""
     ),
     "major_projects": _q(
@@ -326,7 +330,13 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "first_by_name": _q(f"SELECT {_SHORT} FROM named"),
     "comparables": _q(_COMPARABLES),
-    "comparables_of_one": _q(_COMPARABLES.replace("QUALIFY", "WHERE a.site_name = 'Customer#000000001 site' QUALIFY")),
+    "comparables_of_one": _q(_COMPARABLES.replace("QUALIFY", "WHERE a.site_name = 'Customer#000000002 site' QUALIFY")),
+    "comparables_among": _q(
+        _COMPARABLES.replace("QUALIFY", "WHERE a.site_name IN (SELECT c_name || ' site' FROM customer WHERE c_custkey % 10 = 1) QUALIFY")
+    ),
+    "search_landed_text": _choose(f"contains({_HAYSTACK}, 'ref/149')"),
+    "search_landed_regex": _choose(f"regexp_matches({_HAYSTACK}, 'power.*(battery|storage) awaiting')"),
+    "filter_region_clustered": _choose("region = 'EUROPE'"),
     "offshore_model": _q(_model("offshore", "ref_id, site_name, capacity_mw", _DEFAULTS)),
     "offshore_texts": _q(
         f"""SELECT ref_id, site_name, format('{{:,.0f}} MW', capacity_mw) AS capacity_text,
@@ -369,11 +379,22 @@ ORACLE_SQL: dict[str, str] = {
         located=True,
     ),
     "register_csv": _q(f"SELECT {_CLEAN_COLUMNS} FROM projects"),
-    "register_short_rows": _q(f"SELECT {_CLEAN_COLUMNS} FROM projects"),
+    "register_short_rows": _q(f"SELECT {_CLEAN_COLUMNS} FROM projects").replace(
+        _RAW,
+        f"""SELECT * REPLACE (CASE WHEN ref_id % 249 = 0 THEN repeat('Consortium "x", ', 400) ELSE operator END AS operator,
+          CASE WHEN ref_id % 3 <> 0 THEN last_updated_raw END AS last_updated_raw) FROM ({_RAW})""",
+    ),
     "register_order": f"""WITH raw AS ({_RAW.strip()}), ends AS (SELECT max(ref_id) AS last FROM raw)
         SELECT row_number() OVER (ORDER BY CASE WHEN ref_id <= floor(last * 0.02::DOUBLE) THEN 4 WHEN ref_id <= floor(last * 0.6::DOUBLE) THEN 3
           WHEN ref_id <= floor(last * 0.61::DOUBLE) THEN 2 ELSE 1 END, ref_id) - 1 AS place, site_name, planning_ref, capacity_raw
         FROM raw, ends""",
+    "deliveries_landed": _q(
+        """SELECT places.place AS ref_id, site_name, planning_ref, capacity_mw, score
+        FROM projects JOIN (
+         SELECT ref_id, row_number() OVER (ORDER BY ref_id <= (SELECT max(ref_id) FROM raw) // 2, ref_id) - 1 AS place FROM raw
+        ) places USING (ref_id)"""
+    ),
+    "deliveries_kpis": _q(_KPIS),
     "landed_projects": _q(f"SELECT ref_id, {_CLEAN_COLUMNS}, lon, lat, score FROM located", located=True),
     "briefs_written": _q(
         f"""SELECT site_name, translate(site_name, '/\\: ', '---_') || '_project_brief.txt' AS file_name, {_brief()} AS brief

@@ -14,11 +14,14 @@ from siteglass.sources.tables import projects_raw, read_table
 from siteglass.sources.workspace import new_dir
 
 SEARCH_TEXT = "BUILDING Power"
+SEARCH_RARE = "REF/149"
 SEARCH_REGEX = "power.*(battery|storage) awaiting"
 TECHNOLOGY, STATUS, REGION = "Solar Photovoltaics", "Planning Granted", "EUROPE"
 
-CHOSEN_NAME = "Customer#000000001 site"
+CHOSEN_NAME = "Customer#000000002 site"
 NOWHERE = "ATLANTIS"
+# About as many rows go into a file of the registers that queries write.
+_FILE_ROWS = 20_000
 
 _SHORT = ("ref_id", "site_name", "technology", "capacity_mw", "status", "region")
 
@@ -47,7 +50,7 @@ def scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
-    """Round where the order of additions may differ between two engines."""
+    """Round coordinates, which two engines work out in different ways."""
     return df.withColumns({name: F.round(name, digits) for name in names})
 
 
@@ -56,7 +59,7 @@ def _filtered(**choices):
 
 
 def _capacity_by(column, n):
-    return lambda df: _rounded(sg.capacity_by(df, column, n=n), 4, "capacity_mw")
+    return lambda df: sg.capacity_by(df, column, n=n)
 
 
 _FIGURES = (
@@ -87,20 +90,16 @@ ON_PROJECTS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "facet_options": sg.filter_choices,
     "offshore_projects": lambda df: sg.offshore_projects(df).select(*_SHORT, "score"),
     "dataset_summary": sg.dataset_summary,
-    "kpi_summary": lambda df: _rounded(sg.kpis(df), 4, "total_capacity_mw", "average_capacity_mw"),
+    "kpi_summary": sg.kpis,
     "empty_selection": lambda df: sg.kpis(sg.apply_filters(df, region=NOWHERE)),
-    "kpi_from_groups": lambda df: _rounded(
-        sg.group_kpis(sg.capacity_groups(df)), 4, "total_capacity_mw", "average_capacity_mw"
-    ),
+    "kpi_from_groups": lambda df: sg.group_kpis(sg.capacity_groups(df)),
     "capacity_by_technology": _capacity_by("technology", 8),
     "capacity_by_region": _capacity_by("region", 8),
     "capacity_by_stage": _capacity_by("status", 10),
-    "leading_groups": lambda df: _rounded(sg.leading_groups(df), 4, "capacity_mw"),
+    "leading_groups": sg.leading_groups,
     "largest_project": sg.largest_project,
-    "top10_share": lambda df: _rounded(
-        sg.top_share(df), 4, "top_capacity_mw", "total_capacity_mw", "share_percent"
-    ),
-    "technology_by_stage": lambda df: _rounded(sg.capacity_matrix(df), 4, "capacity_mw"),
+    "top10_share": sg.top_share,
+    "technology_by_stage": sg.capacity_matrix,
     "major_projects": sg.major_projects,
     "preview_projects": sg.preview,
     "first_by_name": lambda df: sg.first_by_name(df).select(*_SHORT, "score"),
@@ -153,39 +152,94 @@ def _register_order(spark, sf_dir):
     """The register in files of very different sizes, named against the order of their keys; each row's place."""
     path = new_dir(spark, "register")
     raw = projects_raw(spark, sf_dir)
-    ends = raw.agg(F.max("ref_id")).first()[0] or 0
-    last = -1
+    ends, rows = raw.agg(F.max("ref_id"), F.count(F.lit(1))).first()
+    last, before = -1, 0.0
     for k, share in enumerate((0.02, 0.6, 0.61, 1.0)):
-        end = int(ends * share)
-        part = raw.where((F.col("ref_id") > last) & (F.col("ref_id") <= end)).repartition(1).sortWithinPartitions("ref_id")
+        end = int((ends or 0) * share)
+        # Files of a folder are named in the order of their ranges.
+        files = 1 + int(rows * (share - before)) // _FILE_ROWS
+        part = raw.where((F.col("ref_id") > last) & (F.col("ref_id") <= end)).repartitionByRange(files, "ref_id").sortWithinPartitions("ref_id")
         sg.write_register_csv(part, f"{path}/{9 - k}")
-        last = end
+        last, before = end, share
     places = sg.read_register(spark, f"{path}/*/*.csv")
     return places.select(F.col("ref_id").alias("place"), "site_name", "planning_ref", "capacity_raw")
 
 
 def _register_short_rows(spark, sf_dir):
-    """The register as lines that end after their last filled cell."""
+    """The register as lines that end after their last filled cell, a few of them with a very long quoted cell."""
     path = new_dir(spark, "register")
-    raw = projects_raw(spark, sf_dir).select(*CSV_HEADERS)
+    raw = projects_raw(spark, sf_dir).withColumns(
+        {
+            "operator": F.when(F.col("ref_id") % 249 == 0, F.repeat(F.lit('Consortium "x", '), 400)).otherwise(F.col("operator")),
+            "last_updated_raw": F.when(F.col("ref_id") % 3 != 0, F.col("last_updated_raw")),
+        }
+    )
     cells = [F.concat(F.lit('"'), F.replace(F.coalesce(name, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for name in CSV_HEADERS]
     line = F.regexp_replace(F.array_join(F.array(*cells), ","), '(,"")+$', "")
     header = spark.createDataFrame([(",".join(CSV_HEADERS.values()),)], "line string")
     # Every file begins with the header: a line per file number, sorted before the rows.
-    files = F.pmod(F.xxhash64("site_name", "planning_ref"), F.lit(3))
+    number = 3 + raw.count() // _FILE_ROWS
+    files = F.pmod(F.xxhash64("ref_id"), F.lit(number))
     rows = raw.select(files.alias("file"), F.lit(1).alias("order"), line.alias("line"))
-    heads = header.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("file"), F.lit(0).alias("order"), "line")
-    lines = heads.union(rows).repartition(3, "file").sortWithinPartitions("file", "order").select("file", "line")
+    heads = header.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(number - 1).cast("bigint"))).alias("file"), F.lit(0).alias("order"), "line")
+    lines = heads.union(rows).repartition(number, "file").sortWithinPartitions("file", "order").select("file", "line")
     lines.write.partitionBy("file").option("encoding", "ISO-8859-1").text(path)
     return sg.clean(sg.read_register(spark, f"{path}/*/*.txt", multi_line=False)).drop("ref_id")
 
 
+def _two_deliveries(spark, sf_dir):
+    """The register in two deliveries, the later rows first; where they are landed."""
+    path = new_dir(spark, "deliveries")
+    raw = projects_raw(spark, sf_dir)
+    ends, rows = raw.agg(F.max("ref_id"), F.count(F.lit(1))).first()
+    late = F.col("ref_id") > (ends or 0) // 2
+    for part in (raw.where(late), raw.where(~late)):
+        ordered = part.repartitionByRange(2 + rows // _FILE_ROWS, "ref_id").sortWithinPartitions("ref_id")
+        sg.write_register_csv(ordered, f"{path}/in", mode="append")
+        sg.land_deliveries(spark, f"{path}/in", f"{path}/landed")
+    return f"{path}/landed"
+
+
+def _deliveries_landed(spark, sf_dir):
+    return sg.read_landed(spark, _two_deliveries(spark, sf_dir)).select("ref_id", "site_name", "planning_ref", "capacity_mw", "score")
+
+
+def _deliveries_kpis(spark, sf_dir):
+    return sg.group_kpis(sg.kept_groups(spark, _two_deliveries(spark, sf_dir)))
+
+
 def _landed_projects(spark, sf_dir):
     path = new_dir(spark, "projects")
     sg.write_projects(located(spark, sf_dir), path)
     return _rounded(sg.read_projects(spark, path), 6, "lon", "lat")
 
 
+def _search_landed(query):
+    """A search through the table of strings of a register landed in many files."""
+
+    def run(spark, sf_dir):
+        path = new_dir(spark, "searched")
+        df = projects(spark, sf_dir)
+        sg.write_projects(df.repartitionByRange(8 + df.count() // _FILE_ROWS, "ref_id"), f"{path}/projects")
+        sg.write_search_index(spark, f"{path}/projects", f"{path}/strings")
+        return sg.search_landed(spark, f"{path}/projects", f"{path}/strings", query).select(*_SHORT, "score")
+
+    return run
+
+
+def _clustered(spark, sf_dir):
+    """One region, read from a register that is landed by interleaved choices."""
+    path = new_dir(spark, "clustered")
+    sg.write_projects(projects(spark, sf_dir), path, clustered=True)
+    return sg.apply_filters(sg.read_projects(spark, path), region=REGION).select(*_SHORT, "score")
+
+
+def _comparables_among(spark, sf_dir):
+    """The sites of every tenth customer."""
+    named = read_table(spark, sf_dir, "customer").where("c_custkey % 10 = 1").select(F.concat("c_name", F.lit(" site")).alias("site_name"))
+    return sg.comparables_among(projects(spark, sf_dir), named)
+
+
 def _briefs_written(spark, sf_dir):
     """Briefs as files, for names with signs that file names can't hold."""
     signs = F.element_at(F.array(*map(F.lit, ("a/b", "c\\d", "e:f", "g h/\\:"))), (F.col("ref_id") % 4 + 1).cast("int"))
@@ -211,7 +265,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "register_csv": _register_csv,
     "register_order": _register_order,
     "register_short_rows": _register_short_rows,
+    "deliveries_landed": _deliveries_landed,
+    "deliveries_kpis": _deliveries_kpis,
     "landed_projects": _landed_projects,
+    "search_landed_text": _search_landed(SEARCH_RARE),
+    "search_landed_regex": _search_landed(SEARCH_REGEX),
+    "filter_region_clustered": _clustered,
+    "comparables_among": _comparables_among,
     "briefs_written": _briefs_written,
     "number_texts": _number_texts,
     "score_components": _score_components,

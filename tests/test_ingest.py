@@ -241,6 +241,21 @@ def test_short_records_are_filled_and_long_ones_stop(spark, tmp_path, multi_line
             raw.count()
 
 
+@pytest.mark.parametrize("multi_line", [True, False])
+@pytest.mark.parametrize("size", [5_000, 1_000_000])
+def test_quoted_cells_of_any_length(spark, tmp_path, multi_line, size):
+    """In a record of the right length, in a short one, and in a long one, which stops with its text."""
+    cell = '"' + ('x,"",' * size)[: size - size % 5] + '"'
+    whole, short = csv_line(site_name=cell, capacity_raw="1"), cell + ",Op"
+    write_csv(tmp_path / "in" / "a.csv", "\n".join([HEADER, whole, short, "T"]) + "\n")
+    rows = sg.read_register(spark, str(tmp_path / "in"), multi_line=multi_line).orderBy("ref_id").collect()
+    text = cell[1:-1].replace('""', '"')
+    assert [(r.site_name, r.operator) for r in rows] == [(text, None), (text, "Op"), ("T", None)]
+    write_csv(tmp_path / "in" / "b.csv", "\n".join([HEADER, whole + ",one"]) + "\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        sg.read_register(spark, str(tmp_path / "in"), multi_line=multi_line).collect()
+
+
 def test_broken_register_stops(spark, tmp_path):
     write_csv(tmp_path / "r.csv", HEADER + "\n" + csv_line(site_name="A", capacity_raw="1") + ",one,too,many\n")
     with pytest.raises(Exception, match="more cells than the header: A,"):

@@ -1,6 +1,8 @@
 """Score, filters, summaries, offshore model and briefs on hand-worked rows."""
 
 import datetime
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -248,3 +250,41 @@ def test_filter_choices(register):
     assert [r.value for r in found if r.facet == "offshore_site_name"] == sorted(
         {r.site_name for r in sg.offshore_projects(register).collect() if r.site_name is not None}
     )
+
+
+def spread_sums(spark, parts, seed):
+    """Two technologies, regions and stages each with equal totals, whose double sums depend on the order of rows."""
+    rng = random.Random(seed)
+    values = [round(rng.uniform(0, 1200), 1) for _ in range(400)] + [1e15 + 0.5, 1e-9, 0.1, 0.2]
+    rows = []
+    for key in ("B", "A"):
+        for i, v in enumerate(rng.sample(values, len(values))):
+            rows.append((len(rows), f"n{i}", key, v, key.lower(), "s" + key, 1))
+    rng.shuffle(rows)
+    return spark.createDataFrame(rows, PROJECT_SCHEMA).repartition(parts), math.fsum(values), len(values)
+
+
+def test_equal_totals_rank_by_key_however_rows_are_partitioned(spark):
+    plain = set()
+    for parts in range(1, 21):
+        df, whole, n = spread_sums(spark, parts, parts)
+        plain |= {r[0] for r in df.groupBy("technology").agg(F.sum("capacity_mw")).select(F.col("sum(capacity_mw)")).collect()}
+        groups = sg.capacity_groups(df)
+        for source in (df, groups):
+            assert [tuple(r) for r in sg.capacity_by(source, "technology").collect()] == [("A", whole), ("B", whole)]
+            assert sorted(map(tuple, sg.leading_groups(source).collect())) == [("region", "a", whole), ("technology", "A", whole)]
+            assert sorted(map(tuple, sg.capacity_matrix(source, top=1).collect())) == [("A", "sA", whole)]
+        for k in (sg.kpis(df), sg.group_kpis(groups), sg.group_kpis(sg.capacity_groups(groups.repartition(parts)))):
+            assert [tuple(r)[:3] for r in k.collect()] == [(2 * n, 2 * whole, 2 * whole / (2 * n))]
+        assert sg.top_share(df, 2).collect()[0][:2] == (2e15 + 1, 2 * whole)
+    assert len(plain) > 2  # what plain sums make of the same rows
+
+
+def test_sums_of_numbers_that_no_decimal_holds(spark):
+    rows = [(i, "n", t, v, "r", "s", 1) for i, (t, v) in enumerate([("A", 1e300), ("A", 2.5), ("B", float("inf")), ("B", 1.0), ("C", None), ("D", -1e17), ("D", 0.1)])]
+    df = spark.createDataFrame(rows, PROJECT_SCHEMA).repartition(3)
+    want = [("B", math.inf), ("A", 1e300), ("D", -1e17 + 0.1), ("C", None)]
+    for source in (df, sg.capacity_groups(df)):
+        assert [tuple(r) for r in sg.capacity_by(source, "technology").collect()] == want
+    k = sg.kpis(df.where("technology = 'C' or technology = 'D'")).collect()[0]
+    assert (k.projects, k.total_capacity_mw, k.average_capacity_mw) == (3, -1e17 + 0.1, (-1e17 + 0.1) / 2)
