@@ -1,11 +1,12 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
 Vectors are centred, normalised, extended by zeros and rotated at random; a code keeps one bit
-for each dimension after that, the distance from the centre and a correction scalar (how well
-the bits point where the vector points). From these the inner product with any query is estimated
-without bias, with an error bound that falls with the root of the number of bits. A task estimates its vectors against a block of queries, and evaluates exactly
-only those whose upper bound reaches the best lower bound known for the query.
-All queries meet all vectors, in blocks of a bounded size.
+for each dimension after that, packed, the distance from the centre and a correction scalar (how well
+the bits point where the vector points). Codes are made once, of each different vector, and kept. A scan reads only
+them: queries, rotated alike, are cut down to whole numbers of a few bits, and counts of the bits that code and
+query have in common estimate the inner product, with an error bound that falls with the root of the number of bits.
+Vectors whose upper bound reaches the lower bound of enough others are fetched and evaluated exactly.
+All queries meet all codes, in blocks of a bounded size.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from siteglass.llm.common import saved
 
 #: Vectors (a fixed choice by hash) that give the centre and the first lower bounds.
 SAMPLE_ROWS = 16384
-#: Queries broadcast at once, and codes estimated at once.
-QUERY_BLOCK, CODE_BLOCK = 16384, 2048
-#: Bits of a code: six for each dimension, 384 at least.
+#: Queries broadcast at once, and codes and queries estimated at once.
+QUERY_BLOCK, CODE_BLOCK, ASKED_BLOCK = 16384, 1024, 128
+#: Bits of a query's component.
+PLANES = 4
+#: Bits of a code: six for each dimension, 384 at least, in whole words.
 BITS_A_DIMENSION, LEAST_BITS = 6, 384
 #: Width of the error bound, in standard deviations of the estimate.
 CONFIDENCE = 4.0
@@ -40,7 +43,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 def rotation(size: int, seed: int) -> np.ndarray:
     """Where a random rotation takes vectors of ``size`` components and zeros after these; the same everywhere."""
-    bits = max(LEAST_BITS, BITS_A_DIMENSION * size)
+    bits = -(-max(LEAST_BITS, BITS_A_DIMENSION * size) // 64) * 64
     q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, size)))
     return (q * np.sign(np.diag(r))).T
 
@@ -50,10 +53,10 @@ def _matrix(column, size: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat, offsets = np.asarray(column.values.to_numpy(zero_copy_only=False)), np.asarray(column.offsets)
-    flat, offsets = flat[offsets[0] :], offsets - offsets[0]
+    flat, offsets = flat[offsets[0] : offsets[-1]], offsets - offsets[0]
     lengths = np.diff(offsets)
     out = np.zeros((len(column), size))
-    out[np.repeat(np.arange(len(column)), lengths), np.arange(len(flat)) - np.repeat(offsets[:-1], lengths)] = flat[: offsets[-1]]
+    out[np.repeat(np.arange(len(column)), lengths), np.arange(len(flat)) - np.repeat(offsets[:-1], lengths)] = flat
     return out
 
 
@@ -77,35 +80,59 @@ def codes(vectors: np.ndarray, centre: np.ndarray, turned: np.ndarray) -> tuple[
     return np.packbits(bits, axis=1), far, 1 / agreement, scale
 
 
-def bounds(code: tuple, queries: np.ndarray, centre: np.ndarray, turned: np.ndarray, confidence: float) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated inner products (vectors by queries) and their error bounds."""
+class Asked:
+    """Queries as whole numbers of :data:`PLANES` bits a component, each bit packed into words of its own."""
+
+    def __init__(self, queries: np.ndarray, centre: np.ndarray, turned: np.ndarray):
+        bits = turned.shape[1]
+        self.length = np.sqrt((queries * queries).sum(axis=1))
+        aimed = (queries / self.length[:, None]) @ turned
+        self.low = aimed.min(axis=1)
+        self.step = np.maximum((aimed.max(axis=1) - self.low) / ((1 << PLANES) - 1), np.finfo(float).tiny)
+        whole = np.rint((aimed - self.low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.total = whole.sum(axis=1, dtype=np.int64)
+        self.planes = [np.packbits((whole >> j) & 1, axis=1).view(np.uint64) for j in range(PLANES)]
+        # What the whole numbers miss, as the spread it gives a sum of random signs.
+        self.missed = np.sqrt(((aimed - (whole * self.step[:, None] + self.low[:, None])) ** 2).sum(axis=1) / bits)
+        self.middle = queries @ centre
+        self.middle_slack = 1e-9 * np.abs(queries) @ np.abs(centre)
+
+
+def bounds(code: tuple, asked: Asked, chosen: slice, confidence: float) -> tuple[np.ndarray, np.ndarray]:
+    """Estimated inner products (codes by chosen queries) and their error bounds, from counts of common bits."""
     packed, far, correction, scale = code
-    bits = turned.shape[1]
-    length = np.sqrt((queries * queries).sum(axis=1))
-    # Of length 1, single precision holds any query; what it rounds off is in the bound.
-    aimed = ((queries / length[:, None]) @ turned).astype(np.float32)
-    signs = np.unpackbits(packed, axis=1, count=bits).astype(np.float32) * 2 - 1
-    estimate = (signs @ aimed.T) * (far * correction / np.sqrt(bits))[:, None]
-    estimate *= length[None, :]
-    estimate += (queries @ centre)[None, :]
-    slack = (far * (confidence * scale + 1e-5) + 1e-9 * np.abs(centre).sum())[:, None] * length[None, :]
+    words = np.ascontiguousarray(packed).view(np.uint64)
+    bits = 64 * words.shape[1]
+    common = np.zeros((len(words), len(asked.low[chosen])), dtype=np.int32)
+    both, counted = np.empty(common.shape, np.uint64), np.empty(common.shape, np.uint8)
+    for j, plane in enumerate(asked.planes):
+        for w in range(words.shape[1]):
+            np.bitwise_and(words[:, w, None], plane[chosen, w][None, :], out=both)
+            np.bitwise_count(both, out=counted)
+            common += counted.astype(np.int32) << j if j else counted
+    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
+    # Signs are twice the bits less one.
+    signed = (2 * common - asked.total[chosen]) * asked.step[chosen] + asked.low[chosen] * (2 * ones - bits)[:, None]
+    estimate = signed * (far * correction / np.sqrt(bits))[:, None] * asked.length[chosen] + asked.middle[chosen]
+    spread = np.sqrt((scale**2)[:, None] + (correction[:, None] * asked.missed[chosen]) ** 2)
+    slack = far[:, None] * (confidence * spread + 1e-9) * asked.length[chosen] + asked.middle_slack[chosen]
     return estimate, slack
 
 
 class _Best:
-    """The nearest found so far of each query of a block."""
+    """The greatest ``k`` scores so far of each query of a block, from different vectors; ``floor`` is the least of them."""
 
-    def __init__(self, n: int, k: int, floor: np.ndarray):
+    def __init__(self, k: int, floor: np.ndarray):
         self.k, self.floor = k, floor.copy()
-        self.query, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.query, self.score = np.zeros(0, np.int64), np.zeros(0)
 
-    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        query, ids, score = np.append(self.query, query), np.append(self.id, ids), np.append(self.score, score)
-        order = np.lexsort((ids, -score, query))
-        query, ids, score = query[order], ids[order], score[order]
+    def add(self, query: np.ndarray, score: np.ndarray) -> None:
+        query, score = np.append(self.query, query), np.append(self.score, score)
+        order = np.lexsort((-score, query))
+        query, score = query[order], score[order]
         place = np.arange(len(query)) - np.searchsorted(query, query)
         keep = place < self.k
-        self.query, self.id, self.score = query[keep], ids[keep], score[keep]
+        self.query, self.score = query[keep], score[keep]
         last = place == self.k - 1
         self.floor[query[last]] = np.maximum(self.floor[query[last]], score[last])
 
@@ -114,10 +141,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, confidence: float =
     """(query_id, rank, vec_id, score): the ``k`` nearest of each query found, nearest first, ties to the smaller vec_id.
 
     ``vectors``: vec_id, embedding (array of numbers). Queries are the rows whose vec_id ``every``
-    divides; candidates are all other rows. Nearness is the inner product in double
+    divides; candidates are all rows of another vec_id. Nearness is the inner product in double
     precision; vectors of different lengths count as ending in zeros. Rows without id,
     and vectors that are null, zero or hold null or non-finite components take no part.
-    Rows with equal id and vector count once.
+    Rows with equal id and vector count once; of the rows with one vector only the k + 1 smallest ids can be
+    near anything. Queries that share an id are answered each on its own.
     """
     spark = vectors.sparkSession
     rows = saved(usable(vectors).distinct(), "vectors")
@@ -132,18 +160,44 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, confidence: float =
     sample, sample_ids = _matrix(taken.column("vector"), size), taken.column("vec_id").to_numpy()
     centre = sample.mean(axis=0) if len(sample) else np.zeros(size)
     turned = rotation(size, seed)
+    kinds = saved(_kinds(rows, k), "kinds")
+    coded = saved(kinds.select("key_a", "key_b", "vector").mapInArrow(_coder(size, centre, turned), _CODE), "codes")
     found = []
     for block in _query_blocks(queries, query_block):
         asked, ids = _matrix(block.column("vector"), size), block.column("vec_id").to_numpy()
-        shared = spark.sparkContext.broadcast((ids, asked, _floors(ids, asked, sample_ids, sample, k), centre, turned))
-        near = rows.mapInArrow(_searcher(shared, size, k, confidence), "query_id bigint, vec_id bigint, score double")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        shared = spark.sparkContext.broadcast((ids, asked, _floors(ids, asked, sample_ids, sample, k), Asked(asked, centre, turned)))
+        near = saved(coded.mapInArrow(_scanner(shared, k, confidence), "query int, key_a bigint, key_b bigint, lower double, upper double"), "near")
+        scored = _fetched(near, kinds, k).mapInArrow(_scorer(shared, size), "query int, query_id bigint, ids array<bigint>, score double")
+        each = scored.select("query", "query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+        ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found.append(saved(ranked.select("query_id", "rank", "vec_id", "score"), "nearest"))
         shared.destroy()  # the block's result is kept; the next block takes its place
     return reduce(DataFrame.union, found, empty)
 
 
+_CODE = "key_a bigint, key_b bigint, code binary, far double, correction double, scale double"
+
+
+def _kinds(rows: DataFrame, k: int) -> DataFrame:
+    """Each different vector under a key of 128 bits, with the ids that can be near anything: the k + 1 smallest."""
+    key = [F.xxhash64("vector").alias("key_a"), F.xxhash64(F.lit("second"), "vector").alias("key_b")]
+    place = F.row_number().over(Window.partitionBy("key_a", "key_b").orderBy("vec_id"))
+    first = rows.select("vec_id", "vector", *key).withColumn("place", place).where(F.col("place") <= k + 1)
+    return first.groupBy("key_a", "key_b").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.first("vector").alias("vector"))
+
+
+def _coder(size: int, centre: np.ndarray, turned: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            packed, *scalars = codes(_matrix(batch.column("vector"), size), centre, turned)
+            code = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(packed), [None, pa.py_buffer(np.ascontiguousarray(packed))])
+            columns = [batch.column("key_a"), batch.column("key_b"), code.cast(pa.binary()), *map(pa.array, scalars)]
+            yield pa.RecordBatch.from_arrays(columns, ["key_a", "key_b", "code", "far", "correction", "scale"])
+
+    return run
+
+
 def _query_blocks(queries: DataFrame, most: int):
     """The queries as Arrow tables of about ``most`` rows, one at a time."""
     n = queries.count()
@@ -164,33 +218,63 @@ def _floors(ids: np.ndarray, asked: np.ndarray, sample_ids: np.ndarray, sample:
     return floors
 
 
-def _searcher(shared, size: int, k: int, confidence: float):
+def _scanner(shared, k: int, confidence: float):
+    """Of the codes in a task, those that may be near: their bounds by query. Reads no vector."""
+
+    def run(batches):
+        ids, _, floors, asked = shared.value
+        # One more than wanted: a query's own vector may be among them.
+        best = _Best(k + 1, floors)
+        for batch in batches:
+            bits = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            scalars = [batch.column(c).to_numpy() for c in ("far", "correction", "scale")]
+            for i in range(0, batch.num_rows, CODE_BLOCK):
+                some = slice(i, i + CODE_BLOCK)
+                code = (bits[some], *(x[some] for x in scalars))
+                hits = []
+                for j in range(0, len(ids), ASKED_BLOCK):
+                    estimate, slack = bounds(code, asked, slice(j, j + ASKED_BLOCK), confidence)
+                    v, q = np.nonzero(estimate + slack >= best.floor[None, j : j + ASKED_BLOCK])
+                    hits.append((v, q + j, (estimate - slack)[v, q], (estimate + slack)[v, q]))
+                v, q, lower, upper = map(np.concatenate, zip(*hits))
+                best.add(q, lower)
+                keep = upper >= best.floor[q]
+                rows = pa.array(v[keep] + i)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(q[keep].astype(np.int32)), batch.column("key_a").take(rows), batch.column("key_b").take(rows), pa.array(lower[keep]), pa.array(upper[keep])],
+                    ["query", "key_a", "key_b", "lower", "upper"],
+                )
+
+    return run
+
+
+def _fetched(near: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
+    """The vectors that may be nearest after all tasks' bounds are known, each once, with the queries it is near to."""
+    order = Window.partitionBy("query").orderBy(F.desc("lower"))
+    # One row for each query of a block.
+    floors = near.select("query", "lower").withColumn("place", F.row_number().over(order)).where(F.col("place") == k + 1)
+    kept = near.join(F.broadcast(floors.select("query", F.col("lower").alias("floor"))), "query", "left").where("floor is null or upper >= floor")
+    by_vector = kept.groupBy("key_a", "key_b").agg(F.collect_list("query").alias("queries"))
+    return kinds.join(by_vector, ["key_a", "key_b"]).select("vector", "ids", "queries")
+
+
+def _scorer(shared, size: int):
+    """Exact scores of fetched vectors."""
+
     def run(batches):
-        ids, asked, floors, centre, turned = shared.value
-        best = _Best(len(ids), k, floors)
-        length = np.sqrt((asked * asked).sum(axis=1))
+        ids, asked, _, _ = shared.value
         for batch in batches:
-            own, vectors = batch.column("vec_id").to_numpy(), _matrix(batch.column("vector"), size)
-            for i in range(0, len(own), CODE_BLOCK):
-                part, names = vectors[i : i + CODE_BLOCK], own[i : i + CODE_BLOCK]
-                code = codes(part, centre, turned)
-                far = np.sqrt((part * part).sum(axis=1))
-                for j in range(0, len(ids), 1024):
-                    estimate, slack = bounds(code, asked[j : j + 1024], centre, turned, confidence)
-                    near = estimate + slack >= best.floor[None, j : j + 1024]
-                    near &= names[:, None] != ids[None, j : j + 1024]
-                    v, q = np.nonzero(near)
-                    q += j
-                    for s in range(0, len(v), 1 << 14):
-                        a, b = v[s : s + (1 << 14)], q[s : s + (1 << 14)]
-                        # Near enough to leave most of them out; the order of additions comes after.
-                        score, room = np.einsum("ij,ij->i", part[a], asked[b]), 1e-12 * far[a] * length[b]
-                        reach = score + room >= best.floor[b]
-                        a, b = a[reach], b[reach]
-                        if len(a):
-                            score = exact(part[a], asked[b])
-                            reach = score >= best.floor[b]
-                            best.add(b[reach], names[a[reach]], score[reach])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.score)], ["query_id", "vec_id", "score"])
+            step = max(1, (1 << 22) // (8 * size * max(1, max(map(len, batch.column("queries").to_pylist()), default=1))))
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                own = _matrix(part.column("vector"), size)
+                near = part.column("queries")
+                counts = np.diff(np.asarray(near.offsets))
+                query = near.flatten().to_numpy()
+                row = np.repeat(np.arange(len(own)), counts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(query), pa.array(ids[query]), part.column("ids").take(pa.array(row)), pa.array(exact(own[row], asked[query]))],
+                    ["query", "query_id", "ids", "score"],
+                )
 
     return run

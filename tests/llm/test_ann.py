@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 
 from siteglass.llm import ann
+from siteglass.llm.common import table
 
 SCHEMA = "vec_id bigint, embedding array<float>, label int, score double, rank int"
 
@@ -61,9 +62,54 @@ def test_bounds_hold(spark):
     assert turned.shape == (64, 384) and np.allclose(turned @ turned.T, np.eye(64))
     code = ann.codes(x, centre, turned)
     assert code[0].dtype == np.uint8 and code[0].shape == (3000, 48)
-    estimate, slack = ann.bounds(code, q, centre, turned, ann.CONFIDENCE)
+    estimate, slack = ann.bounds(code, ann.Asked(q, centre, turned), slice(0, 50), ann.CONFIDENCE)
     error = estimate - x @ q.T
     assert (np.abs(error) > slack).mean() < 0.001
     # No bias; the spread is what 384 bits leave: about 0.75 of the lengths' product over the root of 384.
     spread = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None, :] / 384**0.5
     assert abs((error / spread).mean()) < 0.05 and 0.6 < (error / spread).std() < 0.9
+
+
+def test_counts_of_bits_are_the_product_with_the_whole_numbers():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(70, 20)), rng.normal(size=(9, 20))
+    centre, turned = x.mean(axis=0), ann.rotation(20, 1)
+    asked = ann.Asked(q, centre, turned)
+    code = ann.codes(x, centre, turned)
+    signs = np.unpackbits(code[0], axis=1).astype(float) * 2 - 1
+    aimed = (q / np.linalg.norm(q, axis=1)[:, None]) @ turned
+    whole = np.rint((aimed - asked.low[:, None]) / asked.step[:, None])
+    rough = whole * asked.step[:, None] + asked.low[:, None]
+    want = (signs @ rough.T) * (code[1] * code[2] / np.sqrt(turned.shape[1]))[:, None] * asked.length + q @ centre
+    assert 0 <= whole.min() and whole.max() == 15 and np.allclose(ann.bounds(code, asked, slice(0, 9), 4.0)[0], want)
+
+
+def test_vectors_are_read_for_few_pairs_only(spark, monkeypatch):
+    """The scan reads codes alone; what it hands on is a small share of all pairs."""
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings")
+    asked = []
+    saved = ann.saved
+
+    def noted(df, name):
+        if name == "codes":
+            assert df.columns == ["key_a", "key_b", "code", "far", "correction", "scale"]
+        out = saved(df, name)
+        if name == "near":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(ann, "saved", noted)
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(rows).collect())
+    n = rows.count()
+    assert found == brute([(r.vec_id, r.embedding) for r in rows.collect()])
+    assert sum(asked) < 0.2 * n * (n // 20)  # of 2,000 vectors, of which 20 are wanted; fewer of more
+
+
+def test_many_ids_of_one_vector(spark):
+    rng = np.random.default_rng(9)
+    one = [float(c) for c in rng.normal(size=8).astype(np.float32)]
+    rows = [(i, one) for i in range(300)] + [(i, [float(c) for c in rng.normal(size=8).astype(np.float32)]) for i in range(300, 340)]
+    found = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(frame(spark, rows)).collect())
+    assert found == brute(rows)
+    kinds = ann._kinds(ann.usable(frame(spark, rows)).distinct(), 20).collect()
+    assert len(kinds) == 41 and max(len(r.ids) for r in kinds) == 21
