@@ -210,7 +210,7 @@ def contamination(
     )
     waiting: list = []
     passes = 0
-    for block in _blocks(_item_parts(benchmark, window), block_bytes):
+    for block in _blocks(saved(_item_parts(benchmark, window), "items"), block_bytes):
         if len(waiting) == blocks_a_pass:
             state = saved(state.mapInArrow(_scanner(waiting, window), state.schema), "hits")
             waiting, passes = [], passes + 1
