@@ -123,3 +123,16 @@ def connected_components(links: DataFrame) -> DataFrame:
             "labels",
         )
     return labels.select("node", "label")
+
+
+def bounded(chosen: DataFrame, rows: int, size: int) -> DataFrame:
+    """About ``rows`` rows of ``chosen`` at most, whose texts hold about ``size`` bytes together at most.
+
+    Rows are kept by a hash of id and text, so one id that very many rows carry counts as its rows do.
+    """
+    n, total = chosen.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    share = min(1.0, rows / max(n, 1), size / max(total, 1))
+    if share == 1.0:
+        return chosen
+    spread = F.pmod(F.xxhash64("doc_id", "text", F.lit("bounded")), F.lit(1 << 30)) / float(1 << 30)
+    return chosen.where(spread < share)

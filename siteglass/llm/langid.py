@@ -18,11 +18,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import PIECE_BYTES, slices
+from siteglass.llm.common import PIECE_BYTES, bounded, saved, slices
 
 UNKNOWN = "und"
 #: Labelled rows the model is fitted on, shared among the languages (20 each at least).
 SAMPLE_ROWS = 1600
+#: Bytes of text they hold together at most.
+SAMPLE_BYTES = 64 << 20
 #: Calibrated probability below which a text is rejected.
 LEAST_PROBABILITY = 0.4
 BUCKETS, WIDTH, EPOCHS, BATCH, RATE = 1 << 15, 8, 6, 64, 4.0
@@ -87,15 +89,16 @@ def may_learn(docs: DataFrame, label: str) -> DataFrame:
 
 
 def sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
-    """About ``rows`` labelled rows, or 20 a label: equally many of each, chosen by a hash of their id.
-
-    The choice reads ids and labels alone; the chosen ids are bounded and thus broadcast.
-    """
+    """About ``rows`` labelled rows, or 20 a label, of :data:`SAMPLE_BYTES` at most: equally many of each label, chosen
+    by a hash of id and text, so that an id on very many rows counts as its rows do."""
     counts = docs.groupBy(label).agg(F.count("*").alias("rows_of_label"))
-    share = max(20, rows // (counts.count() or 1))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.select("doc_id", label).join(counts, label).where(spread < share / F.col("rows_of_label"))
-    return docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    labels = counts.count() or 1
+    share = max(20, rows // labels)
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    # One small row a label, as long as labels are few; the texts then stay where they are.
+    small = F.broadcast(counts) if labels <= 100_000 else counts
+    chosen = docs.join(small, label).where(spread < share / F.col("rows_of_label")).drop("rows_of_label")
+    return bounded(saved(chosen, "sample"), 2 * share * labels, SAMPLE_BYTES)
 
 
 def train(docs: DataFrame, label: str = "lang", rows: int = SAMPLE_ROWS, least: float = LEAST_PROBABILITY, seed: int = 7) -> Model:

@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteglass.llm.common import slices
+from siteglass.llm.common import bounded, slices
 
 #: Labelled rows the model is fitted on, about.
 SAMPLE_ROWS = 4000
+#: Bytes of text they hold together at most.
+SAMPLE_BYTES = 64 << 20
 BUCKETS, EPOCHS = 1 << 18, 4
 #: Step size and its offset, and the two penalties, of the updates.
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
@@ -85,7 +87,8 @@ def _features(hasher: _Hasher, texts: list[bytes]) -> Iterator[tuple[int, np.nda
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """About ``rows`` rows (key, text, label) of ``docs`` with a label of 0 or 1, chosen by a hash of their id.
+    """About ``rows`` rows (key, text, label) of ``docs`` with a label of 0 or 1 at most, of :data:`SAMPLE_BYTES` at most, chosen
+    by a hash of their id, and of id and text where these are more rows than ids.
 
     The chosen ids are bounded by ``rows`` and thus broadcast.
     """
@@ -93,7 +96,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     n = known.count()
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(spread < rows / max(n, 1)).distinct()
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id").alias("key"), "text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return bounded(found, rows + rows // 4, SAMPLE_BYTES).select(F.xxhash64("doc_id").alias("key"), "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
@@ -162,15 +166,18 @@ def score(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
         hasher, known = _Hasher(), shared.value
         for batch in batches:
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-            for first, texts in slices(batch, "__text"):
+            for first, texts in slices(batch, held):
                 for i, ids in _features(hasher, [t or b"" for t in texts]):
                     total[first + i] += known.weights[ids].sum(dtype=np.float64)
                     n[first + i] += len(ids)
             logits = np.clip(total / np.sqrt(np.maximum(n, 1)) + known.bias, -35, 35)
-            columns = {c: batch.column(c) for c in batch.schema.names if c not in (to, "__text")}
+            columns = {c: batch.column(c) for c in batch.schema.names if c not in (to, held)}
             columns[to] = pa.array(1 / (1 + np.exp(-logits)), pa.float64())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     plain = docs.drop(to)
+    held = "__text"
+    while held in plain.columns:
+        held += "_"
     schema = plain.withColumn(to, F.lit(0.0)).schema
-    return plain.withColumn("__text", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return plain.withColumn(held, F.col("text").cast("binary")).mapInArrow(run, schema)

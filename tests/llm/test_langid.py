@@ -71,3 +71,8 @@ def test_long_text_scores_like_a_short_one(monkeypatch):
     monkeypatch.setattr(langid, "PIECE_BYTES", 500)
     assert len(text) > 3 * langid.PIECE_BYTES
     assert np.allclose(langid._long_scores(model, text), langid._scores(model, [text])[0])
+
+
+def test_one_id_on_very_many_rows_stays_bounded(spark):
+    docs = spark.range(20_000).selectExpr("3L as doc_id", "concat('some text ', id) as text", "if(id % 2 = 0, 'en', 'fr') as lang")
+    assert 100 < langid.sample(docs, "lang", 200).count() < 900

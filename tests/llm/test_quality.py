@@ -54,3 +54,19 @@ def test_labels_of_repeated_ids(spark):
     labels = table(spark, SF, "labels").where(F.col("doc_id") < 100)
     twice = quality.labelled_sample(documents(spark), labels.union(labels), "quality", 4000)
     assert twice.count() == quality.labelled_sample(documents(spark), labels, "quality", 4000).count()
+
+
+def test_one_id_on_very_many_rows_stays_bounded(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.lit(3).cast("bigint").alias("doc_id"), F.concat(F.lit("some text "), F.col("id")).alias("text"))
+    labels = spark.createDataFrame([(3, 1), (4, 0)], "doc_id bigint, quality int")
+    n = quality.labelled_sample(docs, labels, "quality", 500).count()
+    assert 400 < n < 850
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 2000)
+    assert 40 < quality.labelled_sample(docs, labels, "quality", 5000).count() < 250
+    assert quality.train(docs, labels, rows=50).bias != 0
+
+
+def test_a_column_of_the_same_name_stays(spark, model):
+    docs = spark.createDataFrame([(1, "a text", "own", 7)], "doc_id bigint, text string, __text string, __text_ int")
+    row = quality.score(docs, model).collect()[0]
+    assert (row["__text"], row["__text_"]) == ("own", 7) and 0 <= row.score <= 1
