@@ -9,10 +9,12 @@ confirms is masked in the text.
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteglass.llm.common import row_key, saved
@@ -48,10 +50,12 @@ DICTIONARY = tuple(
 KEYWORDS = r"(?i)(token|secret|passw(or)?d|pwd|credential|api[_-]?key|access[_-]?key|auth|bearer)"
 # Characters of a finding whose pairs are gathered at once.
 _PIECE = 512
+#: Words before a candidate that say it is a checksum or a name given by a machine.
+DIGESTS = r"(?i)(commit|sha\d*|md5|checksum|digest|hash|etag|revision|request|uuid|trace)\W{1,3}$"
 FEATURES = (
     "size", "digits", "uppers", "lowers", "symbols", "transitions", "distinct_pairs", "vowels",
     "covered", "dots", "slashes", "at_signs", "keyword_before", "assigned", "quoted", "hex_only",
-    "words_before", "words_after",
+    "words_before", "words_after", "digest_before", "called",
 )
 #: Labelled findings that a forest is fitted on at most.
 TRAINING_ROWS = 20_000
@@ -124,6 +128,8 @@ def with_features(found: DataFrame) -> DataFrame:
         "hex_only": F.col("finding").rlike("^[0-9a-f]+$|^[0-9A-F]+$").cast("int"),
         "words_before": F.regexp_count("before", F.lit("[A-Za-z]{2,}")),
         "words_after": F.regexp_count("after", F.lit("[A-Za-z]{2,}")),
+        "digest_before": F.right("before", F.lit(30)).rlike(DIGESTS).cast("int"),
+        "called": F.col("finding").rlike(r"^[<$({\[]|[)>}\]]$").cast("int"),
     }
     return found.select("*", *[numbers[name].cast("double").alias(name) for name in FEATURES])
 
@@ -138,7 +144,7 @@ def secret_by_rule() -> Column:
 
 
 def seed_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings where nobody has labelled any: ``label`` 1 for formats that issuers
+    """Findings labelled by rule, to hold a forest against and for one without a model: ``label`` 1 for formats that issuers
     fix and for values given to a credential word that are hexadecimal or mix letters with digits
     or signs, 0 for runs of letters, names, addresses and placeholders. What fits neither stays
     out of training and is left to the forest."""
@@ -146,7 +152,83 @@ def seed_labels(found: DataFrame) -> DataFrame:
     return found.withColumn("label", F.when(secret_by_rule(), 1.0).when(plain, 0.0)).where("label is not null")
 
 
-def train(labelled: DataFrame, rows: int = TRAINING_ROWS, trees: int = 24, depth: int = 6, seed: int = 11) -> RandomForestClassificationModel | None:
+# Findings whose label doesn't come from a rule: values made at random in the places where they are met. Braces
+# name what is made (see _made); the first group are secrets, the second look like them and are none.
+PLANTED = {
+    1.0: (
+        "key {issued} in use", "remote: {granted} was pushed", 'token = "{hex40}"', "api_key: {hex32}", "password={hex20}", "secret='{base64}'",
+        "then came {mixed32} and more", "run with {mixed24}", "mysql -p{mixed20}", "id -{mixed32} end", 'password = "{signs}"', '{{"passwd": "{signs}"}}',
+        "pwd: {mixed12}", "Authorization: Bearer {bearer}", "aws_secret_access_key={mixed40}", "credential={base64}", "auth := `{mixed16}`",
+        "hook {chat} for the channel", "-----BEGIN RSA PRIVATE KEY-----\n{base64}\n-----END RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----\n{mixed12}\n{mixed16}==\n-----END PRIVATE KEY-----", "{issued}", "passphrase => {signs}", "SECRET_KEY = '{mixed48}'",
+    ),
+    0.0: (
+        "see {word}{word}{word} for that", "open https://www.{word}.com/{word}/{word}-{word}.html now", "write to {word}.{word}@mail.{word}.org please",
+        "in /usr/local/{word}/{word}_{word}.py there", "commit {hex40} was merged", "sha256:{hex64} of the file", "checksum {hex32} agrees", "request {uuid} failed",
+        "class {Word}{Word}{Word}Factory here", "password = ${{{WORD}_{WORD}_PASSWORD}}", "token = get_{word}_{word}()", "password: {word}{word}", 'password = "example{word}{two}"', 'api_key: "your_{word}_key_{two}"', "secret = <your-{word}-here>",
+        "ISBN 978-3-16-{digits}-0 sold", "built v{two}.{two}.{two}-beta.{two}-linux today", "with release-{two}.{two}.{two}-{word}", "{Word}{word}{word}{word} at first", "{Letters} it was", "then {letters} too", "So. {Letters}", "{word}.{two}@mail{two}.{word}.com wrote", "set {WORD}_{WORD}_{WORD}_COUNT to it",
+        "auth: {word}.{word}.{word}.{word}", "etag {hex32} unchanged", "call {digits}{digits} at noon", "tokens: {word}-{word}-{word}", "a/{word}/{word}/{word}/{word} path",
+    ),
+}
+#: Planted findings that are made.
+PLANTED_ROWS = 6_000
+
+
+def _made(seed: Column) -> dict[str, Column]:
+    """Random text of each kind that a template may name, from a number."""
+    digest = [F.sha2(F.concat(seed.cast("string"), F.lit(f"/{k}")), 512) for k in range(8)]
+    base64 = [F.base64(F.unhex(d)) for d in digest]
+    mixed = F.regexp_replace(F.concat(base64[0], base64[1]), "[^A-Za-z0-9]", "")
+    words = F.array(*map(F.lit, sorted(w for w in DICTIONARY if len(w) > 3)))
+    word = [F.element_at(words, (F.conv(F.substr(digest[7], F.lit(4 * k + 1), F.lit(4)), 16, 10).cast("int") % F.size(words) + 1).cast("int")) for k in range(8)]
+    return {
+        "issued": F.concat(F.lit("AKIA"), F.left(F.regexp_replace(F.upper(F.concat(base64[2], base64[3])), "[^A-Z2-7]", ""), F.lit(16))),
+        "granted": F.concat(F.lit("ghp_"), F.left(mixed, F.lit(36))), "chat": F.concat(F.lit("xoxb-"), F.left(F.conv(F.left(digest[4], F.lit(10)), 16, 10), F.lit(10)), F.lit("-"), F.left(mixed, F.lit(20))),
+        **{f"hex{n}": F.left(digest[5], F.lit(n)) for n in (20, 32, 40, 64)}, **{f"mixed{n}": F.left(mixed, F.lit(n)) for n in (12, 16, 20, 24, 32, 40, 48)},
+        "base64": F.left(base64[6], F.lit(44)), "signs": F.concat(F.left(mixed, F.lit(5)), F.translate(F.left(digest[2], F.lit(3)), "0123456789abcdef", "!#%&*?+~^!#%&*?+"), F.right(mixed, F.lit(4))),
+        "bearer": F.concat(F.left(mixed, F.lit(9)), F.lit("-"), F.right(mixed, F.lit(8)), F.lit("."), F.substr(mixed, F.lit(20), F.lit(9))),
+        "uuid": F.regexp_replace(F.left(digest[3], F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
+        "digits": F.lpad(F.left(F.conv(F.left(digest[1], F.lit(12)), 16, 10), F.lit(8)), 8, "7"), "two": F.right(F.conv(F.left(digest[1], F.lit(12)), 16, 10), F.lit(2)),
+        "letters": F.translate(F.left(digest[6], F.conv(F.left(digest[0], F.lit(1)), 16, 10).cast("int") + 16), "0123456789abcdef", "etaoinshrdlaeiou"),
+        "words": F.array(*word),
+    }
+
+
+def planted_findings(spark: SparkSession, rows: int = PLANTED_ROWS) -> DataFrame:
+    """Labelled findings as :func:`candidates` gives them, with ``label`` and ``template``: :data:`PLANTED`, filled at random.
+
+    About as many of either label; the same rows every time.
+    """
+    made = {name: value.alias(name) for name, value in _made(F.col("id")).items()}
+    numbers = spark.range(rows).select("id", *made.values())
+    parts = []
+    for label, templates in PLANTED.items():
+        place = (F.floor(F.col("id") / 2) % len(templates) + 1).cast("int")
+        # Among other words, so that the number of these says nothing.
+        around = [F.array_join(F.slice(F.reverse("words") if k else F.col("words"), F.lit(1), (F.floor(F.col("id") / (7 + k)) % 8).cast("int")), " ") for k in range(2)]
+        text = F.concat(around[0], F.lit(" "), F.element_at(F.array(*map(_filled, templates)), place), F.lit(" "), around[1])
+        parts.append(numbers.where(F.col("id") % 2 == int(label)).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit(label).alias("label"), place.alias("template")))
+    docs = saved(parts[0].union(parts[1]), "planted")
+    found = saved(candidates(docs).join(docs.select("doc_id", "label", "template"), "doc_id"), "planted_findings")
+    # The name before a value may be proposed as well; it is no secret.
+    last = found.groupBy("doc_id").agg(F.max("place").alias("last"))
+    return found.join(last, "doc_id").withColumn("label", F.when(F.col("place") == F.col("last"), F.col("label")).otherwise(0.0)).drop("last")
+
+
+def _filled(template: str) -> Column:
+    """The template with what its braces name; each word is another one."""
+    pieces, word = [], 0
+    for text, name, _, _ in Formatter().parse(template):
+        pieces.append(F.lit(text))
+        if name in ("word", "Word", "WORD"):
+            one = F.get("words", F.lit(word))
+            pieces.append({"word": one, "Word": F.initcap(one), "WORD": F.upper(one)}[name])
+            word += 1
+        elif name:
+            pieces.append(F.initcap("letters") if name == "Letters" else F.col(name))
+    return F.concat(*pieces)
+
+
+def train(labelled: DataFrame, rows: int = TRAINING_ROWS, trees: int = 40, depth: int = 8, seed: int = 11) -> RandomForestClassificationModel | None:
     """A forest from findings with features and ``label`` (1 secret, 0 not).
 
     Fitted on at most about ``rows`` of them, chosen by a hash, equally many of each label
@@ -182,13 +264,13 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     """All candidates of ``docs`` (doc_id, text), judged: key_a, key_b, doc_id, place, finding,
     before, after, probability, is_secret.
 
-    ``labelled``: findings as :func:`candidates` gives them, with a ``label``; without any,
-    :func:`seed_labels` labels those of ``docs``.
+    ``labelled``: findings as :func:`candidates` gives them, with a ``label``; without any, the forest
+    learns from :func:`planted_findings`, whatever ``docs`` holds.
     """
     found = saved(candidates(docs).distinct(), "candidates")
     featured = with_features(found)
-    known = seed_labels(featured) if labelled is None else with_features(labelled)
-    return judged(featured, train(known), threshold)
+    known = planted_findings(docs.sparkSession) if labelled is None else labelled
+    return judged(featured, train(with_features(known)), threshold)
 
 
 def redacted(docs: DataFrame, judgements: DataFrame, mask: str = "[SECRET]") -> DataFrame:
