@@ -46,7 +46,7 @@ def comparables(df: DataFrame, low: float = 0.7, high: float = 1.3, n: int = 5)
     Ties in capacity go to the lower ``ref_id``. The call itself reads ``df``: it
     runs the pass and keeps its results in the checkpoint folder, which it needs.
     """
-    return _answered(_comparable(df), _comparable(first_by_name(df)), low, high, n)
+    return _answered(_layout(df, high), low, n)
 
 
 def comparables_among(df: DataFrame, names: DataFrame, low: float = 0.7, high: float = 1.3, n: int = 5) -> DataFrame:
@@ -62,7 +62,7 @@ def comparables_among(df: DataFrame, names: DataFrame, low: float = 0.7, high: f
     # A few names are looked up at the scan, like one.
     held = df.where(F.col("site_name").isin(few)) if len(few) <= _FEW_NAMES else df.join(wanted, "site_name", "left_semi")
     chosen = _comparable(first_by_name(held)).checkpoint()
-    return _answered(_comparable(df).where(_in_bands(chosen, low, high)), chosen, low, high, n)
+    return _answered(_laid_out(_comparable(df).where(_in_bands(chosen, low, high)), chosen, high), low, n)
 
 
 def _in_bands(questions: DataFrame, low: float, high: float) -> Column:
@@ -96,12 +96,12 @@ def _in_bands(questions: DataFrame, low: float, high: float) -> Column:
     return reduce(or_, own, odd)
 
 
-def _answered(rows: DataFrame, questions: DataFrame, low: float, high: float, n: int) -> DataFrame:
-    """Comparables among ``rows`` of every question, both of the columns of :func:`_comparable`."""
-    ensure_checkpoint_dir(rows.sparkSession)
+def _answered(laid: DataFrame, low: float, n: int) -> DataFrame:
+    """Comparables of every question among the rows of a layout."""
+    ensure_checkpoint_dir(laid.sparkSession)
     # Answers and summaries come out of one pass, so its results are kept where lost
     # executors cannot take them along. Each slice stays one partition.
-    passed = _read_in_order(_layout(rows, questions, high), ["slice", "technology"], _reader(n, low)).checkpoint()
+    passed = _read_in_order(laid, ["slice", "technology"], _reader(n, low)).checkpoint()
     asked = passed.where(F.col("kind") == QUESTION)
     answers = asked.join(_inherited_rows(passed, n), ["slice", "technology"], "left").select(
         "technology",
@@ -173,7 +173,12 @@ def _comparable(df: DataFrame) -> DataFrame:
     )
 
 
-def _layout(rows: DataFrame, questions: DataFrame, high: float) -> DataFrame:
+def _layout(df: DataFrame, high: float) -> DataFrame:
+    """All rows, and the question of every name, in slices by range."""
+    return _laid_out(_comparable(df), _comparable(first_by_name(df)), high)
+
+
+def _laid_out(rows: DataFrame, questions: DataFrame, high: float) -> DataFrame:
     """Rows and questions in slices by range. Only this and the first record per name move rows."""
     asked = _events(questions, F.col("capacity_mw") * F.lit(high), QUESTION)
     laid = _events(rows, F.col("capacity_mw"), ROW).unionByName(asked).repartitionByRange("technology", "at", "kind", F.desc("ref_id"))
