@@ -25,7 +25,7 @@ SAMPLE_ROWS = 16384
 #: Queries broadcast at once, and codes and queries estimated at once.
 QUERY_BLOCK, CODE_BLOCK, ASKED_BLOCK = 16384, 1024, 128
 #: Bits of a query's component.
-PLANES = 4
+PLANES = 3
 #: Bits of a code: six for each dimension, 384 at least, in whole words.
 BITS_A_DIMENSION, LEAST_BITS = 6, 384
 #: Width of the error bound, in standard deviations of the estimate.
@@ -106,10 +106,12 @@ def bounds(code: tuple, asked: Asked, chosen: slice, confidence: float) -> tuple
     common = np.zeros((len(words), len(asked.low[chosen])), dtype=np.int32)
     both, counted = np.empty(common.shape, np.uint64), np.empty(common.shape, np.uint8)
     for j, plane in enumerate(asked.planes):
+        held = np.zeros(common.shape, np.uint16)
         for w in range(words.shape[1]):
             np.bitwise_and(words[:, w, None], plane[chosen, w][None, :], out=both)
             np.bitwise_count(both, out=counted)
-            common += counted.astype(np.int32) << j if j else counted
+            held += counted
+        common += held.astype(np.int32) << j
     ones = np.bitwise_count(words).sum(axis=1, dtype=np.int64)
     # Signs are twice the bits less one.
     signed = (2 * common - asked.total[chosen]) * asked.step[chosen] + asked.low[chosen] * (2 * ones - bits)[:, None]
@@ -166,16 +168,22 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, confidence: float =
     for block in _query_blocks(queries, query_block):
         asked, ids = _matrix(block.column("vector"), size), block.column("vec_id").to_numpy()
         shared = spark.sparkContext.broadcast((ids, asked, _floors(ids, asked, sample_ids, sample, k), Asked(asked, centre, turned)))
-        near = saved(coded.mapInArrow(_scanner(shared, k, confidence), "query int, key_a bigint, key_b bigint, lower double, upper double"), "near")
-        scored = _fetched(near, kinds, k).mapInArrow(_scorer(shared, size), "query int, query_id bigint, ids array<bigint>, score double")
+        near = saved(coded.mapInArrow(_scanner(shared, k, confidence), _NEAR), "near")
+        floor = spark.sparkContext.broadcast(_common_floors(near, len(ids), k))
+        hits = near.where("key_a is not null").mapInArrow(_pruner(floor), _NEAR).select("key_a", "key_b", "queries")
+        scored = kinds.join(hits, ["key_a", "key_b"]).select("vector", "ids", "queries").mapInArrow(
+            _scorer(shared, size, k), "query int, query_id bigint, ids array<bigint>, score double"
+        )
         each = scored.select("query", "query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
         order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
         ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         found.append(saved(ranked.select("query_id", "rank", "vec_id", "score"), "nearest"))
         shared.destroy()  # the block's result is kept; the next block takes its place
+        floor.destroy()
     return reduce(DataFrame.union, found, empty)
 
 
+_NEAR = "key_a bigint, key_b bigint, queries array<int>, bounds array<double>"
 _CODE = "key_a bigint, key_b bigint, code binary, far double, correction double, scale double"
 
 
@@ -218,13 +226,25 @@ def _floors(ids: np.ndarray, asked: np.ndarray, sample_ids: np.ndarray, sample:
     return floors
 
 
+def _lists(rows: np.ndarray, n: int, *values: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """Rows (of n) that have any values, and lists of these; ``rows`` says whose each value is, in order."""
+    counts = np.bincount(rows, minlength=n)
+    held = np.flatnonzero(counts)
+    ends = pa.array(np.append(0, np.cumsum(counts[held])).astype(np.int32))
+    return held, [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
+
+
 def _scanner(shared, k: int, confidence: float):
-    """Of the codes in a task, those that may be near: their bounds by query. Reads no vector."""
+    """Of the codes in a task, those that may be near: the queries and upper bounds of each. Reads no vector.
+
+    A last row without key has the task's greatest lower bounds of each query.
+    """
 
     def run(batches):
         ids, _, floors, asked = shared.value
         # One more than wanted: a query's own vector may be among them.
         best = _Best(k + 1, floors)
+        names = ["key_a", "key_b", "queries", "bounds"]
         for batch in batches:
             bits = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
             scalars = [batch.column(c).to_numpy() for c in ("far", "correction", "scale")]
@@ -238,43 +258,78 @@ def _scanner(shared, k: int, confidence: float):
                     hits.append((v, q + j, (estimate - slack)[v, q], (estimate + slack)[v, q]))
                 v, q, lower, upper = map(np.concatenate, zip(*hits))
                 best.add(q, lower)
-                keep = upper >= best.floor[q]
-                rows = pa.array(v[keep] + i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q[keep].astype(np.int32)), batch.column("key_a").take(rows), batch.column("key_b").take(rows), pa.array(lower[keep]), pa.array(upper[keep])],
-                    ["query", "key_a", "key_b", "lower", "upper"],
-                )
+                keep = np.flatnonzero(upper >= best.floor[q])
+                keep = keep[np.argsort(v[keep], kind="stable")]
+                held, lists = _lists(v[keep], len(code[0]), q[keep].astype(np.int32), upper[keep])
+                rows = pa.array(held + i)
+                yield pa.RecordBatch.from_arrays([batch.column("key_a").take(rows), batch.column("key_b").take(rows), *lists], names)
+        none = pa.nulls(1, pa.int64())
+        _, lists = _lists(np.zeros(len(best.query), np.int64), 1, best.query.astype(np.int32), best.score)
+        if len(lists[0]):
+            yield pa.RecordBatch.from_arrays([none, none, *lists], names)
 
     return run
 
 
-def _fetched(near: DataFrame, kinds: DataFrame, k: int) -> DataFrame:
-    """The vectors that may be nearest after all tasks' bounds are known, each once, with the queries it is near to."""
-    order = Window.partitionBy("query").orderBy(F.desc("lower"))
-    # One row for each query of a block.
-    floors = near.select("query", "lower").withColumn("place", F.row_number().over(order)).where(F.col("place") == k + 1)
-    kept = near.join(F.broadcast(floors.select("query", F.col("lower").alias("floor"))), "query", "left").where("floor is null or upper >= floor")
-    by_vector = kept.groupBy("key_a", "key_b").agg(F.collect_list("query").alias("queries"))
-    return kinds.join(by_vector, ["key_a", "key_b"]).select("vector", "ids", "queries")
+def _common_floors(near: DataFrame, n: int, k: int) -> np.ndarray:
+    """For each of n queries the (k + 1)-th greatest lower bound of all tasks; a number for each query of a block."""
+    lows = near.where("key_a is null").select(F.explode(F.arrays_zip("queries", "bounds")).alias("b")).select("b.queries", "b.bounds")
+    place = F.row_number().over(Window.partitionBy("queries").orderBy(F.desc("bounds")))
+    floors = np.full(n, -np.inf)
+    for query, low in lows.withColumn("place", place).where(F.col("place") == k + 1).select("queries", "bounds").collect():
+        floors[query] = low
+    return floors
+
+
+def _pruner(floor):
+    """The rows of a scan without the queries that bounds of other tasks rule out."""
+
+    def run(batches):
+        for batch in batches:
+            queries, uppers = batch.column("queries"), batch.column("bounds")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(np.asarray(queries.offsets)))
+            query, upper = queries.flatten().to_numpy(), uppers.flatten().to_numpy()
+            keep = upper >= floor.value[query]
+            held, lists = _lists(row[keep], batch.num_rows, query[keep], upper[keep])
+            rows = pa.array(held)
+            yield pa.RecordBatch.from_arrays([batch.column("key_a").take(rows), batch.column("key_b").take(rows), *lists], batch.schema.names)
+
+    return run
 
 
-def _scorer(shared, size: int):
-    """Exact scores of fetched vectors."""
+def _scorer(shared, size: int, k: int):
+    """Exact scores of fetched vectors: of each query the k + 1 nearest in a task, ties to the smaller id."""
 
     def run(batches):
         ids, asked, _, _ = shared.value
+        query, score, least, names = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object)
+        floor = np.full(len(ids), -np.inf)
         for batch in batches:
-            step = max(1, (1 << 22) // (8 * size * max(1, max(map(len, batch.column("queries").to_pylist()), default=1))))
+            counts = np.diff(np.asarray(batch.column("queries").offsets))
+            step = max(1, (1 << 22) // (8 * size * max(1, int(counts.max(initial=1)))))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 own = _matrix(part.column("vector"), size)
-                near = part.column("queries")
-                counts = np.diff(np.asarray(near.offsets))
-                query = near.flatten().to_numpy()
-                row = np.repeat(np.arange(len(own)), counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query), pa.array(ids[query]), part.column("ids").take(pa.array(row)), pa.array(exact(own[row], asked[query]))],
-                    ["query", "query_id", "ids", "score"],
-                )
+                near = part.column("queries").flatten().to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(len(own)), counts[i : i + step])
+                new = exact(own[row], asked[near])
+                reach = new >= floor[near]
+                held = np.empty(len(own), object)
+                held[:] = part.column("ids").to_pylist()
+                first = np.array([x[0] for x in held], dtype=np.int64)
+                row, near, new = row[reach], near[reach], new[reach]
+                query, score = np.append(query, near), np.append(score, new)
+                least, names = np.append(least, first[row]), np.append(names, held[row])
+                order = np.lexsort((least, -score, query))
+                query, score, least, names = query[order], score[order], least[order], names[order]
+                place = np.arange(len(query)) - np.searchsorted(query, query)
+                last = place == k
+                floor[query[last]] = score[last]
+                keep = place <= k
+                query, score, least, names = query[keep], score[keep], least[keep], names[keep]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query.astype(np.int32)), pa.array(ids[query]), pa.array(names.tolist(), pa.list_(pa.int64())), pa.array(score)],
+            ["query", "query_id", "ids", "score"],
+        )
 
     return run
