@@ -1,6 +1,7 @@
 """Score, filters, summaries, offshore model and briefs on hand-worked rows."""
 
 import datetime
+import decimal
 import math
 import random
 
@@ -280,6 +281,16 @@ def test_equal_totals_rank_by_key_however_rows_are_partitioned(spark):
     assert len(plain) > 2  # what plain sums make of the same rows
 
 
+def test_sums_are_those_of_the_numbers_as_written(spark):
+    rng = random.Random(4)
+    kinds = [lambda: round(rng.uniform(-2e9, 2e9), rng.randint(0, 9)), lambda: rng.uniform(-5, 5), lambda: rng.randint(-50, 50) / 10, lambda: 123456.789012, lambda: -0.000001]
+    for kind in [*kinds, lambda: rng.choice(kinds)()]:
+        values = [kind() for _ in range(300)]
+        df = spark.createDataFrame([(i, "n", "T", v, "r", "s", 1) for i, v in enumerate([*values, None])], PROJECT_SCHEMA)
+        want = sum(decimal.Decimal(repr(v)).quantize(decimal.Decimal("1e-12"), decimal.ROUND_HALF_UP) for v in values)
+        assert [r.capacity_mw for r in sg.capacity_by(df, "technology").collect()] == [float(want)]
+
+
 def test_sums_of_numbers_that_no_decimal_holds(spark):
     rows = [(i, "n", t, v, "r", "s", 1) for i, (t, v) in enumerate([("A", 1e300), ("A", 2.5), ("B", float("inf")), ("B", 1.0), ("C", None), ("D", -1e17), ("D", 0.1)])]
     df = spark.createDataFrame(rows, PROJECT_SCHEMA).repartition(3)
