@@ -23,10 +23,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates: texts linked by a
-    similarity of 0.8 or more of their five-word shingles. The three words and two bits of
-    ``op9_simhash`` find practically exact copies only."""
-    return simhash.without_near_duplicates(docs, groups=shingles.near_duplicates)
+    """Keeps the document with the smallest id of each group of near duplicates: texts whose SimHash
+    fingerprints of 256 bits over five-word shingles are near, linked where the shingles have a similarity of
+    0.8 or more. The three words and two bits of ``op9_simhash`` find practically exact copies only."""
+    return simhash.without_near_duplicates(docs, groups=shingles.by_fingerprints)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

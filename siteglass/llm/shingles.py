@@ -1,8 +1,9 @@
 """Near duplicates by word shingles: texts whose sets of shingles have a Jaccard similarity of at
 least a given one.
 
-Texts with equal sets collapse to one row first. Least values of the sets under many
-permutations, taken in bands, propose who may be similar: everyone in a bucket of a band is
+Texts with equal sets collapse to one row first. Wide SimHash fingerprints of the sets (``by_fingerprints``)
+or least values under many permutations, taken in bands (``near_duplicates``), propose who may be similar.
+Near fingerprints hand on a spanning forest of their links; everyone in a bucket of a band is
 tied to its smallest member, never to all. These ties are checked on the shingles themselves.
 Where what is tied together isn't confirmed as one group, all pairs between its parts are
 checked, in tiles. Components of the confirmed links are found by joins.
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteglass.llm.common import connected_components, parts, saved
-from siteglass.llm.simhash import SEED, word_lists
+from siteglass.llm.simhash import SEED, wide_fingerprint, wide_links, word_lists
 
 #: Words in a shingle, and the similarity from which two texts are near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -56,15 +57,17 @@ def bands(values: np.ndarray) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least.reshape(BANDS, ROWS))]
 
 
-def _mark(batches):
-    for batch in batches:
-        for part in parts(batch):
-            sets = [shingle_set(t or b"") for t in part.column("text").to_pylist()]
-            nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "node", "bands"],
-            )
+def _mark(sketch):
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch):
+                sets = [shingle_set(t or b"") for t in part.column("text").to_pylist()]
+                nodes = [xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets]
+                sketches = pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
+                columns = [part.column("doc_id"), pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), sketches]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "size", "sketch"])
+
+    return run
 
 
 def _sets(batches):
@@ -160,18 +163,33 @@ def _between_parts(tied: DataFrame, confirmed: DataFrame, sets: DataFrame, simil
     return within.union(across).mapInArrow(_compare(similarity), "src bigint, dst bigint")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def band_ties(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Ties (src, dst) of everyone in a bucket of a band to its smallest member."""
+    rows = distinct.select("node", F.explode("sketch").alias("band"))
+    hubs = saved(
+        rows.groupBy("band").agg(F.min("node").alias("dst"), F.max("node").alias("last")).where("dst <> last").select("band", "dst"), "hubs"
+    )
+    return rows.join(hubs, "band").where("node <> dst").select(F.col("node").alias("src"), "dst")
+
+
+def by_fingerprints(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """:func:`near_duplicates`, proposed by SimHash: every text whose wide fingerprint is near another's is checked."""
+    return near_duplicates(docs, similarity, wide_fingerprint, wide_links)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, sketch=bands, ties_of=band_ties) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, component_id, the smallest doc_id reachable
-    over texts of at least this similarity. ``doc_id`` names one text. Texts without words are alike."""
+    over texts of at least this similarity. ``doc_id`` names one text. Texts without words are alike.
+
+    ``sketch`` makes a list of numbers of a set; ``ties_of`` proposes links from these (node, size, sketch).
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    marked = saved(texts.mapInArrow(_mark, f"doc_id {kind}, node bigint, bands array<bigint>"), "marked")
-    distinct = saved(marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("bands").alias("bands")), "distinct")
-    rows = distinct.select("node", F.explode("bands").alias("band"))
-    hubs = saved(
-        rows.groupBy("band").agg(F.min("node").alias("dst"), F.max("node").alias("last")).where("dst <> last").select("band", "dst"), "hubs"
+    marked = saved(texts.mapInArrow(_mark(sketch), f"doc_id {kind}, node bigint, size int, sketch array<bigint>"), "marked")
+    distinct = saved(
+        marked.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.max("size").alias("size"), F.max("sketch").alias("sketch")), "distinct"
     )
-    ties = saved(rows.join(hubs, "band").where("node <> dst").select(F.col("node").alias("src"), "dst").distinct(), "ties")
+    ties = saved(ties_of(distinct, similarity).distinct(), "ties")
     tied = connected_components(ties)
     chosen = distinct.select("node", "least_id").join(tied.select("node"), "node", "left_semi")
     shown = texts.join(chosen, texts.doc_id == chosen.least_id).select("node", "text")

@@ -7,10 +7,15 @@ the radius in these counts, summed, so only tiles of neighbouring counts are com
 all others are skipped. A comparison is an exclusive or and a bit count over whole
 tiles; it hands on a spanning forest of its links, never all pairs. Components of the
 links are found by joins.
+
+Wide fingerprints, of 256 bits over distinct shingles, propose texts of a given similarity:
+the radius is the distance such texts have, and six standard deviations more. They are laid
+in tiles by the number of shingles, and tiles whose numbers allow the similarity are compared alike.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from itertools import product
 
@@ -26,6 +31,8 @@ SEED = 42
 #: Fingerprints in a tile on average, and rows of a tile compared at once.
 TILE, STRIP = 8192, 256
 _QUARTERS = (0, 16, 32, 48)
+#: Words of a wide fingerprint, wide fingerprints in a tile on average, and pairs of them compared at once.
+WIDE, WIDE_TILE, WIDE_PAIRS = 4, 16384, 1 << 17
 _BLANK = re.compile(rb"[ \t-\r]")
 
 
@@ -121,13 +128,18 @@ def near_links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFr
 
     ``distinct`` holds each fingerprint once, in a bigint column fp.
     """
-    celled = _celled(distinct)
-    # Crowded cells get several chunks. At most 17^4 cells exist, one row each: safe to broadcast.
+    pairs = _tile_pairs(_celled(distinct), "fp", _near_cells(radius), tile)
+    return pairs.mapInArrow(_compare(radius), "src bigint, dst bigint")
+
+
+def _tile_pairs(celled: DataFrame, column: str, steps: list[tuple[int, bool]], tile: int) -> DataFrame:
+    """Lists (ours, theirs) of ``column``: each two tiles whose cells are a step apart, once."""
+    # Crowded cells get several chunks. Cells are few (17^4 at most), one row each: safe to broadcast.
     sizes = F.broadcast(saved(celled.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")), "cells"))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk")
-    tiles = saved(celled.join(sizes, "cell").groupBy("cell", chunk).agg(F.collect_list("fp").alias("fps")), "tiles")
-    near = F.explode(F.array(*[F.struct(F.lit(d).alias("step"), F.lit(z).alias("same")) for d, z in _near_cells(radius)]))
-    ours = tiles.select("cell", F.col("chunk").alias("our_chunk"), F.col("fps").alias("ours"), near.alias("near")).select(
+    chunk = F.pmod(F.xxhash64(column), F.col("chunks")).cast("int").alias("chunk")
+    tiles = saved(celled.join(sizes, "cell").groupBy("cell", chunk).agg(F.collect_list(column).alias("members")), "tiles")
+    near = F.explode(F.array(*[F.struct(F.lit(d).alias("step"), F.lit(z).alias("same")) for d, z in steps]))
+    ours = tiles.select("cell", F.col("chunk").alias("our_chunk"), F.col("members").alias("ours"), near.alias("near")).select(
         (F.col("cell") + F.col("near.step")).alias("cell"), "our_chunk", "ours", "near.same"
     )
     # Each pair of tiles gets a key of its own.
@@ -136,11 +148,92 @@ def near_links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFr
     )
     return (
         pairs.where("not same or our_chunk <= chunk")
-        .join(tiles.withColumnRenamed("fps", "theirs"), ["cell", "chunk"])
-        .select("ours", "theirs").mapInArrow(_compare(radius), "src bigint, dst bigint")
+        .join(tiles.withColumnRenamed("members", "theirs"), ["cell", "chunk"])
+        .select("ours", "theirs")
     )
 
 
+def wide_fingerprint(values: np.ndarray) -> list[int]:
+    """Signed words of the bits set in over half of the distinct 64-bit values and of mixtures of these; none for no value."""
+    n, ones = len(values), np.zeros(64 * WIDE, dtype=np.int64)
+    for i in range(0, n, 255):  # sums of 255 bits fit a byte
+        some = values[i : i + 255]
+        mixed = [some]
+        for k in range(1, WIDE):
+            x = some + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            mixed.append(x ^ (x >> np.uint64(31)))
+        laid = np.stack(mixed, axis=1).astype("<u8").view(np.uint8)
+        ones += np.unpackbits(laid, axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > n, bitorder="little").view("<i8").tolist() if n else []
+
+
+def wide_radius(similarity: float, bits: int = 64 * WIDE) -> int:
+    """Bits in which texts of this Jaccard similarity differ: those expected, by the angle between them, and six deviations."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * share + 6 * math.sqrt(bits * share * (1 - share)))
+
+
+def _compare_wide(similarity: float):
+    radius, first = wide_radius(similarity), wide_radius(similarity, 64)
+
+    def links_of(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Both ends of links between members (ids, then words) of two tiles: a spanning forest of the near pairs."""
+        n, m = len(a[0]), len(b[0])
+        same = a[0][0] == b[0][0]  # a tile with itself
+        both = a[0] if same else np.concatenate([a[0], b[0]])
+        step = max(1, WIDE_PAIRS // m)
+        lefts, rights, waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+        def shrink() -> None:
+            root = forest(len(both), np.concatenate(lefts), np.concatenate(rights))
+            held = np.flatnonzero(root != np.arange(len(both)))
+            lefts[:], rights[:] = [held], [root[held]]
+
+        for i in range(0, n, step):
+            start = i if same else 0
+            apart = np.bitwise_count(a[1][i : i + step, None] ^ b[1][None, start:])
+            at = np.flatnonzero(apart.ravel() <= first)
+            x, y = at // (m - start) + i, at % (m - start) + start
+            bits = apart.ravel()[at].astype(np.int64)
+            for ours, theirs in zip(a[2:], b[2:]):
+                bits += np.bitwise_count(ours[x] ^ theirs[y])
+            near = bits <= radius
+            lefts.append(x[near])
+            rights.append(y[near] + (0 if same else n))
+            waiting += len(lefts[-1])
+            if waiting > 8 * (n + m):
+                shrink()
+                waiting = 0
+        shrink()
+        return both[lefts[0]], both[rights[0]]
+
+    def run(batches):
+        for batch in batches:
+            ours, theirs = batch.column("ours"), batch.column("theirs")
+            for k in range(batch.num_rows):
+                a, b = ([np.asarray(x.to_numpy()) for x in c[k].values.flatten()] for c in (ours, theirs))
+                src, dst = links_of(*([x[0], *(w.view(np.uint64) for w in x[1:])] for x in (a, b)))
+                if len(src):
+                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    return run
+
+
+def wide_links(distinct: DataFrame, similarity: float, tile: int = WIDE_TILE) -> DataFrame:
+    """Links (src, dst) that connect the same nodes as all pairs whose wide fingerprints are as near as texts
+    of this similarity are, and whose sizes allow it.
+
+    ``distinct``: node (bigint, each once), size (its shingles), sketch (its wide fingerprint, none if empty).
+    """
+    # Sets of this similarity differ in size by no more than its inverse: in one cell or two neighbouring ones.
+    cell = F.floor(F.log("size") / F.lit(math.log(1 / similarity)) + 1e-9).cast("int").alias("cell")
+    words = [F.col("sketch")[k].alias(f"w{k}") for k in range(WIDE)]
+    celled = distinct.where("size > 0").select(cell, F.struct("node", *words).alias("member"))
+    return _tile_pairs(celled, "member", [(0, True), (1, False)], tile).mapInArrow(_compare_wide(similarity), "src bigint, dst bigint")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, tile: int = TILE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (bigint), component_id.
 
