@@ -44,8 +44,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The columns of documents but the text, with its ids; ids that don't decode to the text stop the run."""
     tokens = bpe.load_tokens(spark, RANKS)
     texts = docs.select("doc_id", "text", "lang", "source", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    encoded = bpe.encode(texts, tokens, public_tokenizers.PATTERN).drop("text")
-    checked = bpe.decode(encoded, tokens).withColumn(
+    checked = bpe.encode_and_decode(texts, tokens, public_tokenizers.PATTERN).withColumn(
         "ids",
         F.when(F.sha2("decoded", 256) == F.col("digest"), F.col("ids"))
         .otherwise(F.raise_error(F.lit("a text doesn't survive encoding and decoding")).cast("binary")),

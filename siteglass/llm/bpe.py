@@ -150,6 +150,21 @@ def encode(texts: DataFrame, tokens, pattern: str, column: str = "text", to: str
 
     A NULL text counts as empty. Only ``column`` is read; all columns stay, one named ``to`` is replaced.
     """
+    return texts.mapInArrow(_encoding(tokens, pattern, column, to), _schema(texts, to))
+
+
+def decode(encoded: DataFrame, tokens, column: str = "ids", to: str = "decoded") -> DataFrame:
+    """``encoded`` with the bytes that the ids in ``column`` stand for, in ``to``."""
+    return encoded.mapInArrow(_decoding(tokens, column, to), _schema(encoded, to))
+
+
+def encode_and_decode(texts: DataFrame, tokens, pattern: str, column: str = "text", to: str = "ids", back: str = "decoded") -> DataFrame:
+    """:func:`encode`, then :func:`decode` of its ids, by one Python worker a task instead of two."""
+    first, then = _encoding(tokens, pattern, column, to), _decoding(tokens, to, back)
+    return texts.mapInArrow(lambda batches: then(first(batches)), _schema(texts.withColumn(to, F.lit(None).cast("binary")), back))
+
+
+def _encoding(tokens, pattern: str, column: str, to: str):
     held: list[_Encoder] = []
 
     def run(batches):
@@ -160,12 +175,10 @@ def encode(texts: DataFrame, tokens, pattern: str, column: str = "text", to: str
                 ids = held[0].encode([t or "" for t in part.column(column).to_pylist()])
                 yield _with(part, to, pa.array(ids, pa.binary()))
 
-    return texts.mapInArrow(run, _schema(texts, to))
-
+    return run
 
-def decode(encoded: DataFrame, tokens, column: str = "ids", to: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes that the ids in ``column`` stand for, in ``to``."""
 
+def _decoding(tokens, column: str, to: str):
     def run(batches):
         look = tokens.value.__getitem__
         for batch in batches:
@@ -174,7 +187,7 @@ def decode(encoded: DataFrame, tokens, column: str = "ids", to: str = "decoded")
                 data = [b"".join(map(look, np.frombuffer(x or b"", dtype="<u4").tolist())) for x in packed]
                 yield _with(part, to, pa.array(data, pa.binary()))
 
-    return encoded.mapInArrow(run, _schema(encoded, to))
+    return run
 
 
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:

@@ -25,6 +25,8 @@ UNKNOWN = "und"
 SAMPLE_ROWS = 1600
 #: Bytes of text they hold together at most.
 SAMPLE_BYTES = 64 << 20
+#: Bytes of text scored together: each takes a number for every language, several times over.
+LAID_BYTES = 1 << 18
 #: Calibrated probability below which a text is rejected.
 LEAST_PROBABILITY = 0.4
 BUCKETS, WIDTH, EPOCHS, BATCH, RATE = 1 << 15, 8, 6, 64, 4.0
@@ -232,7 +234,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             names: list[str] = []
             scores: list[float] = []
-            for _, texts in slices(batch):
+            for _, texts in slices(batch, size=LAID_BYTES):
                 lettered = [bool(t and known.languages and _LETTER.search(t)) for t in texts]
                 logits = np.zeros((len(texts), known.scores.shape[1]))
                 short = [i for i, ok in enumerate(lettered) if ok and len(texts[i]) <= PIECE_BYTES]

@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
+import corpus_pipeline
 from siteglass.llm import bpe
 from siteglass.llm.common import table
 from siteglass.llm.queries import RANKS, op8_byte_bpe
@@ -53,6 +54,13 @@ def test_round_trip_and_edges(spark, reference):
     for r in rows:
         assert bytes(r.decoded) == (r.text or "").encode() and bytes(r.ids) == packed(reference.encode_ordinary(r.text or ""))
     assert bpe.decode(bpe.encode(empty(spark), tokens, public_tokenizers.PATTERN), tokens).collect() == []
+    at_once = bpe.encode_and_decode(docs, tokens, public_tokenizers.PATTERN)
+    assert at_once.schema == coded.schema and sorted(map(str, at_once.collect())) == sorted(map(str, rows))
+
+
+def test_pipeline_stage_needs_one_python_worker_a_task(spark):
+    encoded = corpus_pipeline.encoding_stage(spark, documents(spark), "")
+    assert encoded._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
 
 
 def test_query(spark, reference):
