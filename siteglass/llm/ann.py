@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from siteglass.llm.common import saved
 SAMPLE_ROWS = 16384
 #: Queries broadcast at once, and codes and queries estimated at once.
 QUERY_BLOCK, CODE_BLOCK, ASKED_BLOCK = 16384, 1024, 128
+#: Exact scores that wait for each other before they are sorted, and bytes of vectors scored at once.
+WAITING_PAIRS, SCORED_BYTES = 1 << 17, 1 << 19
 #: Bits of a query's component.
 PLANES = 3
 #: Bits of a code: six for each dimension, 384 at least, in whole words.
@@ -297,38 +300,62 @@ def _pruner(floor):
     return run
 
 
+class _Nearest:
+    """The ``k`` + 1 nearest of each query so far, ties to the smaller least id. Pairs wait until they are many, so that
+    a pair is sorted a few times at most; ``floor`` is the least score that can still be among the nearest."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.held = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.waiting: list[tuple] = []
+        self.most, self.many = max(WAITING_PAIRS, 2 * n * (k + 1)), 0
+
+    def add(self, query: np.ndarray, score: np.ndarray, least: np.ndarray, place: np.ndarray) -> None:
+        self.waiting.append((query, score, least, place))
+        self.many += len(query)
+        if self.many > self.most:
+            self.settle()
+
+    def settle(self) -> None:
+        query, score, least, place = map(np.concatenate, zip(self.held, *self.waiting))
+        self.waiting, self.many = [], 0
+        order = np.lexsort((least, -score, query))
+        query, score, least, place = query[order], score[order], least[order], place[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = rank == self.k
+        self.floor[query[last]] = score[last]
+        keep = rank <= self.k
+        self.held = query[keep], score[keep], least[keep], place[keep]
+
+
 def _scorer(shared, size: int, k: int):
     """Exact scores of fetched vectors: of each query the k + 1 nearest in a task, ties to the smaller id."""
 
     def run(batches):
         ids, asked, _, _ = shared.value
-        query, score, least, names = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, object)
-        floor = np.full(len(ids), -np.inf)
+        best = _Nearest(len(ids), k)
+        names: list[pa.Array] = []
+        first_place = 0
         for batch in batches:
+            names.append(batch.column("ids"))
+            least = pc.list_element(names[-1], 0).to_numpy()
             counts = np.diff(np.asarray(batch.column("queries").offsets))
-            step = max(1, (1 << 22) // (8 * size * max(1, int(counts.max(initial=1)))))
+            step = max(1, SCORED_BYTES // (8 * size * max(1, int(counts.max(initial=1)))))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
                 own = _matrix(part.column("vector"), size)
                 near = part.column("queries").flatten().to_numpy().astype(np.int64)
                 row = np.repeat(np.arange(len(own)), counts[i : i + step])
                 new = exact(own[row], asked[near])
-                reach = new >= floor[near]
-                held = np.empty(len(own), object)
-                held[:] = part.column("ids").to_pylist()
-                first = np.array([x[0] for x in held], dtype=np.int64)
+                reach = new >= best.floor[near]
                 row, near, new = row[reach], near[reach], new[reach]
-                query, score = np.append(query, near), np.append(score, new)
-                least, names = np.append(least, first[row]), np.append(names, held[row])
-                order = np.lexsort((least, -score, query))
-                query, score, least, names = query[order], score[order], least[order], names[order]
-                place = np.arange(len(query)) - np.searchsorted(query, query)
-                last = place == k
-                floor[query[last]] = score[last]
-                keep = place <= k
-                query, score, least, names = query[keep], score[keep], least[keep], names[keep]
+                best.add(near, new, least[i + row], first_place + i + row)
+            first_place += batch.num_rows
+        best.settle()
+        query, score, _, place = best.held
+        lists = pa.chunked_array(names, pa.list_(pa.int64())).take(pa.array(place)).combine_chunks()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(query.astype(np.int32)), pa.array(ids[query]), pa.array(names.tolist(), pa.list_(pa.int64())), pa.array(score)],
+            [pa.array(query.astype(np.int32)), pa.array(ids[query]), lists, pa.array(score)],
             ["query", "query_id", "ids", "score"],
         )
 

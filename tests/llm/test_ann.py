@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siteglass.llm import ann
@@ -114,3 +115,28 @@ def test_many_ids_of_one_vector(spark):
     assert found == brute(rows)
     kinds = ann._kinds(ann.usable(frame(spark, rows)).distinct(), 20).collect()
     assert len(kinds) == 46 and max(len(r.ids) for r in kinds) == 21
+
+
+def test_exact_scores_are_sorted_a_few_times_only(spark, monkeypatch):
+    """A pair waits until many others are there: sorts go with the pairs, not with the blocks that bring them."""
+    rng, sorts = np.random.default_rng(2), []
+    lexsort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorts.append(len(keys[0])) or lexsort(keys))
+
+    class Shared:
+        value = (np.arange(40) * 20, rng.normal(size=(40, 16)), None, None)
+
+    x = rng.normal(size=(3000, 16))
+    every = pa.array([list(range(40))] * 1000, pa.list_(pa.int32()))
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(list(x[i : i + 1000])), pa.array([[j, j + 5000] for j in range(i, i + 1000)]), every], ["vector", "ids", "queries"])
+        for i in (0, 1000, 2000)
+    ]
+    (out,) = ann._scorer(Shared, 16, 3)(batches)
+    assert sum(sorts) < 2 * 3000 * 40 and len(sorts) <= 3
+    found = sorted(zip(out.column("query").to_pylist(), out.column("score").to_pylist(), out.column("ids").to_pylist()))
+    want = []
+    for q in range(40):
+        scores = ann.exact(x, np.tile(Shared.value[1][q], (3000, 1)))
+        want += [(q, scores[j], [int(j), int(j) + 5000]) for j in np.argsort(-scores)[:4]]
+    assert found == sorted(want) and out.column("query_id").to_pylist() == [20 * q for q in out.column("query").to_pylist()]
